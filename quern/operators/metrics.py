@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.checks import require_columns, require_positive
 
@@ -127,14 +127,11 @@ def cross_entropy(scores: DataFrame, label: str = "label") -> DataFrame:
     outside the row's tokens ends the job with an error.
     """
     require_columns(scores, "row_id", "token_id", "logit", label)
-    peaks = scores.groupBy("row_id").agg(
-        F.max("logit").alias("peak"),
+    peaks = scores.withColumn("__peak", F.max("logit").over(Window.partitionBy("row_id")))
+    masses = peaks.groupBy("row_id").agg(
+        F.max("__peak").alias("peak"),
         F.max(F.when(F.col("token_id") == F.col(label), F.col("logit"))).alias("target"),
-    )
-    masses = (
-        scores.join(peaks, "row_id")
-        .groupBy("row_id", "peak", "target")
-        .agg(F.sum(F.exp(F.col("logit") - F.col("peak"))).alias("mass"))
+        F.sum(F.exp(F.col("logit") - F.col("__peak"))).alias("mass"),
     )
     missing = F.raise_error(F.lit("a label is not among the tokens of its row")).cast("double")
     nll = F.log("mass") + F.col("peak") - F.coalesce("target", missing)

@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.checks import require_columns, require_positive
 
-ROW = Window.partitionBy("row_id")
-BEST_FIRST = ROW.orderBy(F.desc("logit"), "token_id")
+
+def _row():
+    return Window.partitionBy("row_id")
+
+
+def _best_first():
+    return _row().orderBy(F.desc("logit"), "token_id")
 
 
 def temperature(scores: DataFrame, t: float) -> DataFrame:
@@ -21,17 +26,12 @@ def temperature(scores: DataFrame, t: float) -> DataFrame:
     return scores.withColumn("logit", F.col("logit") / F.lit(float(t)))
 
 
-def _prob() -> Column:
-    mass = F.exp(F.col("logit") - F.max("logit").over(ROW))
-    return mass / F.sum(mass).over(ROW)
-
-
 def softmax_rows(scores: DataFrame, t: float = 1.0) -> DataFrame:
     """Add ``prob``: softmax of the scores of each row, after the temperature."""
     require_columns(scores, "row_id", "token_id", "logit")
-    peak = temperature(scores, t).withColumn("__peak", F.max("logit").over(ROW))
+    peak = temperature(scores, t).withColumn("__peak", F.max("logit").over(_row()))
     mass = peak.withColumn("__mass", F.exp(F.col("logit") - F.col("__peak")))
-    return mass.withColumn("prob", F.col("__mass") / F.sum("__mass").over(ROW)).drop("__peak", "__mass")
+    return mass.withColumn("prob", F.col("__mass") / F.sum("__mass").over(_row())).drop("__peak", "__mass")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -39,19 +39,19 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     require_columns(scores, "row_id", "token_id", "logit")
     if k <= 0:
         return scores
-    place = F.rank().over(ROW.orderBy(F.desc("logit")))
+    place = F.rank().over(_row().orderBy(F.desc("logit")))
     return scores.withColumn("__rank", place).where(F.col("__rank") <= k).drop("__rank")
 
 
 def cumulative_mass(scores: DataFrame) -> DataFrame:
     """Add ``prob`` and ``cum_prob``, the running sum from the best score down."""
-    frame = BEST_FIRST.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = _best_first().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return softmax_rows(scores).withColumn("cum_prob", F.sum("prob").over(frame))
 
 
 def top_p(scores: DataFrame, p: float) -> DataFrame:
     """Nucleus: a token stays while the mass before it is below ``p``; the best always stays."""
-    frame = BEST_FIRST.rowsBetween(Window.unboundedPreceding, -1)
+    frame = _best_first().rowsBetween(Window.unboundedPreceding, -1)
     ranked = softmax_rows(scores).withColumn("__before", F.sum("prob").over(frame))
     return ranked.where(F.col("__before").isNull() | (F.col("__before") < p)).drop("__before", "prob")
 
@@ -83,18 +83,15 @@ def retain_latest(files: DataFrame, limit: int) -> DataFrame:
     """Add ``step`` and ``keep``: the ``limit`` highest steps per model are kept.
 
     The step is the number in names such as ``model-900.pt``. Nothing is
-    deleted; the rows not kept are what a caller may remove. Only the cut per
-    model is grouped, its size bounded by ``limit``.
+    deleted; the rows not kept are what a caller may remove. Only the best
+    ``limit`` rows of each task are grouped, so a model may have any number.
     """
     require_columns(files, "model", "path")
     steps = files.withColumn("step", F.regexp_extract("path", r"-(\d+)\.pt$", 1).try_cast("long"))
     if limit <= 0:
         return steps.withColumn("keep", F.lit(False))
-    best = steps.where("step is not null").select("model", "step").distinct()
-    place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("step")))
-    cut = best.withColumn("__n", place).where(F.col("__n") <= limit).groupBy("model").agg(F.min("step").alias("__cut"))
-    return (
-        steps.join(cut, "model", "left")
-        .withColumn("keep", F.coalesce(F.col("step") >= F.col("__cut"), F.lit(False)))
-        .drop("__cut")
-    )
+    place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("step"), F.desc("path")))
+    best = steps.where("step is not null").select("model", "step", "path").withColumn("__n", place)
+    cut = best.where(F.col("__n") <= limit).groupBy("model").agg(F.min(F.struct("step", "path")).alias("__cut"))
+    kept = F.struct("step", "path") >= F.col("__cut")
+    return steps.join(cut, "model", "left").withColumn("keep", F.coalesce(kept, F.lit(False))).drop("__cut")

@@ -7,7 +7,7 @@ stream; sequence, batch, rank and step then follow by division.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.checks import require_columns, require_positive, require_rows
 from quern.operators.prefix import with_exclusive_sum
@@ -21,22 +21,19 @@ def usable_bases(blocks: DataFrame) -> DataFrame:
     return with_exclusive_sum(sizes, "usable", "shard_id", "base")
 
 
-def input_label_pairs(blocks: DataFrame) -> DataFrame:
-    """``u, shard_id, pos, input_id, label``: each usable token and the next one.
+def input_label_pairs(blocks: DataFrame, run_length: int = 1024) -> DataFrame:
+    """``u, input_id, label``: each usable token and the one after it.
 
-    One row per token; for training data use :func:`lm_sequences`.
+    One row per token, but only runs of ``run_length`` tokens are shuffled.
     """
-    pieces = _segments(blocks, 1)
-    inputs, labels = _inputs_and_labels(pieces, ["seq_id"])
-    grouped = pieces.groupBy("seq_id").agg(
-        F.min("shard_id").alias("shard_id"), F.min("seg_start").alias("pos"), inputs, labels
-    )
-    return grouped.select(
-        F.col("seq_id").alias("u"),
-        "shard_id",
-        "pos",
-        F.get("input_ids", F.lit(0)).alias("input_id"),
-        F.get("labels", F.lit(0)).alias("label"),
+    pieces = _segments(blocks, run_length)
+    inputs, labels = _inputs_and_labels()
+    runs = pieces.groupBy("seq_id").agg(inputs, labels)
+    pairs = runs.select("seq_id", F.posexplode(F.arrays_zip("input_ids", "labels")).alias("i", "pair"))
+    return pairs.select(
+        (F.col("seq_id") * run_length + F.col("i")).alias("u"),
+        F.col("pair.input_ids").alias("input_id"),
+        F.col("pair.labels").alias("label"),
     )
 
 
@@ -70,7 +67,7 @@ def _segments(blocks: DataFrame, seq_length: int) -> DataFrame:
     )
 
 
-def _inputs_and_labels(pieces: DataFrame, keys: list[str]):
+def _inputs_and_labels() -> tuple[Column, Column]:
     parts = F.array_sort(F.collect_list(F.struct("shard_id", "at", "opens", "closes", "part")))
     inputs = F.transform(
         parts, lambda p: F.slice(p["part"], F.lit(1), F.size(p["part"]) - p["closes"].cast("int"))
@@ -91,7 +88,7 @@ def lm_sequences(blocks: DataFrame, seq_length: int, batch_size: int = 1) -> Dat
     """
     require_positive(batch_size=batch_size)
     pieces = _segments(blocks, seq_length).withColumn("batch_id", F.expr(f"seq_id div {batch_size}"))
-    inputs, labels = _inputs_and_labels(pieces, ["batch_id", "seq_id"])
+    inputs, labels = _inputs_and_labels()
     sequences = pieces.repartition("batch_id").groupBy("batch_id", "seq_id").agg(inputs, labels)
     return sequences.where(F.size("input_ids") == seq_length).select(
         "seq_id", "batch_id", F.expr(f"cast(seq_id % {batch_size} as int)").alias("row_in_batch"), "input_ids", "labels"
