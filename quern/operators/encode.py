@@ -153,6 +153,27 @@ def encode_bytes(
     return _encode(texts, byte_level_pieces(F.col(text)), _ids_udf(make_encoder), end_id, text, keep_text)
 
 
+def lookup_words(texts: DataFrame, vocab: DataFrame, text: str = "text", add_end: bool = True) -> DataFrame:
+    """Add ``tokens, n_tokens``: whole words, unknown ones as the unknown token.
+
+    The rows stay where they are, which suits large corpora; the result is
+    that of :func:`encode_words`.
+    """
+    require_columns(texts, text)
+    ids = vocab_ids(vocab)
+    shared = texts.sparkSession.sparkContext.broadcast(
+        {t: i for t, i in ids.items() if t not in (UNKNOWN, END_OF_TEXT, NEWLINE)}
+    )
+    unknown = ids[UNKNOWN]
+
+    def make_encoder():
+        known = shared.value
+        return lambda word: [known.get(word, unknown)]
+
+    end_id = ids[END_OF_TEXT] if add_end else None
+    return _encode(texts, pretokenize(F.col(text)), _ids_udf(make_encoder), end_id, text, False)
+
+
 def encode_words(
     texts: DataFrame, vocab: DataFrame, key: list[str], text: str = "text", add_end: bool = True
 ) -> DataFrame:
@@ -169,9 +190,10 @@ def encode_words(
     )
     known = F.broadcast(vocab.where(~F.col("is_special")).select(F.col("token").alias("word"), "id"))
     found = words.join(known, "word", "left")
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))
-    ids = found.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    tokens = F.transform("e", lambda x: x["id"])
+    # Place and id in one integer: ids have 16 bits, so sorting restores the order of the words.
+    entry = F.col("pos").cast("long") * MAX_VOCAB + F.coalesce("id", F.lit(unknown))
+    ids = found.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    tokens = F.transform("e", lambda x: x.bitwiseAND(MAX_VOCAB - 1).cast("int"))
     if add_end:
         tokens = append_end(tokens, end)
     return ids.select(*key, tokens.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
@@ -190,7 +212,7 @@ def decode_ids(
         .join(known, "id", "left")
     )
     entry = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
-    pieces = found.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    ordered = F.transform("e", lambda x: x["token"])
+    pieces = found.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    ordered = F.col("e.token")
     joined = join_byte_pieces(ordered) if byte_level else join_word_pieces(ordered)
     return pieces.select(*key, joined.alias("text"))

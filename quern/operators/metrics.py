@@ -57,7 +57,7 @@ def meter_allreduce_scaled(meters: DataFrame, world_size: int) -> DataFrame:
 def meter_gather(meters: DataFrame) -> DataFrame:
     """``name, gathered``: the meters of all ranks in rank order."""
     entry = F.struct("rank", "sum", "count")
-    return meters.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("gathered"))
+    return meters.groupBy("name").agg(F.sort_array(F.collect_list(entry)).alias("gathered"))
 
 
 def accumulated_loss(log: DataFrame, accumulate: int) -> DataFrame:

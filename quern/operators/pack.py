@@ -16,6 +16,7 @@ from quern.operators.prefix import with_exclusive_sum
 # Rows that carry their tokens are heavy, so fewer of them share a window.
 HEAVY_ROWS_PER_WINDOW = 1 << 12
 RUNS_PER_SHARD = 8
+BLOCKS_PER_RUN = 1024
 
 
 def token_offsets(
@@ -42,22 +43,10 @@ def pack_shards(
     left; a single left-over token is dropped. ``pos`` is the place of the
     block within its shard.
     """
-    require_positive(shard_size=shard_size - 1, block_size=block_size - 1)
-    per_shard = -(-shard_size // block_size)
-    offsets = token_offsets(encoded, order_by, partition_by)
-    cell = lambda at: F.expr(
-        f"({at}) div {shard_size} * {per_shard} + ({at}) % {shard_size} div {block_size}"
-    )
-    start = F.expr(f"cell div {per_shard} * {shard_size}L + cell % {per_shard} * {block_size}L")
-    shard_end = F.expr(f"(cell div {per_shard} + 1) * {shard_size}L")
-    pieces = _pieces(offsets, list(partition_by), cell, start, F.least(start + block_size, shard_end))
-    pieces = pieces.withColumn("shard_id", F.expr(f"cell div {per_shard}")).withColumn(
-        "block_id", F.expr(f"cell % {per_shard}")
-    )
-    run = F.expr(f"block_id * {RUNS_PER_SHARD} div {per_shard}")
-    blocks = _assemble(pieces.withColumn("__run", run), [*partition_by, "shard_id"], "__run", "block_id")
-    lone = (F.col("block_id") == 0) & (F.col("n_tokens") == 1)
-    return blocks.where(~lone).select(
+    cells = ShardCells(shard_size, block_size)
+    pieces = cells.number(cut(token_offsets(encoded, order_by, partition_by), cells, list(partition_by)))
+    blocks = assemble(pieces, [*partition_by, "shard_id"], cells.run(), "block_id")
+    return blocks.where(~lone_token()).select(
         *partition_by, "shard_id", "block_id", (F.col("block_id") * block_size).alias("pos"), "n_tokens", "ids"
     )
 
@@ -69,43 +58,91 @@ def flat_stream(
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """``block_id, pos, n_tokens, ids``: one uncut stream per partition."""
-    require_positive(block_size=block_size)
-    offsets = token_offsets(encoded, order_by, partition_by)
-    start = F.col("cell") * F.lit(block_size)
-    pieces = _pieces(
-        offsets, list(partition_by), lambda at: F.expr(f"({at}) div {block_size}"), start, start + block_size
-    ).withColumnRenamed("cell", "block_id")
-    runs = pieces.withColumn("__run", F.expr("block_id div 1024"))
-    blocks = _assemble(runs, list(partition_by), "__run", "block_id")
+    cells = FlatCells(block_size)
+    pieces = cells.number(cut(token_offsets(encoded, order_by, partition_by), cells, list(partition_by)))
+    blocks = assemble(pieces, list(partition_by), cells.run(), "block_id")
     return blocks.select(
         *partition_by, "block_id", (F.col("block_id") * block_size).alias("pos"), "n_tokens", "ids"
     )
 
 
-def _pieces(offsets: DataFrame, groups: list[str], cell, start: Column, end: Column) -> DataFrame:
+class ShardCells:
+    """Blocks numbered through all shards; the last block of a shard may be shorter."""
+
+    def __init__(self, shard_size: int, block_size: int):
+        require_positive(shard_size=shard_size - 1, block_size=block_size - 1)
+        self.shard, self.block = shard_size, block_size
+        self.per_shard = -(-shard_size // block_size)
+
+    def of(self, place: str) -> Column:
+        return F.expr(
+            f"({place}) div {self.shard} * {self.per_shard} + ({place}) % {self.shard} div {self.block}"
+        )
+
+    def start(self) -> Column:
+        return F.expr(f"cell div {self.per_shard} * {self.shard}L + cell % {self.per_shard} * {self.block}L")
+
+    def end(self) -> Column:
+        return F.least(self.start() + self.block, F.expr(f"(cell div {self.per_shard} + 1) * {self.shard}L"))
+
+    def number(self, pieces: DataFrame) -> DataFrame:
+        shard, block = F.expr(f"cell div {self.per_shard}"), F.expr(f"cell % {self.per_shard}")
+        return pieces.withColumn("shard_id", shard).withColumn("block_id", block).drop("cell")
+
+    def run(self) -> Column:
+        return F.expr(f"block_id * {RUNS_PER_SHARD} div {self.per_shard}")
+
+
+class FlatCells:
+    """Blocks of one uncut stream."""
+
+    def __init__(self, block_size: int):
+        require_positive(block_size=block_size)
+        self.block = block_size
+
+    def of(self, place: str) -> Column:
+        return F.expr(f"({place}) div {self.block}")
+
+    def start(self) -> Column:
+        return F.col("cell") * F.lit(self.block)
+
+    def end(self) -> Column:
+        return self.start() + self.block
+
+    def number(self, pieces: DataFrame) -> DataFrame:
+        return pieces.withColumnRenamed("cell", "block_id")
+
+    def run(self) -> Column:
+        return F.expr(f"block_id div {BLOCKS_PER_RUN}")
+
+
+def lone_token() -> Column:
+    """A shard of one token: its only block is the first, and holds one id."""
+    return (F.col("block_id") == 0) & (F.col("n_tokens") == 1)
+
+
+def cut(offsets: DataFrame, cells: ShardCells | FlatCells, groups: list[str]) -> DataFrame:
     """One row per record and block it reaches, holding that part of its ids."""
-    cells = offsets.where("n_tokens > 0").select(
+    reached = offsets.where("n_tokens > 0").select(
         *groups,
         "tokens",
         "token_offset",
         (F.col("token_offset") + F.col("n_tokens")).alias("__end"),
-        F.explode(F.sequence(cell("token_offset"), cell("token_offset + n_tokens - 1"))).alias("cell"),
+        F.explode(F.sequence(cells.of("token_offset"), cells.of("token_offset + n_tokens - 1"))).alias("cell"),
     )
-    lo, hi = F.greatest("token_offset", start), F.least("__end", end)
+    lo, hi = F.greatest("token_offset", cells.start()), F.least("__end", cells.end())
     part = F.slice("tokens", (lo - F.col("token_offset") + 1).cast("int"), (hi - lo).cast("int"))
-    return cells.select(*groups, "cell", lo.alias("at"), checked_ids(part).alias("part"))
+    return reached.select(*groups, "cell", lo.alias("at"), part.alias("part"))
 
 
-def _assemble(pieces: DataFrame, groups: list[str], run: str, block: str) -> DataFrame:
+def assemble(pieces: DataFrame, groups: list[str], run: Column, block: str) -> DataFrame:
     """Concatenate the pieces of each block. Runs of neighbouring blocks share a
     task, so a shard is written as a few files without another shuffle."""
-    parts = F.array_sort(F.collect_list(F.struct("at", "part")))
-    return (
-        pieces.repartition(*groups, run)
-        .groupBy(*groups, run, block)
-        .agg(F.flatten(F.transform(parts, lambda p: p["part"])).alias("ids"))
-        .withColumn("n_tokens", F.size("ids"))
-    )
+    parts = F.sort_array(F.collect_list(F.struct("at", "part")))
+    together = pieces.withColumn("__run", run).repartition(*groups, "__run")
+    blocks = together.groupBy(*groups, "__run", block).agg(parts.alias("parts"))
+    blocks = blocks.select(*groups, block, F.flatten(F.col("parts.part")).alias("ids"))
+    return blocks.withColumn("n_tokens", F.size("ids")).withColumn("ids", checked_ids(F.col("ids")))
 
 
 def shard_stats(blocks: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -68,7 +68,7 @@ def _segments(blocks: DataFrame, seq_length: int) -> DataFrame:
 
 
 def _inputs_and_labels() -> tuple[Column, Column]:
-    parts = F.array_sort(F.collect_list(F.struct("shard_id", "at", "opens", "closes", "part")))
+    parts = F.sort_array(F.collect_list(F.struct("shard_id", "at", "opens", "closes", "part")))
     inputs = F.transform(
         parts, lambda p: F.slice(p["part"], F.lit(1), F.size(p["part"]) - p["closes"].cast("int"))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.checks import MAX_TOKEN_ID, require_columns, require_positive, small_enough
 from quern.functions.text import byte_level_pieces, pretokenize
@@ -271,15 +271,25 @@ def train_byte_vocab(
 
 
 def frequent_words_vocab(counts: DataFrame, vocab_size: int, min_freq: int = 2) -> DataFrame:
-    """Whole words as vocabulary, most frequent first, specials around them."""
+    """Whole words as vocabulary, most frequent first, specials around them.
+
+    Stage the result before it is used more than once, or the words are counted again.
+    """
     require_positive(vocab_size=vocab_size)
     if not 3 < vocab_size <= MAX_VOCAB:
         raise ValueError(f"vocab_size must be in 4..{MAX_VOCAB}")
     top = counts.where(F.col("n") >= min_freq).orderBy(F.desc("n"), "word").limit(vocab_size - 3)
-    words = [r["word"] for r in top.select("word").collect()]
-    tokens = [(UNKNOWN, True, False), (END_OF_TEXT, True, False)]
-    tokens += [(w, False, False) for w in words] + [(NEWLINE, True, False)]
-    return _vocab_table(counts.sparkSession, tokens)
+    special = F.array(
+        *[F.struct(F.lit(p).alias("part"), F.lit(t).alias("token")) for p, t in ((0, UNKNOWN), (1, END_OF_TEXT), (3, NEWLINE))]
+    )
+    rows = counts.sparkSession.range(1).select(F.explode(special).alias("s")).select("s.*")
+    rows = rows.withColumn("n", F.lit(0).cast("long"))
+    rows = rows.unionByName(top.select(F.lit(2).alias("part"), F.col("word").alias("token"), "n"))
+    # One window is enough: the limit above bounds its rows.
+    place = F.row_number().over(Window.orderBy("part", F.desc("n"), "token")) - 1
+    return rows.select(
+        place.alias("id"), "token", (F.col("part") != 2).alias("is_special"), F.lit(False).alias("is_continuation")
+    )
 
 
 def vocab_stats(vocab: DataFrame) -> DataFrame:

@@ -17,12 +17,12 @@ def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
 def word_level(docs: DataFrame, vocab_size: int = 20_000, min_freq: int = 2) -> tuple[DataFrame, DataFrame]:
     """Clean documents, take their frequent words as vocabulary, encode.
 
-    Gives the encoded table and the vocabulary. Cleaned text feeds both, and
-    the encoded table several later branches, so both are staged.
+    Gives the encoded table and the vocabulary. Each table feeds
+    several later branches, so each is staged.
     """
     texts = stage(cleaned(docs), "cleaned")
-    words = vocab.frequent_words_vocab(vocab.word_counts(texts), vocab_size, min_freq)
-    return stage(encode.encode_words(texts, words, ["doc_id"]), "encoded"), words
+    words = stage(vocab.frequent_words_vocab(vocab.word_counts(texts), vocab_size, min_freq), "vocab")
+    return stage(encode.lookup_words(texts, words), "encoded"), words
 
 
 def web_shards(docs: DataFrame, tokens: DataFrame, shard_size: int, block_size: int) -> DataFrame:

@@ -268,6 +268,7 @@ def all_sql() -> dict[str, str]:
     q["word_level_encode"] = f"""WITH {ENCODED}
       SELECT doc_id, {IDS.format('id', 'pos')} AS tokens, CAST(count(*) AS INTEGER) AS n_tokens
       FROM tokens GROUP BY doc_id"""
+    q["word_lookup"] = q["word_level_encode"]
     q["append_eot"] = f"""WITH {ENCODED}
       SELECT doc_id, CAST(arg_max(id, pos) AS INTEGER) AS last_id, CAST(count(*) AS INTEGER) AS n_tokens
       FROM tokens GROUP BY doc_id"""
@@ -442,8 +443,9 @@ def all_sql() -> dict[str, str]:
         FROM occurrences JOIN found USING (word)
         UNION ALL SELECT doc_id, 1000000000, 1, 1 FROM clean),
       placed AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos, j) - 1 AS g FROM flat)
-      SELECT g // {BLOCK} AS block_id, CAST(count(*) AS INTEGER) AS n_tokens, {IDS.format('id', 'g')} AS ids
-      FROM placed GROUP BY 1 HAVING count(*) > 1"""
+      SELECT g // 100000 AS shard_id, g % 100000 // {BLOCK} AS block_id, CAST(count(*) AS INTEGER) AS n_tokens,
+        {IDS.format('id', 'g')} AS ids
+      FROM (SELECT * FROM placed QUALIFY count(*) OVER (PARTITION BY g // 100000) > 1) GROUP BY 1, 2"""
     q["stream_metrics"] = """SELECT event_id // 500 AS flush, count(*) AS n_steps, max(event_id) AS last_step,
         round(avg(value / 100), 9) AS batch_loss FROM events GROUP BY 1"""
     q["stream_interval_loss"] = """SELECT event_id // 100 AS interval, max(event_id) AS step,

@@ -57,13 +57,15 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    build = lambda: vocab.frequent_words_vocab(_counts(spark, sf), VOCAB_SIZE, MIN_FREQ)
+    build = lambda: stage(
+        vocab.frequent_words_vocab(_counts(spark, sf), VOCAB_SIZE, MIN_FREQ), "vocab"
+    )
     return _once(spark, sf, "word_vocab", build)
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
-        return stage(encode.encode_words(_cleaned(spark, sf), _word_vocab(spark, sf), ["doc_id"]), "encoded")
+        return stage(encode.lookup_words(_cleaned(spark, sf), _word_vocab(spark, sf)), "encoded")
 
     return _once(spark, sf, "encoded", build)
 
@@ -141,7 +143,8 @@ def _mapped(f: Callable[[Column], Column]) -> Query:
 
 def _stream_source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = _table(spark, sf, name).schema
-    return tables.stream_documents(spark, sf, schema, pattern=f"{name}.parquet")
+    rows = tables.stream_documents(spark, sf, schema, pattern=f"{name}.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,10 +158,10 @@ def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "stream")
     docs = stream_corpus.clean_stream(_stream_source(spark, sf, "documents").select("doc_id", "text"))
     encoded = encode.encode_wordpiece(docs, _piece_vocab(spark, sf))
-    run = stream_corpus.pack_stream(encoded, out, f"{out}/log", BLOCK)
+    run = stream_corpus.pack_stream(encoded, out, f"{out}/log", 100_000, BLOCK)
     run.awaitTermination()
     return stream_corpus.packed_blocks(spark, out, run.lastProgress["batchId"]).select(
-        "block_id", "n_tokens", _joined("ids")
+        "shard_id", "block_id", "n_tokens", _joined("ids")
     )
 
 
@@ -261,7 +264,10 @@ def all_queries() -> dict[str, Query]:
     q["vocab_stats"] = lambda s, sf: vocab.vocab_stats(_word_vocab(s, sf))
     q["train_vocab"] = _piece_vocab
     q["train_byte_vocab"] = _byte_vocab
-    q["word_level_encode"] = lambda s, sf: _encoded(s, sf).select("doc_id", _joined("tokens"), "n_tokens")
+    q["word_level_encode"] = lambda s, sf: encode.encode_words(_cleaned(s, sf), _word_vocab(s, sf), ["doc_id"]).select(
+        "doc_id", _joined("tokens"), "n_tokens"
+    )
+    q["word_lookup"] = lambda s, sf: _encoded(s, sf).select("doc_id", _joined("tokens"), "n_tokens")
     q["append_eot"] = lambda s, sf: _encoded(s, sf).select(
         "doc_id", F.element_at("tokens", -1).alias("last_id"), "n_tokens"
     )

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quern.checks import require_positive
 from quern.functions.text import clean_text
-from quern.operators.pack import _assemble, _pieces, token_offsets
+from quern.operators.pack import ShardCells, assemble, cut, lone_token, token_offsets
 from quern.session import stage
 
 
@@ -30,17 +29,26 @@ def clean_stream(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, clean_text(F.col(text)))
 
 
+OPEN = "shard_id long, block_id long, at long, part array<int>"
+BLOCKS = "shard_id long, block_id long, n_tokens int, ids array<int>"
+
+
 def pack_stream(
-    encoded: DataFrame, out: str, checkpoint: str, block_size: int, order_by: str | list[str] = "doc_id"
+    encoded: DataFrame,
+    out: str,
+    checkpoint: str,
+    shard_size: int,
+    block_size: int,
+    order_by: str | list[str] = "doc_id",
 ) -> StreamingQuery:
-    """Pack arriving records into full blocks; what is left waits for the next batch.
+    """Pack arriving records into shards; the block still open waits for the next batch.
 
     Records of a micro-batch follow those of earlier ones; within one they are
-    in key order. Each micro-batch writes its full blocks, its start in the
-    stream, and the open block under its own number, so a batch that is run
-    again overwrites exactly what it wrote and reads the state before it.
+    in key order. Each micro-batch writes its full blocks, the end of the
+    stream so far, and the open block under its own number, so a batch that is
+    run again overwrites exactly what it wrote and reads the state before it.
     """
-    require_positive(block_size=block_size)
+    cells = ShardCells(shard_size, block_size)
     spark = encoded.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
@@ -48,18 +56,17 @@ def pack_stream(
         records = stage(batch, "arrived")
         offsets = token_offsets(records, order_by).withColumn("token_offset", F.col("token_offset") + F.lit(start))
         total = records.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-        first = F.col("cell") * F.lit(block_size)
-        pieces = _pieces(offsets, [], lambda at: F.expr(f"({at}) div {block_size}"), first, first + block_size)
-        pieces = pieces.withColumnRenamed("cell", "block_id")
+        pieces = cells.number(cut(offsets, cells, [])).select("shard_id", "block_id", "at", "part")
         if left is not None:
             pieces = pieces.unionByName(left)
-        runs = pieces.withColumn("__run", F.expr("block_id div 1024"))
-        blocks = stage(_assemble(runs, [], "__run", "block_id").select("block_id", "n_tokens", "ids"), "blocks")
-        full = F.col("n_tokens") == block_size
-        blocks.where(full).write.mode("overwrite").parquet(f"{out}/blocks/batch={number}")
-        open_block = blocks.where(~full).select(
-            "block_id", (F.col("block_id") * block_size).alias("at"), F.col("ids").alias("part")
+        blocks = stage(assemble(pieces, ["shard_id"], cells.run(), "block_id"), "blocks")
+        room = F.least(F.lit(block_size), F.lit(shard_size) - F.col("block_id") * block_size)
+        full = F.col("n_tokens") == room
+        blocks.where(full).select("shard_id", "block_id", "n_tokens", "ids").write.mode("overwrite").parquet(
+            f"{out}/blocks/batch={number}"
         )
+        at = F.col("shard_id") * shard_size + F.col("block_id") * block_size
+        open_block = blocks.where(~full).select("shard_id", "block_id", at.alias("at"), F.col("ids").alias("part"))
         open_block.write.mode("overwrite").parquet(f"{out}/open/batch={number}")
         ends = spark.range(1).select(F.lit(start + total).alias("end"))
         ends.write.mode("overwrite").parquet(f"{out}/ends/batch={number}")
@@ -71,17 +78,15 @@ def _state_before(spark: SparkSession, out: str, number: int) -> tuple[int, Data
     if number == 0:
         return 0, None
     end = spark.read.parquet(f"{out}/ends/batch={number - 1}").first()["end"]
-    left = spark.read.schema("block_id long, at long, part array<int>").parquet(f"{out}/open/batch={number - 1}")
-    return end, left
+    return end, spark.read.schema(OPEN).parquet(f"{out}/open/batch={number - 1}")
 
 
 def packed_blocks(spark: SparkSession, out: str, last_batch: int) -> DataFrame:
-    """All blocks after a run, the open one included unless it is a single token."""
-    schema = "block_id long, n_tokens int, ids array<int>"
-    full = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/blocks")
-    left = spark.read.schema("block_id long, at long, part array<int>").parquet(f"{out}/open/batch={last_batch}")
-    tail = left.select("block_id", F.size("part").alias("n_tokens"), F.col("part").alias("ids"))
-    return full.unionByName(tail.where("n_tokens > 1"))
+    """All blocks after a run, the open one included; a single left-over token is dropped."""
+    full = spark.read.schema(BLOCKS).option("recursiveFileLookup", "true").parquet(f"{out}/blocks")
+    left = spark.read.schema(OPEN).parquet(f"{out}/open/batch={last_batch}")
+    tail = left.select("shard_id", "block_id", F.size("part").alias("n_tokens"), F.col("part").alias("ids"))
+    return full.unionByName(tail).where(~lone_token())
 
 
 def _run(rows: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -81,12 +81,12 @@ def test_packed_stream_equals_batch(spark, arriving, tmp_path):
     schema = spark.read.parquet(arriving).schema
     out = str(tmp_path / "out")
     stream = tables.stream_documents(spark, arriving, schema, files_per_batch=1)
-    run = stream_corpus.pack_stream(stream, out, out + "/log", 16)
+    run = stream_corpus.pack_stream(stream, out, out + "/log", 50, 16)
     run.awaitTermination()
     last = max(int(p.rsplit("=", 1)[1]) for p in glob.glob(out + "/ends/batch=*"))
     assert last >= 3
     got = stream_corpus.packed_blocks(spark, out, last)
-    want = pack.flat_stream(spark.read.parquet(arriving), 16).select("block_id", "n_tokens", "ids")
+    want = pack.pack_shards(spark.read.parquet(arriving), 50, 16).select("shard_id", "block_id", "n_tokens", "ids")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -96,10 +96,10 @@ def test_a_batch_run_again_writes_the_same(spark, arriving, tmp_path):
     out = str(tmp_path / "out")
     for log in ("one", "two"):
         stream = tables.stream_documents(spark, arriving, schema, files_per_batch=1)
-        stream_corpus.pack_stream(stream, out, f"{out}/{log}", 16).awaitTermination()
+        stream_corpus.pack_stream(stream, out, f"{out}/{log}", 50, 16).awaitTermination()
     last = max(int(p.rsplit("=", 1)[1]) for p in glob.glob(out + "/ends/batch=*"))
     got = stream_corpus.packed_blocks(spark, out, last)
-    want = pack.flat_stream(spark.read.parquet(arriving), 16).select("block_id", "n_tokens", "ids")
+    want = pack.pack_shards(spark.read.parquet(arriving), 50, 16).select("shard_id", "block_id", "n_tokens", "ids")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
