@@ -7,6 +7,7 @@ before one is collected or broadcast.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -23,7 +24,7 @@ NEWLINE = "\n"
 CONTINUATION = "##"
 
 MAX_VOCAB = MAX_TOKEN_ID + 1
-CANDIDATES = 256
+CANDIDATES = 512
 PENDING = 48
 
 
@@ -134,37 +135,58 @@ def _next_merges(
     known: set[str],
     room: int,
     prefix: str,
+    complete: bool,
 ) -> list[Merge]:
-    """The longest run of merges the one-at-a-time greedy rule would also make.
-
-    ``ranked`` lists the most frequent pairs. A merge can create pairs that are
-    at most as frequent as the triples around it, and lowers only the counts of
-    pairs that share a symbol with it. So the next pair is safe to take while
-    its count is above every such bound and it shares no symbol with a merge
-    taken before.
+    """Merges that the one-at-a-time greedy rule would make next, in its order.
+
+    ``ranked`` lists the most frequent pairs. Taking a merge changes counts in
+    two ways. It creates pairs, none more frequent than the triples around it.
+    And it lowers the counts of pairs that share its border symbols, by exactly
+    the triple of the two as long as nothing else touches that triple. The next
+    merge is certain while its count is known and above every bound on the
+    counts that are not; the first one always is.
     """
+    count = {(left, right): n for left, right, n in ranked}
+    lowest = 0 if complete else ranked[-1][2]
+    heap = [(-n, left, right) for left, right, n in ranked]
+    heapq.heapify(heap)
+    touched: dict[tuple[str, str], int] = {}
+    uncertain: set[tuple[str, str]] = set()
     taken: list[Merge] = []
-    starts, ends = set(), set()
     bound = 0
-    for left, right, n in ranked:
-        if len(taken) == room or (taken and n <= bound):
-            break
-        key = f"{left}  {right}"
-        most, near = neighbours.get(key, (0, {}))
-        if taken and left == right:
+    while heap and len(taken) < room:
+        n, pair = -heap[0][0], heap[0][1:]
+        if taken and (n <= bound or (n <= lowest and pair in touched)):
             break
-        if left in ends or right in starts:
-            lost = max((near.get(f"{m.left}  {m.right}", 0) for m in taken), default=0)
-            bound = max(bound, n - lost)
+        heapq.heappop(heap)
+        if pair in uncertain:
+            bound = max(bound, count[pair])
             continue
+        if count[pair] < n:
+            heapq.heappush(heap, (-count[pair], *pair))
+            continue
+        left, right = pair
         merge = _merge_of(left, right, prefix)
+        most, near = neighbours.get(f"{left}  {right}", (0, {}))
         taken.append(merge)
-        starts.add(left)
-        ends.add(right)
         bound = max(bound, most)
-        if left == right or merge.token in known:
+        if merge.token in known:
             break
         known.add(merge.token)
+        for other in count:
+            before, after = other[1] == left, other[0] == right
+            shared = near.get(f"{other[0]}  {other[1]}", 0) if before or after else 0
+            if other == pair or not shared:
+                continue
+            if pair in touched or (before and after) or left == right or other[0] == other[1]:
+                uncertain.add(other)
+            elif other in touched:
+                # Touched from both sides: at least the larger loss is real.
+                uncertain.add(other)
+                count[other] += touched[other] - max(touched[other], shared)
+            else:
+                touched[other] = shared
+                count[other] -= shared
     return taken
 
 
@@ -208,7 +230,9 @@ def learn_merges(
         if not ranked:
             break
         neighbours = _neighbours(current, [f"{left}  {right}" for left, right, _ in ranked])
-        taken = _next_merges(ranked, neighbours, known, limit - len(known), prefix)
+        taken = _next_merges(
+            ranked, neighbours, set(known), limit - len(known), prefix, len(ranked) < candidates
+        )
         known.update(m.token for m in taken)
         merges += taken
         unwritten += taken

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -181,3 +182,47 @@ def test_id_range(spark):
     with pytest.raises(PySparkException):
         bad.select(checked_ids(F.col("tokens"))).collect()
     assert token_range_report(good).first()["fits"] and not token_range_report(bad).first()["fits"]
+
+
+@pytest.mark.parametrize("candidates", [2, 5, 256])
+def test_batch_rule_on_random_words(candidates):
+    """The rule alone, on counts taken in plain Python: repeats, collisions, few candidates."""
+    for seed in range(60):
+        rnd = random.Random(seed)
+        letters = "abc#"[:rnd.randint(1, 4)]
+        words = {
+            "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))): rnd.randint(1, 12)
+            for _ in range(rnd.randint(1, 25))
+        }
+        known = {"<unk>", "<|endoftext|>"} | {c for w in words for c in w} | {"##" + c for w in words for c in w[1:]}
+        state = {w: [c if i == 0 else "##" + c for i, c in enumerate(w)] for w in words}
+        limit, merges = len(known) + 40, []
+        while len(known) < limit:
+            pairs, near = Counter(), {}
+            for w, n in words.items():
+                for pair in zip(state[w], state[w][1:]):
+                    pairs[pair] += n
+            ranked = sorted(((*p, n) for p, n in pairs.items() if n >= 2), key=lambda x: (-x[2], *x[:2]))[:candidates]
+            if not ranked:
+                break
+            triples = Counter()
+            for w, n in words.items():
+                for t in zip(state[w], state[w][1:], state[w][2:]):
+                    triples[t] += n
+            listed = {f"{left}  {right}" for left, right, _ in ranked}
+            for (a, b, c), n in triples.items():
+                for one, two in ((f"{a}  {b}", f"{b}  {c}"), (f"{b}  {c}", f"{a}  {b}")):
+                    if one in listed:
+                        most, others = near.get(one, (0, {}))
+                        near[one] = max(most, n), others | ({two: n} if two in listed else {})
+            taken = vocab._next_merges(
+                ranked, near, set(known), limit - len(known), "##", len(ranked) < candidates
+            )
+            known |= {m.token for m in taken}
+            merges += [(m.left, m.right, m.token) for m in taken]
+            for w in state:
+                text = "".join(f" {s} " for s in state[w])
+                for m in taken:
+                    text = text.replace(f" {m.left}  {m.right} ", f" {m.token} ")
+                state[w] = text.strip().split("  ")
+        assert merges == greedy(words, limit, 2)
