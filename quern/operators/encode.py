@@ -130,23 +130,30 @@ def encode_bytes(
     require_columns(texts, text)
     ids = vocab_ids(vocab)
     end_id = ids.get(END_OF_TEXT) if add_end else None
-    shared = texts.sparkSession.sparkContext.broadcast(
-        {bytes.fromhex(t): i for t, i in ids.items() if t != END_OF_TEXT}
-    )
+    by_bytes = {bytes.fromhex(t): i for t, i in ids.items() if t != END_OF_TEXT}
+    unions = {
+        (by_bytes[token[:cut]], by_bytes[token[cut:]]): i
+        for token, i in by_bytes.items()
+        for cut in range(1, len(token))
+        if token[:cut] in by_bytes and token[cut:] in by_bytes
+    }
+    single = [by_bytes[bytes([b])] for b in range(256)]
+    shared = texts.sparkSession.sparkContext.broadcast((single, unions))
+    no_union = MAX_VOCAB
 
     def make_encoder():
-        known = shared.value
+        single, unions = shared.value
 
         def encode(piece: str) -> list[int]:
-            parts = [bytes([b]) for b in piece.encode("utf-8")]
+            parts = [single[b] for b in piece.encode("utf-8")]
             while len(parts) > 1:
-                unions = [known.get(a + b) for a, b in zip(parts, parts[1:])]
-                best = min((i for i in unions if i is not None), default=None)
-                if best is None:
+                joined = [unions.get(pair, no_union) for pair in zip(parts, parts[1:])]
+                best = min(joined)
+                if best == no_union:
                     break
-                at = unions.index(best)
-                parts[at:at + 2] = [parts[at] + parts[at + 1]]
-            return [known[p] for p in parts]
+                at = joined.index(best)
+                parts[at:at + 2] = [best]
+            return parts
 
         return encode
 

@@ -14,7 +14,7 @@ from quern.checks import checked_ids, require_columns, require_positive
 from quern.operators.prefix import with_exclusive_sum
 
 # Rows that carry their tokens are heavy, so fewer of them share a window.
-HEAVY_ROWS_PER_WINDOW = 1 << 12
+HEAVY_ROWS_PER_WINDOW = 1 << 11
 RUNS_PER_SHARD = 8
 BLOCKS_PER_RUN = 1024
 

@@ -24,7 +24,7 @@ NEWLINE = "\n"
 CONTINUATION = "##"
 
 MAX_VOCAB = MAX_TOKEN_ID + 1
-CANDIDATES = 512
+CANDIDATES = 256
 PENDING = 48
 
 
@@ -99,9 +99,10 @@ def _merge_of(left: str, right: str, prefix: str) -> Merge:
 def _apply(symbols: Column, merges: list[Merge]) -> Column:
     if not merges:
         return symbols
-    steps = F.array(
-        *[F.struct(F.lit(f" {m.left}  {m.right} ").alias("old"), F.lit(f" {m.token} ").alias("new")) for m in merges]
-    )
+    # Symbols hold no white space, so one literal per side can list all merges.
+    old = F.split(F.lit("\n".join(f" {m.left}  {m.right} " for m in merges)), "\n")
+    new = F.split(F.lit("\n".join(f" {m.token} " for m in merges)), "\n")
+    steps = F.arrays_zip(old.alias("old"), new.alias("new"))
     return F.aggregate(steps, symbols, lambda acc, m: F.replace(acc, m["old"], m["new"]))
 
 

@@ -230,6 +230,8 @@ def all_sql() -> dict[str, str]:
         f"SELECT doc_id, CASE WHEN rn <= 37 THEN 'validation' ELSE 'train' END AS split FROM ({ranked})"
     )
     q["split_counts"] = f"SELECT split, count(*) AS n_docs FROM ({frac}) GROUP BY split"
+    q["text_sink"] = f"""SELECT split, unnest(string_split(text, chr(10))) AS line
+      FROM documents JOIN ({frac}) USING (doc_id)"""
     q["shuffle_docs"] = f"SELECT doc_id, rn - 1 AS pos FROM ({ranked})"
     q["chunk_ids"] = "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS chunk_id FROM documents"
     q["contiguous_pieces"] = "SELECT doc_id, ntile(48) OVER (ORDER BY doc_id) - 1 AS piece_id FROM documents"
@@ -259,6 +261,7 @@ def all_sql() -> dict[str, str]:
       FROM pairs GROUP BY 1, 2"""
     q["vocab_table"] = f"""WITH {TEXT}, {COUNTS}, {VOCAB}
       SELECT id, token, is_special, false AS is_continuation FROM vocab"""
+    q["vocab_sink"] = q["vocab_table"]
     q["vocab_stats"] = f"""WITH {TEXT}, {COUNTS}, {VOCAB}
       SELECT count(*) AS vocab_size, max(id) AS max_id, CAST(sum(CAST(is_special AS INTEGER)) AS BIGINT) AS n_special,
         CAST(0 AS BIGINT) AS n_continuation FROM vocab"""
@@ -317,6 +320,7 @@ def all_sql() -> dict[str, str]:
     q["pack_shards"] = f"""WITH {PLACED}
       SELECT shard_id, p // {BLOCK} AS block_id, min(p) AS pos, CAST(count(*) AS INTEGER) AS n_tokens,
         {IDS.format('id', 'p')} AS ids FROM kept GROUP BY 1, 2"""
+    q["shard_sink"] = f"SELECT * FROM ({q['pack_shards']}) WHERE shard_id >= 2"
     q["shard_stats"] = f"""WITH {PLACED}
       SELECT shard_id, count(*) AS n_tokens, count(DISTINCT p // {BLOCK}) AS n_blocks FROM kept GROUP BY shard_id"""
     q["expected_shards"] = f"""WITH {ENCODED}
@@ -389,6 +393,7 @@ def all_sql() -> dict[str, str]:
         rank, round(sum, 9) AS sum, count FROM meters"""
     q["accumulated_loss"] = f"""WITH {STEPS}
       SELECT rank, step, round(batch_loss, 9) AS batch_loss, round(fb_time, 9) AS fb_time, n FROM steps"""
+    q["log_sink"] = f"WITH {STEPS} SELECT rank, step, n FROM steps"
     q["step_loss"] = f"""WITH {STEPS}
       SELECT step, round(avg(batch_loss), 9) AS batch_loss, count(*) AS n_ranks FROM steps GROUP BY step"""
     q["throughput"] = f"""WITH {STEPS}

@@ -147,6 +147,35 @@ def _stream_source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
+def text_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Split documents written as text and read again, one record per line."""
+    out = new_path(spark, "text")
+    tables.write_text(select.split(_docs(spark, sf), 0.1), out)
+    return tables.read_text(spark, {s: [f"{out}/split={s}"] for s in ("train", "validation")})
+
+
+def shard_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards written, and a range of them read again."""
+    out = new_path(spark, "shards")
+    tables.write_shards(pack.pack_shards(_encoded(spark, sf), SHARD, BLOCK), out)
+    return tables.read_shards(spark, out, first=2).select("shard_id", "block_id", "pos", "n_tokens", _joined("ids"))
+
+
+def log_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Step records of two halves of a run appended to one table."""
+    out = new_path(spark, "log")
+    steps = _steps(spark, sf).select("rank", "step", "n")
+    for half in ("step % 2 = 0", "step % 2 = 1"):
+        tables.append_log(steps.where(half), out)
+    return spark.read.parquet(out)
+
+
+def vocab_sink(spark: SparkSession, sf: str) -> DataFrame:
+    out = new_path(spark, "vocab")
+    tables.write_vocab(_word_vocab(spark, sf), out)
+    return tables.read_vocab(spark, out)
+
+
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "stream")
     docs = _stream_source(spark, sf, "documents").select("doc_id", "text")
@@ -234,6 +263,7 @@ def all_queries() -> dict[str, Query]:
     q["union_sources"] = lambda s, sf: tables.union_sources(
         _docs(s, sf).select(F.lit("documents").alias("origin"), "text"), _conversations(s, sf)
     )
+    q["text_sink"] = text_sink
     q["limit_docs"] = lambda s, sf: select.first_n(_table(s, sf, "documents").select("doc_id", "lang", "n_chars"), 300)
     q["split_fraction"] = lambda s, sf: select.split(_table(s, sf, "documents").select("doc_id"), 0.1)
     q["split_count"] = lambda s, sf: select.split(_table(s, sf, "documents").select("doc_id"), 37)
@@ -261,6 +291,7 @@ def all_queries() -> dict[str, Query]:
     q["alphabet"] = lambda s, sf: vocab.alphabet(_counts(s, sf))
     q["pair_counts"] = lambda s, sf: vocab.pair_counts(_counts(s, sf))
     q["vocab_table"] = _word_vocab
+    q["vocab_sink"] = vocab_sink
     q["vocab_stats"] = lambda s, sf: vocab.vocab_stats(_word_vocab(s, sf))
     q["train_vocab"] = _piece_vocab
     q["train_byte_vocab"] = _byte_vocab
@@ -289,6 +320,7 @@ def all_queries() -> dict[str, Query]:
     q["pack_shards"] = lambda s, sf: pack.pack_shards(_encoded(s, sf), SHARD, BLOCK).select(
         "shard_id", "block_id", "pos", "n_tokens", _joined("ids")
     )
+    q["shard_sink"] = shard_sink
     q["shard_stats"] = flagship
     q["expected_shards"] = lambda s, sf: pack.expected_shards(_encoded(s, sf), SHARD)
     q["flat_stream"] = lambda s, sf: pack.flat_stream(
@@ -337,6 +369,7 @@ def all_queries() -> dict[str, Query]:
         digits=9,
     )
     q["accumulated_loss"] = lambda s, sf: _rounded(_steps(s, sf), "batch_loss", "fb_time", digits=9)
+    q["log_sink"] = log_sink
     q["step_loss"] = lambda s, sf: _rounded(metrics.step_loss(_steps(s, sf)), "batch_loss", digits=9)
     q["throughput"] = lambda s, sf: _rounded(
         metrics.throughput(_steps(s, sf), BATCH * ACCUMULATE * SEQ, RANKS), "throughput"

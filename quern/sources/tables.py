@@ -15,16 +15,12 @@ from quern.schemas import VOCAB
 def read_documents(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Order key and text of a document table; only these columns are read.
 
-    A table of fewer files than there are cores is spread over them, since
+    A table of fewer splits than there are cores is spread over them, since
     text work is heavy per row. Larger tables are read where they lie.
     """
     docs = spark.read.parquet(path).select(key, text)
-    return spread(docs)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def read_text(spark: SparkSession, files: Mapping[str, Iterable[str]]) -> DataFrame:
