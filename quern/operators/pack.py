@@ -15,7 +15,9 @@ from quern.operators.prefix import with_exclusive_sum
 
 # Rows that carry their tokens are heavy, so fewer of them share a window.
 HEAVY_ROWS_PER_WINDOW = 1 << 11
+# A shard is written as this many files at most, and small ones as a single file.
 RUNS_PER_SHARD = 8
+SHORTEST_RUN = 64
 BLOCKS_PER_RUN = 1024
 
 
@@ -90,7 +92,8 @@ class ShardCells:
         return pieces.withColumn("shard_id", shard).withColumn("block_id", block).drop("cell")
 
     def run(self) -> Column:
-        return F.expr(f"block_id * {RUNS_PER_SHARD} div {self.per_shard}")
+        length = max(SHORTEST_RUN, -(-self.per_shard // RUNS_PER_SHARD))
+        return F.expr(f"block_id div {length}")
 
 
 class FlatCells:
