@@ -149,10 +149,10 @@ def test_draws_follow_the_probabilities(spark):
 
 
 def test_retention(spark):
-    paths = ["c/gpt2-900.pt", "c/gpt2-1000.pt", "c/gpt2-10000.pt", "c/notes.txt"]
-    df = spark.createDataFrame([("gpt2", p) for p in paths] + [("other", "o-1.pt")], "model string, path string")
+    paths = ["c/model-900.pt", "c/model-1000.pt", "c/model-10000.pt", "c/notes.txt"]
+    df = spark.createDataFrame([("model", p) for p in paths] + [("other", "o-1.pt")], "model string, path string")
     kept_paths = lambda n: {r["path"] for r in ranking.retain_latest(df, n).where("keep").collect()}
-    assert kept_paths(2) == {"c/gpt2-1000.pt", "c/gpt2-10000.pt", "o-1.pt"}
+    assert kept_paths(2) == {"c/model-1000.pt", "c/model-10000.pt", "o-1.pt"}
     assert kept_paths(9) == set(paths[:3]) | {"o-1.pt"}
     assert kept_paths(0) == set()
 
