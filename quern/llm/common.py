@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quern.checks import require_columns
+from quern.llm import kernels
 from quern.session import stage
 
 #: Rows of a narrow id table that may be broadcast (about 64 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
-__all__ = ["BROADCAST_ROWS", "bounded", "fresh", "keep_ids", "require_columns", "stage"]
+__all__ = ["BROADCAST_ROWS", "add_struct", "bounded", "fresh", "keep_ids", "require_columns", "stage"]
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -32,3 +36,28 @@ def fresh(df: DataFrame, name: str) -> str:
 def keep_ids(docs: DataFrame, ids: DataFrame, key: str, inside: bool) -> DataFrame:
     """The rows of ``docs`` whose key is (not) among the staged ``ids``. A null key is in no list."""
     return docs.join(bounded(ids.select(key).distinct()), key, "left_semi" if inside else "left_anti")
+
+
+def add_struct(docs: DataFrame, text: str, name: str, fields: str, make: Callable, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) and a struct ``name`` made from the text.
+
+    ``make()`` is called once per task and gives a function from an Arrow string
+    array without nulls to a list of Arrow arrays, one for each of ``fields``
+    (a DDL list). It sees some rows at a time: at least one, and no more than
+    about a megabyte of text beyond that.
+    """
+    keep = list(docs.columns) if keep is None else keep
+    struct = StructType.fromDDL(fields)
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(name, struct)])
+    # the text goes first, under a name of its own
+    source = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(fresh(docs, "text_")), *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for lo, hi, _, _ in kernels.chunks(batch.column(0)):
+                part = batch.slice(lo, hi - lo)
+                made = pa.StructArray.from_arrays(work(part.column(0)), names=struct.fieldNames())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*keep, name])
+
+    return source.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard
+from quern.llm import jaccard, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf, "documents"), size=4, percent=85)
 
 
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality.quality_verdicts(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    return found.drop("n_lines", "n_marks", "n_upper", "n_letters", "n_digits")
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_rules)}
 
 
 def all_sql() -> dict[str, str]:
