@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard, quality
+from quern.llm import jaccard, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,19 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("n_lines", "n_marks", "n_upper", "n_letters", "n_digits")
 
 
+def tokenizer_path() -> str:
+    """The file of the packing contract, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path())
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_rules)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_rules, op7_best_fit_packing)}
 
 
 def all_sql() -> dict[str, str]:
