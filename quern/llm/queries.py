@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard, packing, quality
+from quern.llm import jaccard, packing, pii, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,22 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path())
 
 
+def op2_pii_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_digests(_table(spark, sf, "documents"))
+
+
+def op10_secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_digests(_table(spark, sf, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_rules, op7_best_fit_packing)}
+    return {f.__name__: f for f in (
+        op2_pii_anchors,
+        op3_ngram_jaccard_join,
+        op4_quality_rules,
+        op7_best_fit_packing,
+        op10_secret_entropy,
+    )}
 
 
 def all_sql() -> dict[str, str]:
