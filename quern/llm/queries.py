@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard, packing, pii, quality, secrets
+from quern.llm import jaccard, langid, packing, pii, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), tokenizer_path())
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.language_predictions(_table(spark, sf, "documents"))
+
+
 def op2_pii_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_digests(_table(spark, sf, "documents"))
 
@@ -45,6 +49,7 @@ def op10_secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
+        op1_language_id,
         op2_pii_anchors,
         op3_ngram_jaccard_join,
         op4_quality_rules,
