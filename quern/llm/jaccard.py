@@ -12,7 +12,9 @@ the inverted lists of its shingles. The join
    (most are, as most texts have no near copy);
 2. cuts the rest into blocks of an inverted index, near copies side by side,
    and sends each class, as a query, to the blocks that hold one of the rarest
-   of these shingles; the ``k - 1`` most frequent aren't needed for that;
+   of these shingles; the ``k - 1`` most frequent aren't needed for that. The
+   queries of one block for another are one row, so a group of copies that fills
+   many blocks makes rows by pairs of blocks, not of documents;
 3. runs the search in each block (:class:`Block`): short lists are merged, long
    lists are probed for the candidates by binary search, and classes that
    reach the required overlap are links. Tasks hold one block and a bounded
@@ -25,13 +27,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quern.llm import kernels
@@ -167,6 +170,39 @@ def shingle_rows(docs: DataFrame, size: int, percent: int, key: str, text: str,
     return rows.mapInArrow(_sets(size, percent, whole), StructType(fields))
 
 
+def _targets(spans: list[dict]) -> set[int]:
+    return {t for s in spans for t in range(s["first"], s["last"] + 1)}
+
+
+def _traffic(rows: pa.Table) -> pa.Table:
+    """Shingles that the queries of one block send to each block."""
+    sent: Counter[int] = Counter()
+    for n, spans in zip(rows.column("n").to_pylist(), rows.column("spans").to_pylist(), strict=True):
+        sent.update(dict.fromkeys(_targets(spans), n))
+    home = rows.column("block")[0].as_py()
+    return pa.table(
+        {"home": pa.array([home] * len(sent), pa.int32()), "block": pa.array(list(sent), pa.int32()), "tokens": pa.array(list(sent.values()), pa.int64())}
+    )
+
+
+def _pack(block: pa.Table, routes: pa.Table) -> pa.Table:
+    """The sets of one block as queries, one row per block they go to."""
+    sets = dict(zip(block.column("fp").to_pylist(), block.column("shingles").to_pylist(), strict=True))
+    to: dict[int, list[bytes]] = defaultdict(list)
+    for fp, spans in zip(routes.column("fp").to_pylist(), routes.column("spans").to_pylist(), strict=True):
+        for t in _targets(spans):
+            to[t].append(fp)
+    home = block.column("block")[0].as_py() if len(block) else 0
+    return pa.table(
+        {
+            "home": pa.array([home] * len(to), pa.int32()),
+            "block": pa.array(list(to), pa.int32()),
+            "fps": pa.array(list(to.values()), pa.list_(pa.binary())),
+            "queries": pa.array([[sets[fp] for fp in fps] for fps in to.values()], pa.list_(pa.binary())),
+        }
+    )
+
+
 def _search(percent: int):
     """A block and some of its queries to the links of these, as ``fp, n_links, root``."""
 
@@ -174,18 +210,19 @@ def _search(percent: int):
         owners = left.column("fp").to_pylist()
         copies = left.column("copies").to_numpy()
         block = Block([np.frombuffer(x, np.uint64) for x in left.column("shingles").to_pylist()], percent)
-        forest, links = _Forest(), {}
-        for fp, query in zip(right.column("fp").to_pylist(), right.column("query").to_pylist(), strict=True):
-            found = [d for d in block.search(np.frombuffer(query, np.uint64)).tolist() if owners[d] != fp]
-            if found:
-                links[fp] = int(copies[found].sum())
-                for d in found:
-                    forest.join(fp, owners[d])
+        forest, links = _Forest(), Counter()
+        for i in range(len(right)):
+            for fp, query in zip(right.column("fps")[i].as_py(), right.column("queries")[i].as_py(), strict=True):
+                found = [d for d in block.search(np.frombuffer(query, np.uint64)).tolist() if owners[d] != fp]
+                if found:
+                    links[fp] += int(copies[found].sum())
+                    for d in found:
+                        forest.join(fp, owners[d])
         nodes = list(forest.parent)
         return pa.table(
             {
                 "fp": pa.array(nodes, pa.binary()),
-                "n_links": pa.array([links.get(x, 0) for x in nodes], pa.int64()),
+                "n_links": pa.array([links[x] for x in nodes], pa.int64()),
                 "root": pa.array([forest.root(x) for x in nodes], pa.binary()),
             }
         )
@@ -266,17 +303,26 @@ def _links(docs, rows, size, percent, key, text, block_tokens) -> tuple[DataFram
     index = index.repartitionByRange(n_blocks, "near", "fp").withColumn("block", F.spark_partition_id())
     index = stage(index.select("block", "fp", "n", "copies", "index_tokens", "query_tokens", "shingles"), "index")
 
+    # the blocks that hold a shingle, as runs of block numbers: near copies lie side by side
+    each = Window.partitionBy("token").orderBy("block")
     places = index.select("block", F.explode("index_tokens").alias("token")).distinct()
-    asked = index.select("fp", "n", F.explode("query_tokens").alias("token"))
-    routes = stage(asked.join(places, "token").select("fp", "n", "block").distinct(), "routes")
-    parts = routes.groupBy("block").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("parts"))
+    runs = places.withColumn("run", F.col("block") - F.row_number().over(each)).groupBy("token", "run")
+    runs = runs.agg(F.struct(F.min("block").alias("first"), F.max("block").alias("last")).alias("span"))
+    spans = runs.groupBy("token").agg(F.collect_list("span").alias("spans"))
+    asked = index.select("fp", "block", "n", F.explode("query_tokens").alias("token"))
+    routes = asked.join(spans, "token").groupBy("fp", "block", "n").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+    routes = stage(routes, "routes")
+
+    # queries of one block for another travel as one row; those for one block are dealt to parts of bounded size
+    traffic = routes.groupBy("block").applyInArrow(_traffic, "home int, block int, tokens long")
+    before = F.sum("tokens").over(Window.partitionBy("block").orderBy("home").rowsBetween(Window.unboundedPreceding, -1))
+    parts = traffic.select("home", "block", F.floor(F.coalesce(before, F.lit(0)) / block_tokens).alias("part"))
     parts = stage(parts, "parts")
-    left = index.select("block", "fp", "copies", "shingles").join(parts, "block")
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = routes.select("fp", "block").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    right = right.drop("parts").join(index.select("fp", F.col("shingles").alias("query")), "fp")
+    packed = index.select("block", "fp", "shingles").groupBy("block").cogroup(routes.select("block", "fp", "spans").groupBy("block"))
+    packed = packed.applyInArrow(_pack, "home int, block int, fps array<binary>, queries array<binary>")
+    right = packed.join(bounded(parts), ["home", "block"]).groupBy("block", "part")
+    left = index.select("block", "fp", "copies", "shingles").join(bounded(stage(parts.select("block", "part").distinct(), "parts")), "block")
     schema = "fp binary, n_links long, root binary"
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(percent), schema)
-    found = stage(found, "links")
+    found = stage(left.groupBy("block", "part").cogroup(right).applyInArrow(_search(percent), schema), "links")
     links = found.groupBy("fp").agg(F.sum("n_links").alias("n_links"))
     return links, connected_components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
