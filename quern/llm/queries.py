@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard, langid, packing, pii, quality, secrets
+from quern.llm import decontam, jaccard, langid, licenses, packing, pii, quality, secrets, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("n_lines", "n_marks", "n_upper", "n_letters", "n_digits")
 
 
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf, "documents"))
+
+
+def op6_minhash_containment(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def tokenizer_path() -> str:
     """The file of the packing contract, where the public tokenizers are installed."""
     import public_tokenizers
@@ -43,6 +51,26 @@ def op2_pii_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_digests(_table(spark, sf, "documents"))
 
 
+# The rules of the URL contract.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages under the rules; without one, pages whose canonical URL was crawled more than once are blocked."""
+    pages = _table(spark, sf, "pages")
+    return urls.url_verdicts(pages, urls.repeated_urls(pages), URL_RULES)
+
+
+def op9_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.page_derivatives(_table(spark, sf, "pages"))
+
+
 def op10_secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf, "documents"))
 
@@ -53,7 +81,11 @@ def all_queries() -> dict[str, Query]:
         op2_pii_anchors,
         op3_ngram_jaccard_join,
         op4_quality_rules,
+        op5_license_scan,
+        op6_minhash_containment,
         op7_best_fit_packing,
+        op8_url_filter,
+        op9_warc_derivatives,
         op10_secret_entropy,
     )}
 
