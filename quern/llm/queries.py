@@ -88,7 +88,3 @@ def all_queries() -> dict[str, Query]:
         op9_warc_derivatives,
         op10_secret_entropy,
     )}
-
-
-def all_sql() -> dict[str, str]:
-    return {}
