@@ -144,7 +144,7 @@ def without_contained(docs: DataFrame, items: DataFrame, size: int = 5, threshol
 def contained_sql(size: int = 5, threshold: float = 0.8) -> str:
     """The pairs of tables ``documents`` and ``benchmark`` whose items all have ``size`` words or more, in DuckDB's SQL."""
     grams = f"""unnest(list_distinct([array_to_string(words[i:i + {size - 1}], ' ') FOR i IN range(1, len(words) - {size - 2})]))"""
-    words = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '') AS words"
+    words = "[w FOR w IN regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+') IF w <> ''] AS words"
     return f"""
 WITH i AS (SELECT item_id, {grams} AS gram FROM (SELECT item_id, {words} FROM benchmark)),
 d AS (SELECT doc_id, {grams} AS gram FROM (SELECT doc_id, {words} FROM documents)),

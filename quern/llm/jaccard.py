@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quern.llm import kernels
-from quern.llm.common import bounded, require_columns, stage
+from quern.llm.common import bounded, fresh, require_columns, stage
 from quern.llm.components import connected_components
 
 #: Shingles of a block of the index, and of the queries sent to it at a time, on average.
@@ -131,7 +131,7 @@ class _Forest:
 
 
 def _sets(size: int, percent: int, whole: bool):
-    """Rows ``(id, text)`` to ``id, n, fp, c`` and the whole set (bytes) or its head (longs)."""
+    """Rows ``(id, text, text key)`` to ``id, text key, n, fp, c`` and the whole set (bytes) or its head (longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,26 +147,33 @@ def _sets(size: int, percent: int, whole: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(2).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(prints, pa.binary()),
                         pa.array(np.array([int.from_bytes(p[:8], "little", signed=True) for p in prints], np.int64)),
                         last,
                     ],
-                    names=["doc_id", "n", "fp", "c", "shingles"],
+                    names=["doc_id", "text_key", "n", "fp", "c", "shingles"],
                 )
 
     return run
 
 
+def text_key(text: str) -> Column:
+    """A hash that tells texts of one id apart; null texts count as empty."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
 def shingle_rows(docs: DataFrame, size: int, percent: int, key: str, text: str, whole: bool) -> DataFrame:
     fields = [
         StructField("doc_id", docs.schema[key].dataType),
+        StructField("text_key", LongType()),
         StructField("n", LongType()),
         StructField("fp", BinaryType()),
         StructField("c", LongType()),
         StructField("shingles", BinaryType() if whole else ArrayType(LongType())),
     ]
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), text_key(text).alias("text_key"))
     return rows.mapInArrow(_sets(size, percent, whole), StructType(fields))
 
 
@@ -271,23 +278,54 @@ def jaccard_components(
     that link with each other. Other columns are ignored; an empty table gives
     an empty result. Shingles are compared by 64-bit hashes.
     """
+    found = _classes(docs, size, percent, key, text, block_tokens)
+    return found.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("linkable"), F.coalesce(F.col("n_links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("linkable"), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def _classes(docs: DataFrame, size: int, percent: int, key: str, text: str, block_tokens: int) -> DataFrame:
+    """Per row ``doc_id, text_key, n, fp, linkable`` and, of classes with copies or links, ``copies, n_links, root, least``."""
     require_columns(docs, key, text)
     rows = stage(shingle_rows(docs, size, percent, key, text, whole=False), "shingles")
     links, roots = _links(docs, rows, size, percent, key, text, block_tokens)
-    copies = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    found = copies.join(links, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    classes = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    found = classes.join(links, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     found = stage(found.where("copies > 1 OR root IS NOT NULL"), "linked")
     least = found.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
-    ids = found.join(least, "root", "left").select("fp", "copies", "n_links", F.coalesce("least", "rep").alias("least"))
-    ids = bounded(stage(ids, "components"))
-    out = rows.join(ids, "fp", "left")
-    has = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(has, F.coalesce(F.col("n_links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(has, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    ids = found.join(least, "root", "left").select("fp", "copies", "n_links", "root", F.coalesce("least", "rep").alias("least"))
+    ids = bounded(stage(ids, "classes"))
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return rows.drop("c", "shingles").join(ids, "fp", "left").withColumn("linkable", linkable)
+
+
+def one_of_each(
+    docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component.
+
+    The first is the one of the smallest ``doc_id`` (of rows that share it, the
+    one of the smallest hash of the text). Of rows that agree in id and text,
+    one stays, whichever. Rows without an id, and texts without words, link
+    with nothing and stay; see :func:`jaccard_components`.
+    """
+    rows = _classes(docs, size, percent, key, text, block_tokens).where("linkable AND copies IS NOT NULL")
+    members = rows.select("doc_id", "text_key", F.coalesce("root", "fp").alias("group"))
+    first = members.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    members = stage(members.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("times")).join(first, "group"), "members")
+    own = F.struct("doc_id", "text_key")
+    same = [F.col(f"`{key}`") == F.col("dropped_id"), text_key(text) == F.col("dropped_text")]
+    names = [F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_text")]
+    others = stage(members.where(own != F.col("first")).select(*names), "others")
+    kept = docs.join(bounded(others), same, "left_anti")
+    repeated = stage(members.where((own == F.col("first")) & (F.col("times") > 1)).select(*names), "repeated")
+    once, again = kept.join(bounded(repeated), same, "left_anti"), kept.join(bounded(repeated), same, "left_semi")
+    mark = fresh(docs, "text_key_")
+    again = again.withColumn(mark, text_key(text)).dropDuplicates([key, mark]).drop(mark)
+    return once.unionByName(again)
 
 
 def _links(docs, rows, size, percent, key, text, block_tokens) -> tuple[DataFrame, DataFrame]:

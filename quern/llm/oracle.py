@@ -52,7 +52,7 @@ WITH u AS (
     regexp_extract(coalesce(url, ''), '(?s)\\A.*?://[^?#]*\\?([^#]*)', 1) AS query
   FROM pages),
 k AS (
-  SELECT *, list_sort(list_filter(string_split(query, '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|session_?id)(=|$)'))) AS kept
+  SELECT *, list_sort([p FOR p IN string_split(query, '&') IF p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|session_?id)(=|$)')]) AS kept
   FROM u),
 c AS (
   SELECT page_id, host, path,
