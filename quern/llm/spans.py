@@ -59,5 +59,9 @@ def written(spans: Column) -> Column:
 def digests(spans: Column, kinds: list[str]) -> list[Column]:
     """``n_<kind>`` for each base kind, ``base_sha256`` and ``spans``."""
     base = F.filter(spans, lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in kinds]
     return [*counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans")]
