@@ -44,6 +44,14 @@ def small_enough(df: DataFrame, limit: int, what: str) -> int:
     return rows
 
 
+def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``limit`` rows, else as it is.
+
+    Counts at most ``limit + 1`` rows now, so ``df`` should be a staged table.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def token_range_report(encoded: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Lowest and highest id, number of ids, and whether all fit 16 bits."""
     require_columns(encoded, tokens)

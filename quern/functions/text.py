@@ -25,8 +25,8 @@ TONE_PAIRS = {
 }
 
 # What cleaning drops, with and without punctuation kept.
-DROP_KEEP_PUNCT = r"(?U)[^a-zA-Z0-9\s\p{IsLatin}\p{IsPunctuation}]+"
-DROP_NO_PUNCT = r"(?U)[^a-zA-Z0-9\s\p{IsLatin}]+"
+DROP_KEEP_PUNCT = r"(?U)[^\p{IsLatin}\p{IsPunctuation}0-9\s]+"
+DROP_NO_PUNCT = r"(?U)[^\p{IsLatin}0-9\s]+"
 
 # The characters stripped from the ends of a text.
 WHITE_SPACE = (
@@ -119,5 +119,17 @@ def join_byte_pieces(hex_tokens: Column) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """Make ``nfc(text)`` callable from Spark SQL."""
+    """Make ``nfc(text)`` and ``clean_text(text)`` callable from Spark SQL.
+
+    The second is a SQL function over built-ins and the first, so it is inlined
+    into the plan of the query that calls it.
+    """
+
+    def quoted(text: str) -> str:
+        return "'" + "".join(f"\\u{ord(c):04x}" for c in text) + "'"
+
     spark.udf.register("nfc", _nfc_udf())
+    kept = f"regexp_replace(nfc(t), r'{DROP_KEEP_PUNCT}', '')"
+    for old, new in TONE_PAIRS.items():
+        kept = f"replace({kept}, {quoted(old)}, {quoted(new)})"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_text(t STRING) RETURNS STRING RETURN btrim({kept}, {quoted(WHITE_SPACE)})")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ MAX_WORD_CHARS = 100
 # Words for encoding: special tokens are cut out of the text first.
 WORD_OR_SPECIAL = r"(?U)<unk>|<\|endoftext\|>|\n|\w+|(?:(?!<unk>|<\|endoftext\|>)[^\w\s])+"
 
-MEMO_WORDS = 1 << 20
+# Bytes (about) of words whose ids a task remembers.
+MEMO_BYTES = 128 << 20
+ENTRY_BYTES = 200
 
 
 def append_end(tokens: Column, end_id: int) -> Column:
@@ -31,22 +34,27 @@ def _ids_udf(make_encoder: Callable[[], Callable[[str], list[int]]]):
 
     Each distinct word of a batch is encoded once; the rest is array indexing.
     """
-    memo_words = MEMO_WORDS
+    most, entry = MEMO_BYTES, ENTRY_BYTES
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
         memo: dict[str, list[int]] = {}
+        held = 0
         for words in batches:
-            if len(memo) > memo_words:
-                memo.clear()
             borders = words.offsets.to_numpy()
             distinct = words.flatten().dictionary_encode()
             ids = []
             for word in distinct.dictionary.to_pylist():
-                if word not in memo:
-                    memo[word] = encoder(word)
-                ids.append(memo[word])
+                found = memo.get(word)
+                if found is None:
+                    found = encoder(word)
+                    held += entry + 4 * len(word) + 8 * len(found)
+                    if held > most:
+                        memo, held = {}, 0
+                    else:
+                        memo[word] = found
+                ids.append(found)
             sizes = np.fromiter((len(i) for i in ids), np.int64, len(ids))
             flat = np.fromiter((i for word in ids for i in word), np.int32, int(sizes.sum()))
             starts = np.cumsum(sizes) - sizes
@@ -126,6 +134,8 @@ def encode_bytes(
 
     Within each piece of text the neighbours whose union has the lowest id are
     joined until no union is a token. Special tokens in the text are plain text.
+    A heap over linked neighbours makes this ``n log n`` in the bytes of a
+    piece, whose length has no limit.
     """
     require_columns(texts, text)
     ids = vocab_ids(vocab)
@@ -139,21 +149,33 @@ def encode_bytes(
     }
     single = [by_bytes[bytes([b])] for b in range(256)]
     shared = texts.sparkSession.sparkContext.broadcast((single, unions))
-    no_union = MAX_VOCAB
-
     def make_encoder():
         single, unions = shared.value
 
         def encode(piece: str) -> list[int]:
             parts = [single[b] for b in piece.encode("utf-8")]
-            while len(parts) > 1:
-                joined = [unions.get(pair, no_union) for pair in zip(parts, parts[1:])]
-                best = min(joined)
-                if best == no_union:
-                    break
-                at = joined.index(best)
-                parts[at:at + 2] = [best]
-            return parts
+            n = len(parts)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            # unions to make, lowest id and leftmost first; one is void once a side has changed
+            todo = [
+                (union, i, left, right)
+                for i, (left, right) in enumerate(zip(parts, parts[1:]))
+                if (union := unions.get((left, right))) is not None
+            ]
+            heapq.heapify(todo)
+            while todo:
+                union, i, left, right = heapq.heappop(todo)
+                j = after[i]
+                if parts[i] != left or j >= n or parts[j] != right:
+                    continue
+                parts[i], parts[j] = union, None
+                after[i] = after[j]
+                if after[i] < n:
+                    before[after[i]] = i
+                for a, b in ((before[i], i), (i, after[i])):
+                    if a >= 0 and b < n and (more := unions.get((parts[a], parts[b]))) is not None:
+                        heapq.heappush(todo, (more, a, parts[a], parts[b]))
+            return [p for p in parts if p is not None]
 
         return encode
 
@@ -206,20 +228,37 @@ def encode_words(
     return ids.select(*key, tokens.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
 
+def _tokens_udf(shared):
+    """Arrow UDF from lists of ids to lists of their tokens; ids that aren't in the table are left out."""
+
+    @F.arrow_udf("array<string>")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        by_id = pa.array(shared.value, pa.string())
+        known = np.array([t is not None for t in shared.value] + [False])
+        for ids in batches:
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            place = np.where((flat >= 0) & (flat < len(by_id)), flat, len(by_id)).astype(np.int64)
+            kept = known[place]
+            ends = np.concatenate([[0], np.cumsum(kept)])
+            borders = ids.offsets.to_numpy()
+            offsets = pa.array(ends[borders - borders[0]].astype(np.int32))
+            yield pa.ListArray.from_arrays(offsets, by_id.take(pa.array(place[kept])))
+
+    return tokens
+
+
 def decode_ids(
     encoded: DataFrame, vocab: DataFrame, key: list[str], tokens: str = "tokens", byte_level: bool = False
 ) -> DataFrame:
-    """``key, text``: look the ids up and join the pieces; specials are left out."""
+    """``key, text``: look the ids up and join the pieces; specials are left out.
+
+    The vocabulary (size checked) is broadcast as an array; the rows stay where they are.
+    """
     require_columns(encoded, tokens, *key)
     small_enough(vocab, MAX_VOCAB, "vocabulary")
-    known = F.broadcast(vocab.where(~F.col("is_special")).select("id", "token"))
-    found = (
-        encoded.select(*key, tokens).repartition(*key)
-        .select(*key, F.posexplode_outer(tokens).alias("pos", "id"))
-        .join(known, "id", "left")
-    )
-    entry = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
-    pieces = found.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    ordered = F.col("e.token")
-    joined = join_byte_pieces(ordered) if byte_level else join_word_pieces(ordered)
-    return pieces.select(*key, joined.alias("text"))
+    plain = {r["id"]: r["token"] for r in vocab.where(~F.col("is_special")).select("id", "token").collect()}
+    by_id = [plain.get(i) for i in range(max(plain, default=-1) + 1)]
+    shared = encoded.sparkSession.sparkContext.broadcast(by_id)
+    pieces = _tokens_udf(shared)(F.coalesce(F.col(tokens), F.array().cast("array<int>")))
+    joined = join_byte_pieces(pieces) if byte_level else join_word_pieces(pieces)
+    return encoded.select(*key, joined.alias("text"))

@@ -15,10 +15,10 @@ from quern.operators.prefix import with_exclusive_sum
 
 # Rows that carry their tokens are heavy, so fewer of them share a window.
 HEAVY_ROWS_PER_WINDOW = 1 << 11
-# A shard is written as this many files at most, and small ones as a single file.
-RUNS_PER_SHARD = 8
-SHORTEST_RUN = 64
+# Neighbouring blocks that share a task, and so a file. A group's size doesn't depend on the shard's.
 BLOCKS_PER_RUN = 1024
+# Tokens of the records that share a window, unless one record alone has more.
+TOKENS_PER_WINDOW = 1 << 24
 
 
 def token_offsets(
@@ -29,7 +29,9 @@ def token_offsets(
 ) -> DataFrame:
     """Add ``token_offset``: where a record starts in the concatenated stream."""
     require_columns(encoded, "n_tokens")
-    return with_exclusive_sum(encoded, "n_tokens", order_by, "token_offset", partition_by, rows_per_window)
+    return with_exclusive_sum(
+        encoded, "n_tokens", order_by, "token_offset", partition_by, rows_per_window, sum_per_window=TOKENS_PER_WINDOW
+    )
 
 
 def pack_shards(
@@ -38,6 +40,7 @@ def pack_shards(
     block_size: int = 1024,
     order_by: str | Sequence[str] = "doc_id",
     partition_by: Sequence[str] = (),
+    rows_per_window: int = HEAVY_ROWS_PER_WINDOW,
 ) -> DataFrame:
     """``shard_id, block_id, pos, n_tokens, ids`` with exactly full shards.
 
@@ -46,7 +49,7 @@ def pack_shards(
     block within its shard.
     """
     cells = ShardCells(shard_size, block_size)
-    pieces = cells.number(cut(token_offsets(encoded, order_by, partition_by), cells, list(partition_by)))
+    pieces = cells.number(cut(token_offsets(encoded, order_by, partition_by, rows_per_window), cells, list(partition_by)))
     blocks = assemble(pieces, [*partition_by, "shard_id"], cells.run(), "block_id")
     return blocks.where(~lone_token()).select(
         *partition_by, "shard_id", "block_id", (F.col("block_id") * block_size).alias("pos"), "n_tokens", "ids"
@@ -58,10 +61,11 @@ def flat_stream(
     block_size: int = 1024,
     order_by: str | Sequence[str] = "doc_id",
     partition_by: Sequence[str] = (),
+    rows_per_window: int = HEAVY_ROWS_PER_WINDOW,
 ) -> DataFrame:
     """``block_id, pos, n_tokens, ids``: one uncut stream per partition."""
     cells = FlatCells(block_size)
-    pieces = cells.number(cut(token_offsets(encoded, order_by, partition_by), cells, list(partition_by)))
+    pieces = cells.number(cut(token_offsets(encoded, order_by, partition_by, rows_per_window), cells, list(partition_by)))
     blocks = assemble(pieces, list(partition_by), cells.run(), "block_id")
     return blocks.select(
         *partition_by, "block_id", (F.col("block_id") * block_size).alias("pos"), "n_tokens", "ids"
@@ -92,8 +96,7 @@ class ShardCells:
         return pieces.withColumn("shard_id", shard).withColumn("block_id", block).drop("cell")
 
     def run(self) -> Column:
-        length = max(SHORTEST_RUN, -(-self.per_shard // RUNS_PER_SHARD))
-        return F.expr(f"block_id div {length}")
+        return F.expr(f"block_id div {BLOCKS_PER_RUN}")
 
 
 class FlatCells:

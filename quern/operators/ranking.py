@@ -9,7 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.checks import require_columns, require_positive
+from quern.checks import broadcast_if_small, require_columns
+from quern.session import stage
+
+# Models whose cuts may be broadcast.
+MAX_MODELS = 1_000_000
 
 
 def _row():
@@ -85,6 +89,7 @@ def retain_latest(files: DataFrame, limit: int) -> DataFrame:
     The step is the number in names such as ``model-900.pt``. Nothing is
     deleted; the rows not kept are what a caller may remove. Only the best
     ``limit`` rows of each task are grouped, so a model may have any number.
+    The cuts of the models are found at once and staged.
     """
     require_columns(files, "model", "path")
     steps = files.withColumn("step", F.regexp_extract("path", r"-(\d+)\.pt$", 1).try_cast("long"))
@@ -93,5 +98,7 @@ def retain_latest(files: DataFrame, limit: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("step"), F.desc("path")))
     best = steps.where("step is not null").select("model", "step", "path").withColumn("__n", place)
     cut = best.where(F.col("__n") <= limit).groupBy("model").agg(F.min(F.struct("step", "path")).alias("__cut"))
+    # one row per model; the manifest itself doesn't move unless there are very many models
+    cut = broadcast_if_small(stage(cut, "cuts"), MAX_MODELS)
     kept = F.struct("step", "path") >= F.col("__cut")
     return steps.join(cut, "model", "left").withColumn("keep", F.coalesce(kept, F.lit(False))).drop("__cut")

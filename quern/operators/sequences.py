@@ -7,10 +7,14 @@ stream; sequence, batch, rank and step then follow by division.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.checks import require_columns, require_positive, require_rows
+from quern.checks import broadcast_if_small, require_columns, require_positive, require_rows
 from quern.operators.prefix import with_exclusive_sum
+from quern.session import stage
+
+# Shards, or ranks, whose narrow rows may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def usable_bases(blocks: DataFrame) -> DataFrame:
@@ -41,13 +45,15 @@ def _segments(blocks: DataFrame, seq_length: int) -> DataFrame:
     """One row per block and sequence it feeds, holding the tokens it gives.
 
     A sequence takes one segment from each shard it touches: the usable tokens
-    and the one after them. Only that one token is sent twice.
+    and the one after them. Only that one token is sent twice. Where the shards
+    start is found at once, from the sizes alone, and staged; their blocks stay
+    where they are.
     """
     require_columns(blocks, "shard_id", "pos", "n_tokens", "ids")
     require_positive(seq_length=seq_length)
-    placed = blocks.select("shard_id", "pos", "n_tokens", "ids").join(
-        usable_bases(blocks).where("usable > 0").select("shard_id", "usable", "base"), "shard_id"
-    )
+    bases = stage(usable_bases(blocks).where("usable > 0").select("shard_id", "usable", "base"), "bases")
+    bases = broadcast_if_small(bases, BROADCAST_ROWS)
+    placed = blocks.select("shard_id", "pos", "n_tokens", "ids").join(bases, "shard_id")
     first = F.expr(f"(base + greatest(pos - 1, 0)) div {seq_length}")
     last = F.expr(f"(base + least(pos + n_tokens - 1, usable - 1)) div {seq_length}")
     cells = placed.select("*", F.explode(F.sequence(first, last)).alias("seq_id"))
@@ -164,27 +170,40 @@ def batch_plan(
     )
 
 
-def epoch_plan(plan: DataFrame, epochs: int, train_steps: int) -> DataFrame:
-    """Replay the optimizer steps of ``plan`` for some epochs, ``train_steps`` at most.
+def epoch_plan(plan: DataFrame, train_steps: int) -> DataFrame:
+    """Replay the optimizer steps of ``plan`` until each rank has made ``train_steps``.
 
     The order is the same in each epoch, and ``global_step`` counts on, per
-    rank, over the steps that the rank makes.
+    rank, over the steps that the rank makes. A plan without a full step can't
+    be replayed and is an error.
     """
-    require_positive(epochs=epochs, train_steps=train_steps)
+    require_positive(train_steps=train_steps)
     steps = plan.where(F.col("opt_step").isNotNull()).groupBy("rank", "opt_step").agg(
         F.count("*").alias("micro_batches")
     )
-    per_epoch = steps.groupBy("rank").agg(F.count("*").alias("steps_per_epoch"))
-    replayed = steps.join(per_epoch, "rank").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
-    )
+    per_epoch = stage(steps.groupBy("rank").agg(F.count("*").alias("steps_per_epoch")), "epochs")
+    require_rows(per_epoch, "optimizer steps of an epoch")
+    global_step = F.col("epoch") * F.col("steps_per_epoch") + F.col("opt_step")
+    # those of the epochs in which this step comes before ``train_steps``
+    last = F.expr(f"({train_steps} - 1 - opt_step) div steps_per_epoch")
     return (
-        replayed.withColumn("global_step", F.col("epoch") * F.col("steps_per_epoch") + F.col("opt_step"))
-        .where(F.col("global_step") < train_steps)
-        .select("rank", "epoch", "opt_step", "global_step", "micro_batches")
+        steps.join(broadcast_if_small(per_epoch, BROADCAST_ROWS), "rank")
+        .where(F.col("opt_step") < train_steps)
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("epoch"))
+        .select("rank", F.col("epoch").cast("int").alias("epoch"), "opt_step", global_step.alias("global_step"), "micro_batches")
     )
 
 
+def write_ranks(dealt: DataFrame, path: str) -> None:
+    """Batches as a Parquet table with a folder per rank, in order of step and row within each file."""
+    dealt.sortWithinPartitions("rank", "step", "row_in_batch").write.partitionBy("rank").parquet(path)
+
+
+def read_rank(spark: SparkSession, path: str, rank: int) -> DataFrame:
+    """What one rank trains on; the folders of other ranks aren't opened."""
+    return spark.read.parquet(path).where(F.col("rank") == rank)
+
+
 def eval_batches(dealt: DataFrame, valid_steps: int) -> DataFrame:
     """The first ``valid_steps`` batches of each rank, one at least."""
     return dealt.where(F.col("step") < max(valid_steps, 1))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from quern.checks import MAX_TOKEN_ID, require_columns, require_positive, small_enough
 from quern.functions.text import byte_level_pieces, pretokenize
 from quern.schemas import VOCAB
-from quern.session import stage
+from quern.session import stage, unstage
 
 # Special tokens, and the mark of a piece that continues a word.
 UNKNOWN = "<unk>"
@@ -110,8 +110,10 @@ def _neighbours(state: DataFrame, pairs: list[str]) -> dict[str, tuple[int, dict
     """For each given pair the largest count of a triple it is part of, and
     the counts of the triples it forms with another given pair."""
     wanted = ", ".join("'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in pairs)
-    counted = _runs(state, 3).groupBy("s0", "s1", "s2").agg(F.sum("n").alias("n"))
     first, second = F.concat_ws("  ", "s0", "s1"), F.concat_ws("  ", "s1", "s2")
+    # triples without a given pair are dropped before they are counted
+    runs = _runs(state, 3).where(first.isin(pairs) | second.isin(pairs))
+    counted = runs.groupBy("s0", "s1", "s2").agg(F.sum("n").alias("n"))
     sides = F.array(
         F.struct(first.alias("pair"), second.alias("other")),
         F.struct(second.alias("pair"), first.alias("other")),
@@ -218,8 +220,10 @@ def learn_merges(
     while len(known) < limit:
         current = base.select(_apply(F.col("symbols"), unwritten).alias("symbols"), "n")
         if len(unwritten) >= pending:
-            base = stage(current.where(F.size(F.split(F.trim("symbols"), "  ")) > 1), "words")
-            current, unwritten = base, []
+            written = stage(current.where(F.size(F.split(F.trim("symbols"), "  ")) > 1), "words")
+            unstage(base)
+            base = current = written
+            unwritten = []
         ranked = [
             (r["l"], r["r"], r["n"])
             for r in _count_pairs(current)
@@ -237,6 +241,7 @@ def learn_merges(
         known.update(m.token for m in taken)
         merges += taken
         unwritten += taken
+    unstage(base)
     return merges
 
 
@@ -258,6 +263,7 @@ def train_vocab(
     """
     require_columns(counts, "word", "n")
     require_positive(vocab_size=vocab_size)
+    spark = counts.sparkSession
     counts = stage(counts, "counts")
     letters = alphabet(counts)
     small_enough(letters, MAX_VOCAB, "alphabet")
@@ -270,8 +276,9 @@ def train_vocab(
         if m.token not in known:
             known.add(m.token)
             tokens.append((m.token, False, m.left.startswith(CONTINUATION)))
+    unstage(counts)
     tokens.append((NEWLINE, True, False))
-    return _vocab_table(counts.sparkSession, list({t[0]: t for t in reversed(tokens)}.values())[::-1])
+    return _vocab_table(spark, list({t[0]: t for t in reversed(tokens)}.values())[::-1])
 
 
 def train_byte_vocab(

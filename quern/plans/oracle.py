@@ -13,12 +13,15 @@ from quern.plans.queries import (
     BATCH,
     BLOCK,
     BYTE_VOCAB,
+    DECOMPOSED,
     MIN_FREQ,
+    PADDING,
     PIECE_VOCAB,
     RANKS,
     SEED,
     SEQ,
     SHARD,
+    TRAIN_STEPS,
     VOCAB_SIZE,
     WORLD,
 )
@@ -41,9 +44,18 @@ def _tone(text: str) -> str:
     return text
 
 
+def _chars(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text)
+
+
+def _decomposed(text: str) -> str:
+    for whole, apart in DECOMPOSED.items():
+        text = f"replace({text}, '{whole}', {_chars(apart)})"
+    return text
+
+
 def _strip(text: str) -> str:
-    spaces = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
-    return f"trim({text}, {spaces})"
+    return f"trim({text}, {_chars(WHITE_SPACE)})"
 
 
 def _clean(text: str) -> str:
@@ -232,17 +244,23 @@ def all_sql() -> dict[str, str]:
     q["split_counts"] = f"SELECT split, count(*) AS n_docs FROM ({frac}) GROUP BY split"
     q["text_sink"] = f"""SELECT split, unnest(string_split(text, chr(10))) AS line
       FROM documents JOIN ({frac}) USING (doc_id)"""
+    q["rename_split"] = """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'validation' ELSE 'train' END AS split
+      FROM documents"""
+    q["text_order"] = f"""SELECT split, line, row_number() OVER (PARTITION BY split ORDER BY doc_id, line_no) - 1 AS place
+      FROM (SELECT doc_id, split, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no
+        FROM (SELECT doc_id, split, string_split(text, chr(10)) AS ls FROM documents JOIN ({frac}) USING (doc_id)))"""
     q["shuffle_docs"] = f"SELECT doc_id, rn - 1 AS pos FROM ({ranked})"
     q["chunk_ids"] = "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS chunk_id FROM documents"
     q["contiguous_pieces"] = "SELECT doc_id, ntile(48) OVER (ORDER BY doc_id) - 1 AS piece_id FROM documents"
 
     for name, expr in {
-        "nfc_text": "nfc_normalize(text)",
+        "nfc_text": f"nfc_normalize({_decomposed('text')})",
         "clean_charset": _charset("text"),
         "clean_nopunct": _charset("text", punct=False),
         "normalize_tone": _tone("text"),
-        "strip_text": _strip("text"),
+        "strip_text": _strip(f"{_chars(PADDING)} || text || {_chars(PADDING[::-1])}"),
         "clean_text": _clean("text"),
+        "clean_sql": _clean("text"),
     }.items():
         q[name] = f"SELECT doc_id, {expr} AS text FROM documents"
     q["pretokenize"] = f"WITH {TEXT} SELECT doc_id, CAST(pos AS INTEGER) AS pos, word FROM word_rows"
@@ -303,6 +321,7 @@ def all_sql() -> dict[str, str]:
     q["encode_bpe"] = f"""{bytes_encoded}
       SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos, j) AS tokens,
         CAST(count(*) AS INTEGER) AS n_tokens FROM flat GROUP BY doc_id"""
+    q["keep_text"] = f"SELECT doc_id, clean.text, n_tokens FROM ({q['encode_wordpiece']}) JOIN (WITH {CLEAN} SELECT * FROM clean) clean USING (doc_id)"
     q["decode_ids"] = f"""WITH {ENCODED}
       SELECT doc_id, replace(coalesce(string_agg(token, ' ' ORDER BY pos), ''), ' ##', '') AS text
       FROM tokens LEFT JOIN (SELECT * FROM vocab WHERE NOT is_special) v USING (id) GROUP BY doc_id"""
@@ -320,7 +339,7 @@ def all_sql() -> dict[str, str]:
     q["pack_shards"] = f"""WITH {PLACED}
       SELECT shard_id, p // {BLOCK} AS block_id, min(p) AS pos, CAST(count(*) AS INTEGER) AS n_tokens,
         {IDS.format('id', 'p')} AS ids FROM kept GROUP BY 1, 2"""
-    q["shard_sink"] = f"SELECT * FROM ({q['pack_shards']}) WHERE shard_id >= 2"
+    q["shard_sink"] = q["pack_shards"]
     q["shard_stats"] = f"""WITH {PLACED}
       SELECT shard_id, count(*) AS n_tokens, count(DISTINCT p // {BLOCK}) AS n_blocks FROM kept GROUP BY shard_id"""
     q["expected_shards"] = f"""WITH {ENCODED}
@@ -330,6 +349,7 @@ def all_sql() -> dict[str, str]:
         FROM tokens JOIN ({frac}) USING (doc_id))
       SELECT split, g // {BLOCK} AS block_id, min(g) AS pos, CAST(count(*) AS INTEGER) AS n_tokens,
         {IDS.format('id', 'g')} AS ids FROM placed GROUP BY 1, 2"""
+    q["flat_sink"] = q["flat_stream"]
     q["line_stream"] = f"""WITH RECURSIVE {PIECE_TRAINING}, {PLAIN},
       lines AS (
         SELECT doc_id * 1000000 + line_no AS k, {_clean('line')} AS text
@@ -358,8 +378,10 @@ def all_sql() -> dict[str, str]:
         QUALIFY count(*) OVER (PARTITION BY u // {SEQ * BATCH}) = {SEQ * BATCH})"""
     row = f"CAST(seq_id % {BATCH} AS INTEGER) AS row_in_batch"
     rank = f"CAST(batch_id % {WORLD} AS INTEGER) AS rank, batch_id // {WORLD} AS step"
-    q["lm_batches"] = f"WITH {batches} SELECT batch_id, {row}, {both} FROM batched GROUP BY batch_id, seq_id"
+    q["lm_batches"] = f"""WITH {batches} SELECT batch_id, {row}, 'array<bigint>' AS id_type, {both}
+      FROM batched GROUP BY batch_id, seq_id"""
     q["rank_batches"] = f"WITH {batches} SELECT {rank}, {row}, seq_id, {both} FROM batched GROUP BY batch_id, seq_id"
+    q["rank_sink"] = q["rank_batches"]
     q["eval_batches"] = f"""WITH {batches}
       SELECT {rank}, {row}, {both} FROM batched WHERE batch_id // {WORLD} < 20 GROUP BY batch_id, seq_id"""
     plan = f"""{batches}, plan AS (
@@ -373,11 +395,12 @@ def all_sql() -> dict[str, str]:
         CAST({BATCH * ACCUMULATE * SEQ} AS BIGINT) AS tokens_per_step FROM plan"""
     q["epoch_plan"] = f"""WITH {plan},
       opt AS (SELECT rank, opt_step, count(*) AS micro_batches FROM plan WHERE opt_step IS NOT NULL GROUP BY 1, 2),
+      sized AS (SELECT *, count(*) OVER (PARTITION BY rank) AS per_epoch FROM opt),
       replayed AS (
-        SELECT rank, CAST(e.range AS INTEGER) AS epoch, opt_step,
-          e.range * count(*) OVER (PARTITION BY rank, e.range) + opt_step AS global_step, micro_batches
-        FROM opt, range(3) e)
-      SELECT rank, epoch, opt_step, global_step, micro_batches FROM replayed WHERE global_step < 250"""
+        SELECT rank, unnest(range(0, CAST(ceil({TRAIN_STEPS} / per_epoch) AS BIGINT))) AS epoch, opt_step, per_epoch,
+          micro_batches FROM sized)
+      SELECT rank, CAST(epoch AS INTEGER) AS epoch, opt_step, epoch * per_epoch + opt_step AS global_step, micro_batches
+      FROM replayed WHERE epoch * per_epoch + opt_step < {TRAIN_STEPS}"""
 
     q["weighted_mean"] = """SELECT event_type, round(sum(value * event_id), 2) AS sum,
         CAST(sum(event_id) AS BIGINT) AS count, round(sum(value * event_id) / sum(event_id), 6) AS average
@@ -451,8 +474,8 @@ def all_sql() -> dict[str, str]:
       SELECT g // 100000 AS shard_id, g % 100000 // {BLOCK} AS block_id, CAST(count(*) AS INTEGER) AS n_tokens,
         {IDS.format('id', 'g')} AS ids
       FROM (SELECT * FROM placed QUALIFY count(*) OVER (PARTITION BY g // 100000) > 1) GROUP BY 1, 2"""
-    q["stream_metrics"] = """SELECT event_id // 500 AS flush, count(*) AS n_steps, max(event_id) AS last_step,
-        round(avg(value / 100), 9) AS batch_loss FROM events GROUP BY 1"""
-    q["stream_interval_loss"] = """SELECT event_id // 100 AS interval, max(event_id) AS step,
-        round(avg(value / 100), 9) AS train_loss FROM events GROUP BY 1 HAVING max(event_id) % 100 = 99"""
+    q["stream_metrics"] = f"""SELECT event_id // {RANKS} // 125 AS flush, event_id // {RANKS} AS step,
+        round(avg(value / 100), 9) AS batch_loss, count(*) AS n_ranks FROM events GROUP BY 1, 2"""
+    q["stream_interval_loss"] = f"""SELECT event_id // {RANKS} // 25 AS interval, max(event_id // {RANKS}) AS step,
+        round(avg(value / 100), 9) AS train_loss FROM events GROUP BY 1 HAVING max(event_id // {RANKS}) % 25 = 24"""
     return q

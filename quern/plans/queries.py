@@ -22,7 +22,14 @@ PIECE_VOCAB, BYTE_VOCAB = 200, 300
 SHARD, BLOCK = 10_000, 1_024
 SEQ, BATCH, WORLD, ACCUMULATE = 128, 4, 3, 2
 RANKS = 4
+TRAIN_STEPS = 250
 SEED = select.DEFAULT_SEED
+# Far below the default, so that small tables, too, take running totals over several levels of nodes.
+WINDOW = 64
+# Micro-batches of the stream queries.
+STREAM_FILES = 8
+# Partitions that documents are dealt to; for benches on tables of one split. None leaves them where they lie.
+SPREAD: int | None = None
 
 _staged: dict[tuple[str, str, str], object] = {}
 
@@ -45,7 +52,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.read_documents(spark, f"{sf}/documents.parquet")
+    return tables.read_documents(spark, f"{sf}/documents.parquet", partitions=SPREAD)
 
 
 def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,10 +148,31 @@ def _mapped(f: Callable[[Column], Column]) -> Query:
     return lambda s, sf: _docs(s, sf).select("doc_id", f(F.col("text")).alias("text"))
 
 
-def _stream_source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = _table(spark, sf, name).schema
-    rows = tables.stream_documents(spark, sf, schema, pattern=f"{name}.parquet")
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+def _stream_source(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table as a stream of files, one per micro-batch, in ranges of its key.
+
+    The files are written one after the other, as a stream takes them by age.
+    """
+
+    def build() -> str:
+        rows, out = _table(spark, sf, name), new_path(spark, "arriving")
+        low, high = rows.agg(F.min(key), F.max(key)).first()
+        step = (high - low) // STREAM_FILES + 1
+        for i in range(STREAM_FILES):
+            own = rows.where(F.col(key).between(low + i * step, low + (i + 1) * step - 1))
+            own.coalesce(1).write.parquet(f"{out}/part={i}")
+        return out
+
+    path = _once(spark, sf, f"arriving-{name}", build)
+    rows = tables.stream_documents(spark, f"{path}/*", _table(spark, sf, name).schema, files_per_batch=1)
+    return rows
+
+
+def _batches_run(run) -> None:
+    """Wait for a stream to end; it must have run one micro-batch per file."""
+    run.awaitTermination()
+    if run.lastProgress["batchId"] != STREAM_FILES - 1:
+        raise ValueError(f"expected {STREAM_FILES} micro-batches, the last was {run.lastProgress['batchId']}")
 
 
 def text_sink(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,10 +183,54 @@ def text_sink(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shard_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """Shards written, and a range of them read again."""
+    """Shards written, and all of them read again, in two ranges."""
     out = new_path(spark, "shards")
-    tables.write_shards(pack.pack_shards(_encoded(spark, sf), SHARD, BLOCK), out)
-    return tables.read_shards(spark, out, first=2).select("shard_id", "block_id", "pos", "n_tokens", _joined("ids"))
+    tables.write_shards(pack.pack_shards(_encoded(spark, sf), SHARD, BLOCK, rows_per_window=WINDOW), out)
+    both = tables.read_shards(spark, out, last=1).unionByName(tables.read_shards(spark, out, first=2))
+    return both.select("shard_id", "block_id", "pos", "n_tokens", _joined("ids"))
+
+
+def flat_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """One uncut stream per split, written and read again."""
+    out = new_path(spark, "flat")
+    tables.write_shards(pack.flat_stream(select.split(_encoded(spark, sf), 0.1), BLOCK, partition_by=["split"]), out)
+    return tables.read_shards(spark, out).select("split", "block_id", "pos", "n_tokens", _joined("ids"))
+
+
+def rank_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches written with a folder per rank, and each rank's read again."""
+    out = new_path(spark, "ranks")
+    sequences.write_ranks(sequences.rank_batches(_shards(spark, sf), SEQ, BATCH, WORLD), out)
+    read = [sequences.read_rank(spark, out, r) for r in range(WORLD)]
+    return _sequences(tables.union_sources(*read), "rank", "step", "row_in_batch", "seq_id")
+
+
+def text_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of text files written in key order, with their places in the order of the files."""
+    out = new_path(spark, "ordered")
+    docs = select.split(_docs(spark, sf), 0.1).repartitionByRange(4, "doc_id").sortWithinPartitions("split", "doc_id")
+    tables.write_text(docs, out)
+    lines = tables.read_text_in_order(spark, {s: [f"{out}/split={s}"] for s in ("train", "validation")})
+    return with_position(lines, tables.LINE_ORDER, "place", ["split"], WINDOW).select("split", "place", "line")
+
+
+def clean_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaning called from SQL."""
+    T.register_sql(spark)
+    _docs(spark, sf).createOrReplaceTempView("quern_clean_docs")
+    return spark.sql("SELECT doc_id, clean_text(text) AS text FROM quern_clean_docs")
+
+
+def _decomposed(c: Column) -> Column:
+    """Texts that need NFC: some letters with their accents apart."""
+    for whole, apart in DECOMPOSED.items():
+        c = F.replace(c, F.lit(whole), F.lit(apart))
+    return c
+
+
+def _padded(c: Column) -> Column:
+    """Texts that need stripping, with white space of several kinds at both ends."""
+    return F.concat(F.lit(PADDING), c, F.lit(PADDING[::-1]))
 
 
 def log_sink(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,52 +248,52 @@ def vocab_sink(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_vocab(spark, out)
 
 
+# What the queries of NFC and stripping put into the texts.
+DECOMPOSED = {"é": "e\u0301", "ü": "u\u0308", "ñ": "n\u0303", "a": "a\u0323\u0302"}
+PADDING = " \t\x1f\u00a0\n\u2003"
+
+
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "stream")
-    docs = _stream_source(spark, sf, "documents").select("doc_id", "text")
-    stream_corpus.append_stream(stream_corpus.clean_stream(docs), f"{out}/rows", f"{out}/log").awaitTermination()
+    docs = _stream_source(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    _batches_run(stream_corpus.append_stream(stream_corpus.clean_stream(docs), f"{out}/rows", f"{out}/log"))
     return spark.read.schema("doc_id long, text string").parquet(f"{out}/rows")
 
 
 def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "stream")
-    docs = stream_corpus.clean_stream(_stream_source(spark, sf, "documents").select("doc_id", "text"))
+    docs = stream_corpus.clean_stream(_stream_source(spark, sf, "documents", "doc_id").select("doc_id", "text"))
     encoded = encode.encode_wordpiece(docs, _piece_vocab(spark, sf))
-    run = stream_corpus.pack_stream(encoded, out, f"{out}/log", 100_000, BLOCK)
-    run.awaitTermination()
-    return stream_corpus.packed_blocks(spark, out, run.lastProgress["batchId"]).select(
+    _batches_run(stream_corpus.pack_stream(encoded, out, f"{out}/log", 100_000, BLOCK))
+    return stream_corpus.packed_blocks(spark, out).select(
         "shard_id", "block_id", "n_tokens", _joined("ids")
     )
 
 
 def _event_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of step records: the event number is the step."""
-    return _stream_source(spark, sf, "events").select(
-        (F.col("user_id") % RANKS).cast("int").alias("rank"),
-        F.col("event_id").alias("step"),
+    """A stream of step records: four events are the records of a step, one of each rank."""
+    return _stream_source(spark, sf, "events", "event_id").select(
+        (F.col("event_id") % RANKS).cast("int").alias("rank"),
+        F.expr(f"event_id div {RANKS}").alias("step"),
         (F.col("value") / 100).alias("batch_loss"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
 def stream_flush(spark: SparkSession, sf: str) -> DataFrame:
+    """Every step once, held back until its group of 125 is complete, the rest at the end."""
     out = new_path(spark, "stream")
-    stream_metrics.flush_stream(_event_steps(spark, sf), f"{out}/rows", f"{out}/log", 500).awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows")
-    return _rounded(
-        rows.groupBy(F.col("flush").cast("long").alias("flush")).agg(
-            F.count("*").alias("n_steps"), F.max("step").alias("last_step"), F.avg("batch_loss").alias("batch_loss")
-        ),
-        "batch_loss",
-        digits=9,
-    )
+    _batches_run(stream_metrics.flush_stream(_event_steps(spark, sf), out, f"{out}/log", 125, RANKS))
+    stream_metrics.flush_rest(spark, out, STREAM_FILES - 1, 125)
+    return _rounded(stream_metrics.flushed(spark, out), "batch_loss", digits=9)
 
 
 def stream_interval_loss(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "stream")
-    sums = stream_metrics.interval_sums(_event_steps(spark, sf), 100)
-    stream_metrics.upsert_stream(sums, f"{out}/rows", f"{out}/log").awaitTermination()
-    last = stream_metrics.latest_totals(spark.read.parquet(f"{out}/rows"))
-    return last.where("step = (interval + 1) * 100 - 1").select(
+    sums = stream_metrics.interval_sums(_event_steps(spark, sf), 25, "ts", delay="36500 days", width="30 days")
+    _batches_run(stream_metrics.upsert_stream(sums, f"{out}/rows", f"{out}/log"))
+    last = stream_metrics.latest_totals(spark.read.parquet(f"{out}/rows"), "interval", "window")
+    return stream_metrics.interval_totals(last).where("step = (interval + 1) * 25 - 1").select(
         "interval", "step", F.round(F.col("sum") / F.col("count"), 9).alias("train_loss")
     )
 
@@ -270,17 +342,23 @@ def all_queries() -> dict[str, Query]:
     q["split_counts"] = lambda s, sf: select.split_counts(
         select.split(_table(s, sf, "documents").select("doc_id"), 0.1)
     )
-    q["shuffle_docs"] = lambda s, sf: select.shuffled_positions(_table(s, sf, "documents").select("doc_id"))
-    q["chunk_ids"] = lambda s, sf: select.chunk_ids(_table(s, sf, "documents").select("doc_id"), 128)
-    q["contiguous_pieces"] = lambda s, sf: select.contiguous_pieces(_table(s, sf, "documents").select("doc_id"), 48)
+    ids = lambda s, sf: _table(s, sf, "documents").select("doc_id")
+    q["shuffle_docs"] = lambda s, sf: select.shuffled_positions(ids(s, sf), rows_per_window=WINDOW)
+    q["chunk_ids"] = lambda s, sf: select.chunk_ids(ids(s, sf), 128, rows_per_window=WINDOW)
+    q["contiguous_pieces"] = lambda s, sf: select.contiguous_pieces(ids(s, sf), 48, rows_per_window=WINDOW)
+    q["rename_split"] = lambda s, sf: select.rename_split(
+        ids(s, sf).withColumn("split", F.when(F.col("doc_id") % 7 == 0, "test").otherwise("train"))
+    )
+    q["text_order"] = text_order
 
     # Text
-    q["nfc_text"] = _mapped(T.nfc)
+    q["nfc_text"] = _mapped(lambda c: T.nfc(_decomposed(c)))
     q["clean_charset"] = _mapped(T.clean_charset)
     q["clean_nopunct"] = _mapped(lambda c: T.clean_charset(c, keep_punct=False))
     q["normalize_tone"] = _mapped(T.normalize_tone)
-    q["strip_text"] = _mapped(T.strip)
+    q["strip_text"] = _mapped(lambda c: T.strip(_padded(c)))
     q["clean_text"] = _mapped(T.clean_text)
+    q["clean_sql"] = clean_sql
     q["pretokenize"] = lambda s, sf: _cleaned(s, sf).select(
         "doc_id", F.posexplode(T.pretokenize(F.col("text"))).alias("pos", "word")
     )
@@ -308,6 +386,9 @@ def all_queries() -> dict[str, Query]:
     q["encode_bpe"] = lambda s, sf: encode.encode_bytes(_docs(s, sf), _byte_vocab(s, sf)).select(
         "doc_id", _joined("tokens"), "n_tokens"
     )
+    q["keep_text"] = lambda s, sf: encode.encode_wordpiece(_cleaned(s, sf), _piece_vocab(s, sf), keep_text=True).select(
+        "doc_id", "text", "n_tokens"
+    )
     q["decode_ids"] = lambda s, sf: encode.decode_ids(_encoded(s, sf), _word_vocab(s, sf), ["doc_id"])
     q["decode_bytes"] = lambda s, sf: encode.decode_ids(
         encode.encode_bytes(_docs(s, sf), _byte_vocab(s, sf)), _byte_vocab(s, sf), ["doc_id"], byte_level=True
@@ -316,11 +397,14 @@ def all_queries() -> dict[str, Query]:
     q["token_totals"] = lambda s, sf: pack.token_totals(select.split(_encoded(s, sf), 0.1))
 
     # Token stream
-    q["token_offsets"] = lambda s, sf: pack.token_offsets(_encoded(s, sf).select("doc_id", "n_tokens"))
-    q["pack_shards"] = lambda s, sf: pack.pack_shards(_encoded(s, sf), SHARD, BLOCK).select(
+    q["token_offsets"] = lambda s, sf: pack.token_offsets(
+        _encoded(s, sf).select("doc_id", "n_tokens"), rows_per_window=WINDOW
+    )
+    q["pack_shards"] = lambda s, sf: pack.pack_shards(_encoded(s, sf), SHARD, BLOCK, rows_per_window=WINDOW).select(
         "shard_id", "block_id", "pos", "n_tokens", _joined("ids")
     )
     q["shard_sink"] = shard_sink
+    q["flat_sink"] = flat_sink
     q["shard_stats"] = flagship
     q["expected_shards"] = lambda s, sf: pack.expected_shards(_encoded(s, sf), SHARD)
     q["flat_stream"] = lambda s, sf: pack.flat_stream(
@@ -335,8 +419,12 @@ def all_queries() -> dict[str, Query]:
     q["input_label_pairs"] = lambda s, sf: sequences.input_label_pairs(_shards(s, sf))
     q["lm_sequences"] = lambda s, sf: _sequences(sequences.lm_sequences(_shards(s, sf), SEQ), "seq_id")
     q["lm_batches"] = lambda s, sf: _sequences(
-        sequences.rank_batches(_shards(s, sf), SEQ, BATCH, wide_ids=True), "batch_id", "row_in_batch"
+        sequences.rank_batches(_shards(s, sf), SEQ, BATCH, wide_ids=True).withColumn("id_type", F.typeof("input_ids")),
+        "batch_id",
+        "row_in_batch",
+        "id_type",
     )
+    q["rank_sink"] = rank_sink
     q["rank_batches"] = lambda s, sf: _sequences(
         sequences.rank_batches(_shards(s, sf), SEQ, BATCH, WORLD), "rank", "step", "row_in_batch", "seq_id"
     )
@@ -347,7 +435,7 @@ def all_queries() -> dict[str, Query]:
         "row_in_batch",
     )
     q["batch_plan"] = lambda s, sf: _plan(s, sf).withColumn("opt_step", F.coalesce("opt_step", F.lit(-1)))
-    q["epoch_plan"] = lambda s, sf: sequences.epoch_plan(_plan(s, sf), 3, 250)
+    q["epoch_plan"] = lambda s, sf: sequences.epoch_plan(_plan(s, sf), TRAIN_STEPS)
 
     # Run log
     q["weighted_mean"] = lambda s, sf: _rounded(

@@ -1,18 +1,23 @@
-"""Session settings and the shared folder for tables that cut lineage."""
+"""Session settings, and the shared folder for tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Tables staged so far that are still there, in order.
+_staged: list[str] = []
+
 
 def local_session(name: str = "quern", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and local benches; a cluster brings its own."""
-    return (
+    """A session for tests and local benches, with a folder of its own unless one is named; a cluster brings its own."""
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,24 +28,17 @@ def local_session(name: str = "quern", cores: str = "*", shuffle_partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if not spark.conf.get(CHECKPOINT_CONF, None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder: there the driver
-    and the executors are one process.
-    """
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -53,9 +51,42 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Used where a costly result feeds several branches of a plan. Unlike a
     cached table it survives lost executors, and unlike ``checkpoint()`` later
-    reads are pruned to the columns they use.
+    reads are pruned to the columns they use. The table stays until
+    :func:`unstage`, or the end of a :func:`scope` around the call, removes it.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    _staged.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _staged:
+        _staged.remove(path)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove tables that :func:`stage` returned; nothing may read them any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.staged_at)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, all tables staged inside, whichever operator staged them.
+
+    Results that are wanted later must be written inside: a DataFrame that
+    reads a staged table fails once the table is gone.
+    """
+    before = set(_staged)
+    try:
+        yield
+    finally:
+        for path in [p for p in _staged if p not in before]:
+            _remove(spark, path)

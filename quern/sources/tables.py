@@ -5,29 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from quern.checks import require_columns, require_rows
+from quern.checks import require_columns, require_rows, small_enough
 from quern.schemas import VOCAB
+from quern.session import stage
 
 
-def read_documents(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Order key and text of a document table; only these columns are read.
+def read_documents(
+    spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", partitions: int | None = None
+) -> DataFrame:
+    """Order key and text of a document table; only these columns are read, where they lie.
 
-    A table of fewer splits than there are cores is spread over them, since
-    text work is heavy per row. Larger tables are read where they lie.
+    ``partitions`` deals the rows out anew, text and all: only for small tables
+    of a few splits, whose rows are heavy to work on.
     """
     docs = spark.read.parquet(path).select(key, text)
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(partitions) if partitions else docs
 
 
 def read_text(spark: SparkSession, files: Mapping[str, Iterable[str]]) -> DataFrame:
     """``split, line`` from text files, one record per line, several files per split.
 
-    Text files carry no row numbers. Work that depends on the order of lines
-    starts from a table with keys: see :func:`document_lines`.
+    Rows of a text file have no order of their own in Spark. Work that depends
+    on the order of lines uses :func:`read_text_in_order`, or a table with keys:
+    see :func:`document_lines`.
     """
     parts = [
         spark.read.text(list(paths)).select(F.lit(split).alias("split"), F.col("value").alias("line"))
@@ -38,6 +41,38 @@ def read_text(spark: SparkSession, files: Mapping[str, Iterable[str]]) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Order key of :func:`read_text_in_order`.
+LINE_ORDER = ["file_no", "block_start", "line_at"]
+MAX_FILES = 1_000_000
+
+
+def read_text_in_order(spark: SparkSession, files: Mapping[str, Iterable[str]]) -> DataFrame:
+    """``split, file_no, block_start, line_at, line``, staged, with :data:`LINE_ORDER` as a unique order key of each split.
+
+    Files come in the order of their paths. Within a file, blocks are ordered by
+    where they start, and lines by their place in the task that read the block.
+    Numbering the files takes one window over their paths, of which there may
+    be a million.
+    """
+    parts = [
+        spark.read.text(list(paths)).select(
+            F.lit(split).alias("split"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.monotonically_increasing_id().alias("line_at"),
+            F.col("value").alias("line"),
+        )
+        for split, paths in files.items()
+    ]
+    if not parts:
+        raise ValueError("no text files given")
+    lines = stage(reduce(DataFrame.unionByName, parts), "lines")
+    paths = stage(lines.select("split", "file").distinct(), "files")
+    small_enough(paths, MAX_FILES, "list of text files")
+    numbered = paths.withColumn("file_no", F.row_number().over(Window.partitionBy("split").orderBy("file")).cast("long"))
+    return lines.join(F.broadcast(numbered), ["split", "file"]).select("split", *LINE_ORDER, "line")
+
+
 def document_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per line: the document's columns, ``line_no`` and ``line``. Empty lines stay."""
     require_columns(docs, text)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.text import clean_text
 from quern.operators.pack import ShardCells, assemble, cut, lone_token, token_offsets
-from quern.session import stage
+from quern.session import stage, unstage
 
 
 def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -70,6 +70,7 @@ def pack_stream(
         open_block.write.mode("overwrite").parquet(f"{out}/open/batch={number}")
         ends = spark.range(1).select(F.lit(start + total).alias("end"))
         ends.write.mode("overwrite").parquet(f"{out}/ends/batch={number}")
+        unstage(records, blocks)
 
     return _run(encoded, put, checkpoint)
 
@@ -81,10 +82,19 @@ def _state_before(spark: SparkSession, out: str, number: int) -> tuple[int, Data
     return end, spark.read.schema(OPEN).parquet(f"{out}/open/batch={number - 1}")
 
 
-def packed_blocks(spark: SparkSession, out: str, last_batch: int) -> DataFrame:
-    """All blocks after a run, the open one included; a single left-over token is dropped."""
-    full = spark.read.schema(BLOCKS).option("recursiveFileLookup", "true").parquet(f"{out}/blocks")
-    left = spark.read.schema(OPEN).parquet(f"{out}/open/batch={last_batch}")
+def last_batch(spark: SparkSession, out: str) -> int:
+    """Number of the last micro-batch that is written to its end."""
+    return spark.read.schema("end long, batch int").parquet(f"{out}/ends").agg(F.max("batch")).first()[0]
+
+
+def packed_blocks(spark: SparkSession, out: str, last: int | None = None) -> DataFrame:
+    """All blocks after micro-batch ``last`` (the last one written), the open one included.
+
+    Blocks of later batches aren't read. A single left-over token is dropped.
+    """
+    last = last_batch(spark, out) if last is None else last
+    full = spark.read.schema(f"{BLOCKS}, batch int").parquet(f"{out}/blocks").where(F.col("batch") <= last).drop("batch")
+    left = spark.read.schema(OPEN).parquet(f"{out}/open/batch={last}")
     tail = left.select("shard_id", "block_id", F.size("part").alias("n_tokens"), F.col("part").alias("ids"))
     return full.unionByName(tail).where(~lone_token())
 

@@ -50,7 +50,7 @@ def test_prefix_sum_refuses_equal_or_null_keys(spark):
 
 def test_windows_stay_small(spark):
     df = spark.range(5000).select((F.col("id") * F.col("id")).alias("k"))
-    node, nodes, lows = prefix._node_key(df, ["k"], [], 64, None)
+    node, nodes, lows = prefix._node_key(df, F.lit(1), ["k"], [], 64, None, None)
     (column, drop), = node
     fullest = df.groupBy(F.shiftright(F.col(column) - F.lit(lows[column]), drop)).count().agg(F.max("count")).first()[0]
     assert fullest <= 64 and nodes > 5000 / 64
@@ -60,16 +60,33 @@ def ids(df, key="doc_id"):
     return sorted(r[key] for r in df.select(key).collect())
 
 
-def test_first_n(spark, monkeypatch):
-    monkeypatch.setattr(select, "SMALL", 8)
+def test_equal_and_null_keys_are_refused(spark):
+    """Only where the result would depend on them: at the cut."""
+    rows = [(i,) for i in [1, 2, 3, 4, 4, 5, 6, 7, 8, 9]]
+    df = spark.createDataFrame(rows, "doc_id long")
+    with pytest.raises(ValueError, match="unique"):
+        select.first_n(df, 4)
+    with pytest.raises(ValueError, match="unique"):
+        select.first_n(df, 5)
+    assert ids(select.first_n(df, 3)) == [1, 2, 3]
+    assert ids(select.first_n(df, 6)) == [1, 2, 3, 4, 4, 5]
+    same = spark.createDataFrame([(7,)] * 9 + [(8,)], "doc_id long")
+    with pytest.raises(ValueError, match="unique"):
+        select.split(same, 5)
+    null = spark.createDataFrame([(1,), (None,), (2,)], "doc_id long")
+    for f in (lambda: select.first_n(null, 1), lambda: select.split(null, 1.5)):
+        with pytest.raises(ValueError, match="null"):
+            f()
+
+
+def test_first_n(spark):
     df = spark.createDataFrame([(i * i - 50,) for i in range(200)], "doc_id long")
     assert ids(select.first_n(df, 17)) == sorted(i * i - 50 for i in range(17))
     assert select.first_n(df, 0).count() == 0
     assert select.first_n(df, 500).count() == 200
 
 
-def test_nth_key_goes_on_with_the_tie(spark, monkeypatch):
-    monkeypatch.setattr(select, "SMALL", 4)
+def test_nth_key_goes_on_with_the_tie(spark):
     keys = spark.createDataFrame([(5, t) for t in range(100)] + [(1, 7)], "k long, tie long")
     assert select._nth_key(keys, 1, 60) == (1, 7)
     assert select._nth_key(keys, 41, 60) == (5, 39)

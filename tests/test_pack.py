@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern import session
 from quern.operators import pack, sequences
 from quern.session import stage
 from quern.sources import tables
@@ -154,12 +156,51 @@ def test_plan(spark):
     assert {(r["batch_size"], r["effective_batch_size"], r["tokens_per_step"]) for r in rows} == {(2, 12, 16)}
     odd = sequences.batch_plan(blocks, 4, 6, 3, 3).collect()
     assert sorted(r["step"] for r in odd if r["opt_step"] is None) == [3, 3, 3]
-    epochs = sequences.epoch_plan(sequences.batch_plan(blocks, 4, 6, 3, 2), 3, 5).where("rank = 0")
+    epochs = sequences.epoch_plan(sequences.batch_plan(blocks, 4, 6, 3, 2), 5).where("rank = 0")
     assert [(r["epoch"], r["opt_step"]) for r in epochs.orderBy("global_step").collect()] == [
         (0, 0), (0, 1), (1, 0), (1, 1), (2, 0)
     ]
 
 
+def test_epochs_go_on_until_the_steps_are_made(spark):
+    plan = sequences.batch_plan(blocks_of(spark, [list(range(101))], 16), 4, 6, 3, 2)
+    steps = sequences.epoch_plan(plan, 31).collect()
+    for rank in range(3):
+        assert sorted(r["global_step"] for r in steps if r["rank"] == rank) == list(range(31))
+    with pytest.raises(ValueError):
+        sequences.epoch_plan(plan.where("false"), 3)
+
+
+def test_heavy_records_share_no_window(spark, monkeypatch):
+    docs = {i: list(range(i % 5 * 40 + 1)) for i in range(40)}
+    df = encoded(spark, docs)
+    plain = sorted(map(tuple, pack.token_offsets(df).select("doc_id", "token_offset").collect()))
+    for most in (1, 100, 500):
+        monkeypatch.setattr(pack, "TOKENS_PER_WINDOW", most)
+        assert sorted(map(tuple, pack.token_offsets(df).select("doc_id", "token_offset").collect())) == plain
+
+
+def test_ranks_are_read_from_their_folders(spark, tmp_path):
+    dealt = sequences.rank_batches(blocks_of(spark, [list(range(201))], 16), 4, 2, 3)
+    sequences.write_ranks(dealt, str(tmp_path / "ranks"))
+    for rank in range(3):
+        got = sequences.read_rank(spark, str(tmp_path / "ranks"), rank).select(dealt.columns)
+        want = dealt.where(f"rank = {rank}")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_scopes_remove_what_was_staged(spark):
+    df = encoded(spark, {1: [1, 2], 2: [3]})
+    before = list(session._staged)
+    with session.scope(spark):
+        kept = [stage(df, "test"), pack.pack_shards(stage(df, "test"), 10)]
+        assert len(session._staged) > len(before)
+        paths = [p for p in session._staged if p not in before]
+        assert all(x.count() for x in kept)
+    assert session._staged == before
+    assert not any(os.path.exists(p.removeprefix("file://").removeprefix("file:")) for p in paths)
+
+
 def test_parameters_are_checked(spark):
     blocks = blocks_of(spark, [[1, 2, 3]], 2)
     with pytest.raises(ValueError):

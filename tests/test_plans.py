@@ -48,8 +48,21 @@ def test_packing_shuffles_tokens_twice(spark, sf):
 
 
 def test_sequences_shuffle_tokens_once(spark, sf):
-    text = plan(sequences.lm_sequences(queries._shards(spark, sf), 128, 4))
-    assert text.count("REPARTITION_BY_COL") == 1 and "CartesianProduct" not in text
+    """Without automatic broadcasts, too, one exchange alone carries ids."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(sequences.rank_batches(queries._shards(spark, sf), 128, 4, 3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in text.split("\n") if "Exchange " in line and "BroadcastExchange" not in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_COL" in exchanges[0]
+    assert "SortMergeJoin" not in text and "CartesianProduct" not in text
+
+
+def test_decoding_and_reading_move_no_rows(spark, sf):
+    decoded = encode.decode_ids(queries._encoded(spark, sf), queries._word_vocab(spark, sf), ["doc_id"])
+    assert "Exchange" not in plan(decoded)
+    assert "Exchange" not in plan(tables.read_documents(spark, f"{sf}/documents.parquet"))
 
 
 def test_the_decoding_chain_hashes_rows_once(spark, sf):
@@ -67,4 +80,5 @@ def test_meters_combine_before_the_shuffle(spark, sf):
 def test_retention_groups_the_best_only(spark):
     model = F.concat(F.lit("m"), F.col("id") % 3).alias("model")
     files = spark.range(100).select(model, F.concat(F.lit("m-"), "id", F.lit(".pt")).alias("path"))
-    assert "WindowGroupLimit" in plan(ranking.retain_latest(files, 3))
+    text = plan(ranking.retain_latest(files, 3))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning(model" not in text

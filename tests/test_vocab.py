@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, decoders, models, pre_tokenizers, trainers
 
+from quern import session
 from quern.checks import checked_ids, token_range_report
 from quern.functions.text import clean_text
 from quern.operators import encode, vocab
@@ -226,3 +228,38 @@ def test_batch_rule_on_random_words(candidates):
                     text = text.replace(f" {m.left}  {m.right} ", f" {m.token} ")
                 state[w] = text.strip().split("  ")
         assert merges == greedy(words, limit, 2)
+
+
+def test_byte_level_pieces_of_any_length(spark):
+    """Same ids as joining the lowest union again and again, and a long run of letters takes no quadratic time."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    texts = spark.createDataFrame([(w,) for w in words], "text string")
+    tokens = vocab.train_byte_vocab(texts, 330)
+    ids = {bytes.fromhex(r["token"]): r["id"] for r in tokens.collect() if r["token"] != vocab.END_OF_TEXT}
+
+    def plain(word):
+        parts = [bytes([b]) for b in word.encode()]
+        while True:
+            joined = [(ids[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids]
+            if not joined:
+                return [ids[p] for p in parts]
+            _, i = min(joined)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+    found = encode.encode_bytes(texts, tokens, add_end=False, keep_text=True).collect()
+    assert {r["text"]: r["tokens"] for r in found} == {w: plain(w) for w in words}
+    long = spark.createDataFrame([("ab" * 100_000,)], "text string")
+    started = time.time()
+    row = encode.encode_bytes(long, tokens, add_end=False).first()
+    assert time.time() - started < 60
+    by_id = {i: t for t, i in ids.items()}
+    assert b"".join(by_id[i] for i in row["tokens"]) == b"ab" * 100_000
+
+
+def test_training_leaves_no_staged_tables(spark):
+    texts = spark.createDataFrame([("ab abc abd abcd bcd",), ("xyz xyzz zyx abcd",)], "text string")
+    before = list(session._staged)
+    vocab.train_vocab(vocab.word_counts(texts), 60, 1)
+    vocab.train_byte_vocab(texts, 280, 1)
+    assert session._staged == before
