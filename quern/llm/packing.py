@@ -10,7 +10,8 @@ size of the corpus, so it is made on the driver:
    a sequence) is solved by column generation: a knapsack over the capacity
    finds the configuration that the current prices pay most for;
 3. the solution is rounded down, and the actual lengths of each group are put
-   in for the rounded ones, so no configuration grows;
+   in for the rounded ones, so no configuration grows; the last place of a
+   sequence takes the longest piece that fits the room the others leave;
 4. what the rounding leaves over and the small pieces go, longest first, where
    they fit best, and open sequences only where nothing fits.
 
@@ -164,7 +165,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Columns of counts by size, and how often each is used (fractions), covering ``demand``.
 
     Gilmore and Gomory's method: start from sequences of one size, price by the
@@ -213,29 +214,37 @@ class Plan:
             self.rooms[room].append((count, items))
             self.open[room] = True
 
+    def _take(self, lengths: np.ndarray, need: int) -> list[tuple[int, int]]:
+        """The first ``need`` pieces that are left of the given lengths, as runs; length 0 where there are too few."""
+        run = []
+        for length in lengths:
+            take = int(min(need, self.left[length]))
+            if take:
+                run.append((int(length), take))
+                self.left[length] -= take
+                need -= take
+            if not need:
+                break
+        return [*run, (0, need)] if need else run
+
     def use_configuration(self, groups: list[np.ndarray], column: np.ndarray, times: int) -> None:
-        """Open ``times`` sequences with pieces of the groups; the longest that are left come first."""
-        runs = []  # for each place of the configuration the actual lengths, as runs over the sequences
-        for g, copies in enumerate(column.tolist()):
-            for _ in range(copies):
-                need, run = times, []
-                for length in groups[g]:
-                    take = int(min(need, self.left[length]))
-                    if take:
-                        run.append((int(length), take))
-                        self.left[length] -= take
-                        need -= take
-                    if not need:
-                        break
-                run.append((0, need))  # rounding up may ask for more than there is
-                runs.append(run)
-        cuts = sorted({0, *(int(x) for run in runs for x in np.cumsum([n for _, n in run]))})
+        """Open ``times`` sequences with pieces of the groups.
+
+        A place takes the longest pieces of its group that are left; the last
+        one, which stands for the shortest size, takes the longest of any length
+        that fits what the others leave. So it is no shorter than the one planned.
+        """
+        places = [g for g, copies in enumerate(column.tolist()) for _ in range(copies)]
+        runs = [self._take(groups[g], times) for g in places[:-1]]
+        cuts = sorted({0, times, *(int(x) for run in runs for x in np.cumsum([n for _, n in run]))})
         starts = [np.cumsum([0, *[n for _, n in run]]) for run in runs]
         for a, b in zip(cuts, cuts[1:], strict=False):
             own = [run[int(np.searchsorted(s, a, "right")) - 1][0] for run, s in zip(runs, starts, strict=True)]
             items = tuple((x, 1) for x in own if x)
-            if items:
-                self._put(self.capacity - sum(own), b - a, items)
+            room = self.capacity - sum(own)
+            for last, n in self._take(np.flatnonzero(self.left[: room + 1])[::-1], b - a):
+                if items or last:
+                    self._put(room - last, n, (*items, (last, 1)) if last else items)
 
     def best_fit(self, length: int) -> None:
         """Put all pieces of a length that are left where they fit best."""
@@ -271,7 +280,7 @@ class Plan:
         return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def plan_slots(counts: np.ndarray, capacity: int, groups: int = 32, small: float = 0.125) -> np.ndarray:
+def plan_slots(counts: np.ndarray, capacity: int, groups: int = 64, small: float = 0.125) -> np.ndarray:
     """Slots for ``counts[length]`` pieces of each length up to ``capacity``."""
     plan = Plan(counts, capacity)
     if plan.left[capacity]:
@@ -301,7 +310,7 @@ def pack_documents(
     with_ids: bool = False,
     key: str = "doc_id",
     text: str = "text",
-    groups: int = 32,
+    groups: int = 64,
     small: float = 0.125,
 ) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
