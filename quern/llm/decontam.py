@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import bounded, require_columns, stage
+from quern.llm.common import bounded, fresh, require_columns, stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Signature rows (item, hash) that may be broadcast; more are joined by a shuffle.
@@ -137,8 +137,9 @@ def contained_items(
 def without_contained(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no item."""
     found = _verified(docs, items, size, _percent(threshold), text, item_key, item_text)
-    keys = bounded(stage(found.select("text_key").distinct(), "contaminated"))
-    return docs.join(keys, _text_key(text) == F.col("text_key"), "left_anti")
+    name = fresh(docs, "contaminated_text")
+    keys = bounded(stage(found.select(F.col("text_key").alias(name)).distinct(), "contaminated"))
+    return docs.join(keys, _text_key(text) == F.col(name), "left_anti")
 
 
 def contained_sql(size: int = 5, threshold: float = 0.8) -> str:

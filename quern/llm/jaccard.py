@@ -317,8 +317,9 @@ def one_of_each(
     first = members.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     members = stage(members.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("times")).join(first, "group"), "members")
     own = F.struct("doc_id", "text_key")
-    same = [F.col(f"`{key}`") == F.col("dropped_id"), text_key(text) == F.col("dropped_text")]
-    names = [F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_text")]
+    dropped_id, dropped_text = fresh(docs, "dropped_id"), fresh(docs, "dropped_text")
+    same = [F.col(f"`{key}`") == F.col(dropped_id), text_key(text) == F.col(dropped_text)]
+    names = [F.col("doc_id").alias(dropped_id), F.col("text_key").alias(dropped_text)]
     others = stage(members.where(own != F.col("first")).select(*names), "others")
     kept = docs.join(bounded(others), same, "left_anti")
     repeated = stage(members.where((own == F.col("first")) & (F.col("times") > 1)).select(*names), "repeated")
