@@ -151,7 +151,7 @@ def choose_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: fl
 def certified_cutoffs(
     docs: DataFrame,
     labels: DataFrame,
-    risk: float = 0.01,
+    risk: float = 0.02,
     error: float = 0.05,
     weight: float = 20.0,
     key: str = "doc_id",
