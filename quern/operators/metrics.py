@@ -136,3 +136,16 @@ def cross_entropy(scores: DataFrame, label: str = "label") -> DataFrame:
     missing = F.raise_error(F.lit("a label is not among the tokens of its row")).cast("double")
     nll = F.log("mass") + F.col("peak") - F.coalesce("target", missing)
     return masses.agg(F.avg(nll).alias("loss"), F.count("*").alias("n_rows"))
+
+
+def cross_entropy_arrays(rows: DataFrame, scores: str = "scores", label: str = "label") -> DataFrame:
+    """As :func:`cross_entropy`, from one array of scores per row: nothing moves but the sums."""
+    require_columns(rows, scores, label)
+    values = F.transform(F.col(scores), lambda x: x.cast("double"))
+    peaked = rows.select(F.col(label).alias("label"), values.alias("s"), F.array_max(values).alias("peak"))
+    # the peak is an accumulator's part, so that it isn't worked out for each score
+    start = F.struct(F.lit(0.0).alias("mass"), F.col("peak").alias("peak"))
+    mass = F.aggregate("s", start, lambda acc, x: F.struct((acc["mass"] + F.exp(x - acc["peak"])).alias("mass"), acc["peak"].alias("peak")), lambda acc: acc["mass"])
+    missing = F.raise_error(F.lit("a label is not among the tokens of its row")).cast("double")
+    nll = F.log(mass) + F.col("peak") - F.coalesce(F.get("s", F.col("label")), missing)
+    return peaked.select(nll.alias("nll")).agg(F.avg("nll").alias("loss"), F.count("*").alias("n_rows"))

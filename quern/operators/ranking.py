@@ -1,12 +1,17 @@
-"""Ranking and filtering of score tables ``row_id, token_id, logit``.
+"""Ranking and filtering of scores, as tables ``row_id, token_id, logit`` or as one array per row.
 
-All windows are per row of scores. A row holds one score per vocabulary entry,
+The array forms (``*_array``) are Column functions over an array of scores, one
+per vocabulary entry, and move nothing; they give arrays of ``token_id, logit``
+and ``prob``, which :func:`score_rows` makes a table of. Of the table forms, all
+windows are per row of scores. A row holds one score per vocabulary entry,
 so a window never has more than 65,536 rows however many rows there are, and
 all stages of the chain reuse the one hash partitioning on ``row_id``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.checks import broadcast_if_small, require_columns
@@ -16,6 +21,82 @@ from quern.session import stage
 MAX_MODELS = 1_000_000
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def score_array(scores: Column, t: float = 1.0) -> Column:
+    """Entries ``token_id, logit`` of an array of scores, after the temperature."""
+    if t <= 0:
+        raise ValueError("the temperature must be positive")
+    return F.transform(scores, lambda x, i: F.struct(i.alias("token_id"), (x.cast("double") / F.lit(float(t))).alias("logit")))
+
+
+def softmax_array(entries: Column) -> Column:
+    """``token_id, logit, prob`` of entries."""
+
+    def of(es: Column) -> Column:
+        def shares(peak: Column) -> Column:
+            total = F.aggregate(es, F.lit(0.0), lambda acc, e: acc + F.exp(e["logit"] - peak))
+            return _let(
+                total,
+                lambda sum_: F.transform(
+                    es, lambda e: F.struct(e["token_id"].alias("token_id"), e["logit"].alias("logit"), (F.exp(e["logit"] - peak) / sum_).alias("prob"))
+                ),
+            )
+
+        return _let(F.array_max(F.transform(es, lambda e: e["logit"])), shares)
+
+    return _let(entries, of)
+
+
+def top_k_array(entries: Column, k: int) -> Column:
+    """Entries not below the ``k``-th; ties with it stay. ``k <= 0`` keeps all."""
+    if k <= 0:
+        return entries
+
+    def of(es: Column) -> Column:
+        ordered = F.sort_array(F.transform(es, lambda e: e["logit"]), asc=False)
+        lowest = _let(ordered, lambda o: F.element_at(o, F.least(F.lit(k), F.size(o))))
+        return _let(lowest, lambda cut: F.filter(es, lambda e: e["logit"] >= cut))
+
+    return _let(entries, of)
+
+
+def top_p_array(entries: Column, p: float) -> Column:
+    """Nucleus of entries, best first: one stays while the mass before it is below ``p``; the best always stays."""
+
+    def of(es: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("kept"))
+        count = F.aggregate(
+            es,
+            start,
+            lambda acc, e: F.struct(
+                (acc["before"] + e["prob"]).alias("before"),
+                (acc["kept"] + F.when((acc["kept"] == 0) | (acc["before"] < p), 1).otherwise(0)).alias("kept"),
+            ),
+            lambda acc: acc["kept"],
+        )
+        return F.slice(es, F.lit(1), count)
+
+    best_first = F.transform(
+        softmax_array(entries),
+        lambda e: F.struct((-e["logit"]).alias("__place"), e["token_id"].alias("token_id"), e["logit"].alias("logit"), e["prob"].alias("prob")),
+    )
+    return F.transform(_let(F.sort_array(best_first), of), lambda e: F.struct(e["token_id"].alias("token_id"), e["logit"].alias("logit")))
+
+
+def decode_filter_array(scores: Column, t: float = 1.0, k: int = 0, p: float = 1.0) -> Column:
+    """Temperature, top-k, nucleus and softmax of an array of scores; each stage renormalises the survivors."""
+    return softmax_array(top_p_array(top_k_array(score_array(scores, t), k), p))
+
+
+def score_rows(rows: DataFrame, entries: Column, *keys: str) -> DataFrame:
+    """One row per entry, with the columns ``keys`` of its row."""
+    return rows.select(*keys, F.explode(entries).alias("__entry")).select(*keys, "__entry.*")
+
+
 def _row():
     return Window.partitionBy("row_id")
 

@@ -149,23 +149,24 @@ trained AS (
 merges AS (SELECT DISTINCT it, l, r, l || {glue} AS token FROM trained WHERE it > 0)"""
 
 
-BENCH_WORDS = f"""bench_counts AS (
+CORPUS_WORDS = f"""corpus_counts AS (
   SELECT word, count(*) AS n FROM (
-    SELECT unnest(regexp_extract_all({_clean('text')}, '{WORDS}')) AS word FROM benchmark) GROUP BY word)"""
+    SELECT unnest(regexp_extract_all({_clean('text')}, '{WORDS}')) AS word FROM documents) GROUP BY word)"""
 LETTERS = """letters AS (
   SELECT DISTINCT token, is_continuation FROM (
     SELECT c AS token, false AS is_continuation FROM chars
     UNION ALL SELECT '##' || c, true FROM chars WHERE i > 1))"""
-PIECE_TRAINING = f"""{BENCH_WORDS},
+PIECE_TRAINING = f"""{CORPUS_WORDS},
 chars AS (
   SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS i
-  FROM (SELECT regexp_extract_all(word, '(?s).') AS cs FROM bench_counts)),
+  FROM (SELECT regexp_extract_all(word, '(?s).') AS cs FROM corpus_counts)),
 {LETTERS},
 """ + _merged(
     r"""SELECT ' ' || regexp_extract(word, '(?s)^.')
       || regexp_replace(regexp_replace(word, '(?s)^.', ''), '(?s)(.)', '  ##\1', 'g') || ' ' AS symbols, n
-    FROM bench_counts""",
-    f"{PIECE_VOCAB} - 1 - 2 - (SELECT count(*) FROM letters)",
+    FROM corpus_counts""",
+    # some more, as a merge may give a token that is there already
+    f"{PIECE_VOCAB} + 20 - (SELECT count(*) FROM letters)",
     "##",
 ) + """,
 tokens_in_order AS (
@@ -173,7 +174,9 @@ tokens_in_order AS (
   UNION ALL SELECT 0, 1, '<|endoftext|>', true, false
   UNION ALL SELECT CASE WHEN is_continuation THEN 2 ELSE 1 END, row_number() OVER (ORDER BY token), token, false,
     is_continuation FROM letters
-  UNION ALL SELECT 3, it, token, false, starts_with(l, '##') FROM merges
+  UNION ALL SELECT 3, it, token, false, starts_with(l, '##') FROM (
+    SELECT token, min(it) AS it, arg_min(l, it) AS l FROM merges WHERE token NOT IN (SELECT token FROM letters)
+    GROUP BY token ORDER BY 2 LIMIT (""" + str(PIECE_VOCAB - 3) + """ - (SELECT count(*) FROM letters)))
   UNION ALL SELECT 4, 0, chr(10), true, false),
 pieces AS (
   SELECT CAST(row_number() OVER (ORDER BY part, k) - 1 AS INTEGER) AS id, token, is_special, is_continuation
@@ -191,7 +194,7 @@ def _byte_pieces(table: str, key: str) -> str:
 HEX_SYMBOLS = r"regexp_replace(lower(hex(encode(word))), '(..)', ' \1 ', 'g')"
 BYTE_TRAINING = _merged(
     f"""SELECT {HEX_SYMBOLS} AS symbols, count(*) AS n FROM (
-      SELECT unnest(ws) AS word FROM ({_byte_pieces('benchmark', 'item_id')})) GROUP BY word""",
+      SELECT unnest(ws) AS word FROM ({_byte_pieces('documents', 'doc_id')})) GROUP BY word""",
     f"{BYTE_VOCAB} - 1 - 256",
     "",
 ) + """,
@@ -222,9 +225,11 @@ found AS (
   UNION ALL SELECT chr(10), [(SELECT max(id) FROM pieces)])"""
 
 
+# A token is looked up by its text, so one that begins with the mark can also begin a word.
 PLAIN = """plain AS (
-  SELECT id, token, is_continuation, length(token) - CASE WHEN is_continuation THEN 2 ELSE 0 END AS size
-  FROM pieces WHERE NOT is_special)"""
+  SELECT id, token, false AS is_continuation, length(token) AS size FROM pieces WHERE NOT is_special
+  UNION ALL SELECT id, token, true, length(token) - 2 FROM pieces
+  WHERE NOT is_special AND starts_with(token, '##') AND length(token) > 2)"""
 
 
 def all_sql() -> dict[str, str]:
@@ -440,6 +445,7 @@ def all_sql() -> dict[str, str]:
     q["step_log"] = f"""WITH {GLOBAL_STEPS}
       SELECT step, round(batch_loss, 9) AS batch_loss, round({_cosine('1')}, 6) AS learning_rate FROM g"""
 
+    q["cross_entropy_rows"] = q["cross_entropy"]
     q["topk_ties"] = f"""WITH {SCORES}
       SELECT row_id, token_id, logit FROM (SELECT row_id, token_id, round(logit, 1) AS logit FROM scores)
       QUALIFY rank() OVER (PARTITION BY row_id ORDER BY logit DESC) <= 5"""
@@ -454,6 +460,8 @@ def all_sql() -> dict[str, str]:
       best AS (SELECT * FROM heated QUALIFY rank() OVER (PARTITION BY row_id ORDER BY logit DESC) <= 20),
       inner_mass AS (SELECT * FROM {_nucleus(_softmax('best'), 0.8)})
       SELECT row_id, token_id, round(prob, 6) AS prob FROM {_softmax('inner_mass')}"""
+    q["decode_filter_rows"] = q["decode_filter"]
+    q["nucleus_array"] = q["nucleus"]
     u = f"""(CAST(CAST('0x' || substr(md5('{SEED}:' || row_id || ':' || token_id), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
         / 4503599627370496"""
     q["sample_token"] = f"""WITH {SCORES}

@@ -18,7 +18,7 @@ from quern.streaming import corpus as stream_corpus, metrics as stream_metrics
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCAB_SIZE, MIN_FREQ = 20_000, 2
-PIECE_VOCAB, BYTE_VOCAB = 200, 300
+PIECE_VOCAB, BYTE_VOCAB = 500, 500
 SHARD, BLOCK = 10_000, 1_024
 SEQ, BATCH, WORLD, ACCUMULATE = 128, 4, 3, 2
 RANKS = 4
@@ -83,15 +83,14 @@ def _shards(spark: SparkSession, sf: str) -> DataFrame:
 
 def _piece_vocab(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
-        texts = _table(spark, sf, "benchmark").select("item_id", T.clean_text(F.col("text")).alias("text"))
-        return stage(vocab.train_vocab(vocab.word_counts(texts), PIECE_VOCAB, MIN_FREQ), "vocab")
+        return stage(vocab.train_vocab(_counts(spark, sf), PIECE_VOCAB, MIN_FREQ), "vocab")
 
     return _once(spark, sf, "piece_vocab", build)
 
 
 def _byte_vocab(spark: SparkSession, sf: str) -> DataFrame:
     build = lambda: stage(
-        vocab.train_byte_vocab(_table(spark, sf, "benchmark"), BYTE_VOCAB, MIN_FREQ), "vocab"
+        vocab.train_byte_vocab(_docs(spark, sf), BYTE_VOCAB, MIN_FREQ), "vocab"
     )
     return _once(spark, sf, "byte_vocab", build)
 
@@ -133,6 +132,12 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _score_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("label"), F.col("embedding").alias("scores")
+    )
+
+
 def _joined(ids: str) -> Column:
     return F.array_join(F.col(ids).cast("array<string>"), " ").alias(ids)
 
@@ -472,7 +477,8 @@ def all_queries() -> dict[str, Query]:
         "perplexity",
         digits=9,
     )
-    q["cross_entropy"] = lambda s, sf: _rounded(metrics.cross_entropy(_scores(s, sf)), "loss", digits=9)
+    q["cross_entropy"] = lambda s, sf: _rounded(metrics.cross_entropy_arrays(_score_arrays(s, sf)), "loss", digits=9)
+    q["cross_entropy_rows"] = lambda s, sf: _rounded(metrics.cross_entropy(_scores(s, sf)), "loss", digits=9)
 
     # Schedules
     q["lr_noam"] = lambda s, sf: _global_steps(s, sf).select(
@@ -492,15 +498,29 @@ def all_queries() -> dict[str, Query]:
 
     # Score tables
     keys = ["row_id", "token_id"]
-    q["topk_ties"] = lambda s, sf: ranking.top_k(
-        _scores(s, sf).select(*keys, F.round("logit", 1).alias("logit")), 5
-    )
-    q["softmax_rows"] = lambda s, sf: _rounded(ranking.softmax_rows(_scores(s, sf), 0.7).select(*keys, "prob"), "prob")
+    entries = ranking.score_array(F.col("scores"))
+    tenths = ranking.score_array(F.transform("scores", lambda x: F.round(x.cast("double"), 1)))
+    q["topk_ties"] = lambda s, sf: ranking.score_rows(_score_arrays(s, sf), ranking.top_k_array(tenths, 5), "row_id")
+    q["softmax_rows"] = lambda s, sf: _rounded(
+        ranking.score_rows(
+            _score_arrays(s, sf), ranking.softmax_array(ranking.score_array(F.col("scores"), 0.7)), "row_id"
+        ).select(*keys, "prob"),
+        "prob",
+    )
+    q["nucleus_array"] = lambda s, sf: ranking.score_rows(
+        _score_arrays(s, sf), ranking.top_p_array(entries, 0.5), "row_id"
+    ).select(*keys)
     q["cumulative_mass"] = lambda s, sf: _rounded(
         ranking.cumulative_mass(_scores(s, sf)).select(*keys, "cum_prob"), "cum_prob"
     )
     q["nucleus"] = lambda s, sf: ranking.top_p(_scores(s, sf), 0.5).select(*keys)
     q["decode_filter"] = lambda s, sf: _rounded(
+        ranking.score_rows(
+            _score_arrays(s, sf), ranking.decode_filter_array(F.col("scores"), 0.7, 20, 0.8), "row_id"
+        ).select(*keys, "prob"),
+        "prob",
+    )
+    q["decode_filter_rows"] = lambda s, sf: _rounded(
         ranking.decode_filter(_scores(s, sf), 0.7, 20, 0.8).select(*keys, "prob"), "prob"
     )
     q["sample_token"] = lambda s, sf: ranking.sample_token(ranking.softmax_rows(_scores(s, sf)), SEED)
