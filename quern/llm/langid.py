@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.llm import kernels
-from quern.llm.common import add_struct, fresh, require_columns, stage
+from quern.llm.common import add_struct, bounded, fresh, require_columns, stage
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -141,15 +141,20 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     """A network fitted to a bounded sample of labelled rows.
 
     The sample holds at most ``per_label`` documents of each label, those whose
-    keys have the smallest hashes, and ``samples`` windows of each, evenly
+    keys have the smallest hashes (30 bits of them), and ``samples`` windows of each, evenly
     spaced from its first to its last character. Rows without a key, a label or
     a text don't count. The sample comes to the driver.
     """
     require_columns(docs, key, text, label)
     known = docs.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     ids = known.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label")).distinct()
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ids = stage(ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_label).select("id", "label"), "sample")
+    # only the keys whose hashes are small enough to be among the first, so that a frequent label isn't sorted in one task
+    sizes = bounded(stage(ids.groupBy("label").agg(F.count("*").alias("n")), "labels"))
+    scale = 1 << 30
+    place = F.pmod(F.xxhash64("id"), F.lit(scale))
+    some = ids.join(sizes, "label").withColumn("place", place).where(F.col("place") * F.col("n") <= 2 * per_label * scale)
+    first = Window.partitionBy("label").orderBy("place", "id")
+    ids = stage(some.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_label).select("id", "label"), "sample")
     span = F.greatest(F.lit(0), F.length(text) - WINDOW)
     places = [F.substring(F.col(text), (F.floor(span * i / max(1, samples - 1)) + 1).cast("int"), F.lit(WINDOW)) for i in range(samples)]
     rows = known.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.array(*places).alias("parts"))
