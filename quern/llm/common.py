@@ -16,7 +16,20 @@ from quern.session import stage
 #: Rows of a narrow id table that may be broadcast (about 64 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
-__all__ = ["BROADCAST_ROWS", "add_struct", "bounded", "fresh", "keep_ids", "require_columns", "stage"]
+__all__ = ["BROADCAST_ROWS", "add_struct", "bounded", "fresh", "keep_ids", "require_columns", "small_batches", "stage"]
+
+
+#: Rows of an Arrow batch unless the session sets its own number; whole texts and shingle sets are wide rows.
+BATCH_ROWS = 1_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends few rows to Python at a time; a number the user has set stays."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -44,7 +57,7 @@ def add_struct(docs: DataFrame, text: str, name: str, fields: str, make: Callabl
     ``make()`` is called once per task and gives a function from an Arrow string
     array without nulls to a list of Arrow arrays, one for each of ``fields``
     (a DDL list). It sees some rows at a time: at least one, and no more than
-    about a megabyte of text beyond that.
+    half a megabyte of text beyond that.
     """
     keep = list(docs.columns) if keep is None else keep
     struct = StructType.fromDDL(fields)
@@ -60,4 +73,4 @@ def add_struct(docs: DataFrame, text: str, name: str, fields: str, make: Callabl
                 made = pa.StructArray.from_arrays(work(part.column(0)), names=struct.fieldNames())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*keep, name])
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)

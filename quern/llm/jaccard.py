@@ -38,11 +38,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quern.llm import kernels
-from quern.llm.common import bounded, fresh, require_columns, stage
+from quern.llm.common import bounded, fresh, require_columns, small_batches, stage
 from quern.llm.components import connected_components
 
 #: Shingles of a block of the index, and of the queries sent to it at a time, on average.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 400_000
 #: Postings up to which lists are merged by a heap; longer ones by a stable sort of the runs. Same result.
 HEAP_POSTINGS = 4_096
 #: DivideSkip's weight of a probe against a merge step.
@@ -71,14 +71,13 @@ class Block:
         self.percent = percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        docs = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
-        self.docs = docs[order]
+        self.docs = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
         self.tokens, firsts = np.unique(tokens[order], return_index=True)
         self.firsts = np.append(firsts, len(order))
         # one sorted array of (list, document), for binary search in any list
-        lists = np.repeat(np.arange(len(self.tokens)), np.diff(self.firsts))
-        self.keys = lists * max(1, len(sets)) + self.docs
+        self.keys = np.repeat(np.arange(len(self.tokens)) * max(1, len(sets)), np.diff(self.firsts))
+        self.keys += self.docs
 
     def _merge(self, lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents in at least ``least`` of the lists, and in how many."""
@@ -174,7 +173,7 @@ def shingle_rows(docs: DataFrame, size: int, percent: int, key: str, text: str,
         StructField("shingles", BinaryType() if whole else ArrayType(LongType())),
     ]
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), text_key(text).alias("text_key"))
-    return rows.mapInArrow(_sets(size, percent, whole), StructType(fields))
+    return small_batches(rows).mapInArrow(_sets(size, percent, whole), StructType(fields))
 
 
 def _targets(spans: list[dict]) -> set[int]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _rng = np.random.default_rng(20_260_101)
 #: Random odd 64-bit values for the 256 bytes, and for up to 64 words of a shingle.

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from quern.llm import kernels
-from quern.llm.common import bounded, require_columns, stage
+from quern.llm.common import bounded, require_columns, small_batches, stage
 
 #: Bytes (about) of words whose ids a task remembers, in each of two generations.
 MEMO_BYTES = 96 << 20
@@ -334,7 +334,7 @@ def pack_documents(
     if with_ids:
         fields.append(StructField("ids", ArrayType(IntegerType())))
     rows = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
-    pieces = stage(rows.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), StructType(fields)), "pieces")
+    pieces = stage(small_batches(rows).mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), StructType(fields)), "pieces")
     counts = stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     total = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
