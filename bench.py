@@ -3,7 +3,9 @@
 ``shard_stats`` and the training queries build everything from the raw tables.
 The others start from the staged table their operator takes in production
 (cleaned text, encoded records, shards, run log), which is built before the
-clock starts. Every query is run to its end without collecting its rows.
+clock starts. ``from_raw`` times some of these again with everything built from
+the raw tables. Every query is run to its end without collecting its rows.
+Documents are dealt to all cores first, as the test tables are one file.
 """
 
 from __future__ import annotations
@@ -46,6 +48,17 @@ HEADLINE = [
     "stream_clean",
 ]
 FROM_RAW = {"shard_stats", "train_vocab"}
+AGAIN_FROM_RAW = ["clean_text", "word_counts", "pack_shards", "flat_stream", "rank_batches"]
+
+
+def run_raw(query, spark, sf) -> float:
+    """With nothing staged before; what other queries staged is there again afterwards."""
+    kept = dict(registry._staged)
+    registry.forget_staged()
+    try:
+        return run(query, spark, sf)
+    finally:
+        registry._staged.update(kept)
 
 
 def run(query, spark, sf) -> float:
@@ -59,6 +72,7 @@ def main() -> None:
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("OFF")
     every = registry.all_queries()
+    registry.SPREAD = spark.sparkContext.defaultParallelism
     warm = os.path.join(os.path.dirname(sf), "sf0.001")
     if os.path.isdir(warm):
         registry.flagship(spark, warm).count()
@@ -66,15 +80,11 @@ def main() -> None:
         prepare(spark, sf)
     times = {}
     for name in HEADLINE:
-        if name in FROM_RAW:
-            kept = dict(registry._staged)
-            registry.forget_staged()
-            times[name] = run(every[name], spark, sf)
-            registry._staged.update(kept)
-        else:
-            times[name] = run(every[name], spark, sf)
+        times[name] = (run_raw if name in FROM_RAW else run)(every[name], spark, sf)
+    raw = {name: run_raw(every[name], spark, sf) for name in AGAIN_FROM_RAW}
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf).removeprefix("sf")}))
+    scale = os.path.basename(sf).removeprefix("sf")
+    print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "from_raw": raw, "sf": scale}))
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quern.functions.text import clean_text
-from quern.operators import encode, pack, select, sequences, vocab
+from quern.operators import encode, pack, select, vocab
 from quern.session import stage
 from quern.sources.tables import document_lines
 
@@ -36,11 +36,3 @@ def line_streams(docs: DataFrame, tokens: DataFrame, val_size: float, block_size
     lines = document_lines(select.split(docs, val_size)).withColumnRenamed("line", "text")
     encoded = stage(encode.encode_wordpiece(cleaned(lines), tokens), "encoded")
     return pack.flat_stream(encoded, block_size, ["doc_id", "line_no"], ["split"])
-
-
-def training_batches(
-    encoded: DataFrame, shard_size: int, block_size: int, seq_length: int, batch_size: int, world_size: int
-) -> DataFrame:
-    """Encoded records to the batches of each rank, by way of staged shards."""
-    shards = stage(pack.pack_shards(encoded, shard_size, block_size), "shards")
-    return sequences.rank_batches(shards, seq_length, batch_size, world_size)

@@ -498,9 +498,10 @@ def all_queries() -> dict[str, Query]:
 
     # Score tables
     keys = ["row_id", "token_id"]
-    entries = ranking.score_array(F.col("scores"))
-    tenths = ranking.score_array(F.transform("scores", lambda x: F.round(x.cast("double"), 1)))
-    q["topk_ties"] = lambda s, sf: ranking.score_rows(_score_arrays(s, sf), ranking.top_k_array(tenths, 5), "row_id")
+    tenths = lambda: F.transform("scores", lambda x: F.round(x.cast("double"), 1))
+    q["topk_ties"] = lambda s, sf: ranking.score_rows(
+        _score_arrays(s, sf), ranking.top_k_array(ranking.score_array(tenths()), 5), "row_id"
+    )
     q["softmax_rows"] = lambda s, sf: _rounded(
         ranking.score_rows(
             _score_arrays(s, sf), ranking.softmax_array(ranking.score_array(F.col("scores"), 0.7)), "row_id"
@@ -508,7 +509,7 @@ def all_queries() -> dict[str, Query]:
         "prob",
     )
     q["nucleus_array"] = lambda s, sf: ranking.score_rows(
-        _score_arrays(s, sf), ranking.top_p_array(entries, 0.5), "row_id"
+        _score_arrays(s, sf), ranking.top_p_array(ranking.score_array(F.col("scores")), 0.5), "row_id"
     ).select(*keys)
     q["cumulative_mass"] = lambda s, sf: _rounded(
         ranking.cumulative_mass(_scores(s, sf)).select(*keys, "cum_prob"), "cum_prob"

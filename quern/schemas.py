@@ -1,21 +1,8 @@
-"""Schemas of the tables passed between the operators."""
+"""Schema of the vocabulary tables passed between the operators."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import (
-    ArrayType,
-    BooleanType,
-    DoubleType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-)
-
-TOKENS = ArrayType(IntegerType(), False)
-
-DOCUMENTS = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 VOCAB = StructType(
     [
@@ -25,24 +12,3 @@ VOCAB = StructType(
         StructField("is_continuation", BooleanType(), False),
     ]
 )
-
-BLOCKS = StructType(
-    [
-        StructField("shard_id", LongType()),
-        StructField("block_id", LongType()),
-        StructField("pos", LongType()),
-        StructField("n_tokens", IntegerType()),
-        StructField("ids", TOKENS),
-    ]
-)
-
-RUN_LOG = StructType(
-    [
-        StructField("rank", IntegerType()),
-        StructField("batch_idx", LongType()),
-        StructField("loss", DoubleType()),
-        StructField("fb_time", DoubleType()),
-    ]
-)
-
-CHECKPOINTS = StructType([StructField("model", StringType()), StructField("path", StringType())])

@@ -1,4 +1,7 @@
 import glob
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +60,12 @@ def test_entry_and_registry(spark, sf):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_the_registry_needs_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+
+
 def test_line_streams(spark, sf):
     docs = spark.createDataFrame([(i, f"the {i}\n\nof the" if i % 2 else "and") for i in range(20)], queries_schema())
     words = queries._word_vocab(spark, sf)
