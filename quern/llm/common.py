@@ -16,7 +16,7 @@ from quern.session import stage
 #: Rows of a narrow id table that may be broadcast (about 64 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
-__all__ = ["BROADCAST_ROWS", "add_struct", "bounded", "fresh", "keep_ids", "require_columns", "small_batches", "stage"]
+__all__ = ["BROADCAST_ROWS", "add_struct", "bounded", "fresh", "require_columns", "small_batches", "stage"]
 
 
 #: Rows of an Arrow batch unless the session sets its own number; whole texts and shingle sets are wide rows.
@@ -46,11 +46,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name if name.lower() not in taken else f"{name}_{uuid.uuid4().hex[:8]}"
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str, inside: bool) -> DataFrame:
-    """The rows of ``docs`` whose key is (not) among the staged ``ids``. A null key is in no list."""
-    return docs.join(bounded(ids.select(key).distinct()), key, "left_semi" if inside else "left_anti")
-
-
 def add_struct(docs: DataFrame, text: str, name: str, fields: str, make: Callable, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and a struct ``name`` made from the text.
 

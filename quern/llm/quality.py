@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm import kernels
-from quern.llm.common import add_struct, bounded, fresh, require_columns, stage
+from quern.llm.common import BROADCAST_ROWS, add_struct, bounded, fresh, require_columns, stage
 
 # The base rule.
 MIN_WORDS = 50
@@ -171,10 +171,14 @@ def certified_cutoffs(
     known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
     known = stage(known.groupBy(F.col(key).alias("label_id")).agg(F.min("quality").alias("quality")), "labels")
     rows = docs.select(F.col(key).alias("label_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"))
-    rows = text_counts(rows.join(bounded(known.select("label_id")), "label_id", "left_semi"), "text", "counts", ["label_id", "stratum"])
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(known.select("label_id")), "label_id", "left_semi")
+        known = F.broadcast(known)
+    # else all texts are counted where they lie, and the narrow counts are joined by a shuffle
+    rows = text_counts(rows, "text", "counts", ["label_id", "stratum"])
     rows = rows.where(~_base_failed("counts"))
     metrics = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _metric("counts", r).alias("bin")) for r in RULES])).alias("m")
-    seen = rows.join(bounded(known), "label_id").select("stratum", "quality", metrics)
+    seen = rows.join(known, "label_id").select("stratum", "quality", metrics)
     bins = seen.groupBy("stratum", "m.rule", "m.bin").agg(
         F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad")
     )
