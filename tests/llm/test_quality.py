@@ -84,6 +84,13 @@ def test_verdicts(spark):
     assert kept.count() == sum(r["kept"] for r in found)
 
 
+def test_more_labels_than_a_broadcast_takes(spark, monkeypatch):
+    _, docs, labels = _documents(spark)
+    found = sorted(map(tuple, quality.certified_cutoffs(docs, labels, risk=0.2).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, quality.certified_cutoffs(docs, labels, risk=0.2).collect())) == found != []
+
+
 def test_empty_tables(spark):
     _, docs, labels = _documents(spark, 10)
     assert quality.quality_verdicts(docs.limit(0), labels).collect() == []
