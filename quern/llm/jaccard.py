@@ -313,8 +313,9 @@ def one_of_each(
     """
     rows = _classes(docs, size, percent, key, text, block_tokens).where("linkable AND copies IS NOT NULL")
     members = rows.select("doc_id", "text_key", F.coalesce("root", "fp").alias("group"))
-    first = members.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    members = stage(members.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("times")).join(first, "group"), "members")
+    first = stage(members.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first")), "first")
+    times = members.groupBy("doc_id", "text_key", "group").agg(F.count("*").alias("times"))
+    members = stage(times.join(bounded(first), "group"), "members")
     own = F.struct("doc_id", "text_key")
     dropped_id, dropped_text = fresh(docs, "dropped_id"), fresh(docs, "dropped_text")
     same = [F.col(f"`{key}`") == F.col(dropped_id), text_key(text) == F.col(dropped_text)]
