@@ -80,7 +80,8 @@ def entropy_spans(string: str, members: frozenset[str], least: float, window: in
 def secret_spans(text: str, allow: frozenset[str] = frozenset()) -> list[Span]:
     """Spans of a text by start, then kind: the base ones, and those of high entropy that don't lie in a base one.
 
-    Of the classes that take the same stretch only the first is given.
+    A span that lies wholly inside one of a class before is left out; one that
+    only overlaps it is given, so spans cover all that any class finds.
     """
     out: list[Span] = []
     low = text.lower()
@@ -100,7 +101,7 @@ def secret_spans(text: str, allow: frozenset[str] = frozenset()) -> list[Span]:
             for kind, members, least in CLASSES:
                 for a, b in entropy_spans(string, members, least):
                     a, b = a + m.start(), b + m.start()
-                    if not any(a < y and x < b for x, y in taken):
+                    if not any(x <= a and b <= y for x, y in taken):
                         out.append((kind, a, b, False))
                         taken.append((a, b))
     else:
