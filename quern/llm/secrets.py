@@ -5,7 +5,7 @@ tokens. In each the Shannon entropy of a sliding window is kept up to date as
 one character leaves and one comes in, for each character class; windows that
 reach the class's threshold are joined to spans. Strings on the allow list
 (identifiers, digests named as such, samples, alphabets, the caller's own) are
-suppressed.
+suppressed, but not what stands beside them in the same candidate.
 """
 
 from __future__ import annotations
@@ -35,8 +35,18 @@ CLASSES = [
     ("entropy_alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3.7),
     ("entropy_base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 3.9),
 ]
-#: Strings that aren't secrets: identifiers of 8-4-4-4-12 digits, samples, the alphabet and the digits in order.
-ALLOWED = re.compile(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|changeme|placeholder|x{6}|abcdefgh|01234567|^(sha(1|256|384|512)|md5)-")
+#: Words of samples, the alphabet and the digits in order: the run of letters and digits around one isn't a secret.
+ALLOWED = re.compile(r"(?i)example|sample|changeme|placeholder|x{6}|abcdefgh|01234567")
+#: Digests named as such, of their full length, at the start of a piece; a piece of another length goes to its end.
+_DIGEST = re.compile(
+    r"(?i)(?:^|(?<=[=/]))(?:(?:md5-[a-z0-9+/_-]{22}|sha1-[a-z0-9+/_-]{27}|sha256-[a-z0-9+/_-]{43}|sha384-[a-z0-9+/_-]{64}|sha512-[a-z0-9+/_-]{86})(?![a-z0-9+/_-])={0,2}"
+    r"|(?:sha(?:1|256|384|512)|md5)-[^=/]*)"
+)
+#: Identifiers of 8-4-4-4-12 digits that are a whole piece.
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_PIECE = re.compile(r"[^=/]+")
+_ALNUM = re.compile(r"[0-9A-Za-z]+")
+_RUNS = {"entropy_hex": re.compile(r"[0-9A-Fa-f]+")}
 
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 _RANK = {k: i for i, k in enumerate([*KINDS, *(c[0] for c in CLASSES)])}
@@ -77,6 +87,31 @@ def entropy_spans(string: str, members: frozenset[str], least: float, window: in
     return found
 
 
+def _blank(m: re.Match) -> str:
+    return " " * len(m[0])
+
+
+def without_allowed(string: str, allow: frozenset[str] = frozenset()) -> str:
+    """A candidate with blanks, which no class has, for digests, identifiers and the caller's strings in it.
+
+    They are searched in the pieces between ``=`` and ``/``, so what stands beside one stays.
+    """
+    if string in allow:
+        return " " * len(string)
+    if "-" in string:
+        string = _DIGEST.sub(_blank, string)
+    if allow or "-" in string:
+        string = _PIECE.sub(lambda m: _blank(m) if m[0] in allow or _UUID.fullmatch(m[0]) else m[0], string)
+    return string
+
+
+def without_samples(string: str, kind: str) -> str:
+    """A candidate with blanks for the runs of the class's letters and digits that hold a word of :data:`ALLOWED`."""
+    if not ALLOWED.search(string):
+        return string
+    return _RUNS.get(kind, _ALNUM).sub(lambda m: _blank(m) if ALLOWED.search(m[0]) else m[0], string)
+
+
 def secret_spans(text: str, allow: frozenset[str] = frozenset()) -> list[Span]:
     """Spans of a text by start, then kind: the base ones, and those of high entropy that don't lie in a base one.
 
@@ -94,12 +129,12 @@ def secret_spans(text: str, allow: frozenset[str] = frozenset()) -> list[Span]:
         base += [("hex", m.start(), m.end(), True) for m in _HEX.finditer(text)]
         out = list(base)
         for m in _CANDIDATE.finditer(text):
-            string = m[0]
-            if not _HAS_DIGIT.search(string) or string in allow or ALLOWED.search(string):
+            if not _HAS_DIGIT.search(m[0]):
                 continue
+            string = without_allowed(m[0], allow)
             taken: list[tuple[int, int]] = [(a, b) for _, a, b, _ in base]
             for kind, members, least in CLASSES:
-                for a, b in entropy_spans(string, members, least):
+                for a, b in entropy_spans(without_samples(string, kind), members, least):
                     a, b = a + m.start(), b + m.start()
                     if not any(x <= a and b <= y for x, y in taken):
                         out.append((kind, a, b, False))
@@ -115,7 +150,8 @@ def secrets(docs: DataFrame, allow: Iterable[str] = (), key: str = "doc_id", tex
     Whole texts are searched; a null or empty text has no spans. Repeated rows
     and rows without an id are searched like any other; other columns are
     ignored; an empty table gives an empty result. ``allow`` holds strings that
-    are never given for their entropy (base kinds are given in any case).
+    are never given for their entropy (base kinds are given in any case), where
+    they stand alone or between ``=`` and ``/``.
     """
     require_columns(docs, key, text)
     name, allowed = fresh(docs, "found"), frozenset(allow)

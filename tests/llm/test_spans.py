@@ -121,3 +121,26 @@ def test_keys_with_slash_and_plus_are_masked_whole():
     key = "Zk3/Qa9xT1bLw8RvYp0uHn5CeGd7MsJf2KiVoXqB"
     text = f"aws_secret_access_key = {key}"
     assert masked_text(text, secrets.secret_spans(text), "[{}]") == "aws_secret_access_key = [entropy_base64]"
+
+
+def test_allowed_words_hide_no_key_beside_them():
+    def strings(text, allow=frozenset()):
+        return [text[a:b] for _, a, b, base in secrets.secret_spans(text, allow) if not base]
+
+    key, rest = "Zk3Qa9xT1bLw8RvYp0uHn5CeGd7MsJf2KiVoXqB", "Zk3Qa9xT1b-Lw8RvYp0_uHn5CeGd7+MsJf2KiVoXqB"
+    for text in (f"example_key={key}", f"/srv/sample-app/{key}", f"placeholder-{key}", f"xxxxxx/{key}/01234567", f"md5-abc/{key}", f"123e4567-e89b-12d3-a456-426614174000/{key}"):
+        assert any(key in s for s in strings(text)), text
+    assert any(rest in s for s in strings(f"sample-{rest}"))
+    rng = random.Random(2)
+    long = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(4000))
+    at = 2000
+    found = secrets.secret_spans(long[:at] + "/sample/" + long[at:])
+    covered = {i for _, a, b, _ in found for i in range(a, b)}
+    assert len(covered) > 3900
+    # what is on the list alone stays unmarked
+    assert strings(f"the{key[:12]}EXAMPLE{key[12:]}") == []
+    assert strings("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") == []
+    assert strings("/id=123e4567-e89b-12d3-a456-426614174000/x") == []
+    digest = "uU0nuZNNPgilLlLX2n2r+sSE7+N6U4DukIj3rOLvzek="
+    assert strings(f'integrity="sha256-{digest}"') == strings(f"a/sha256-{digest}") == []
+    assert strings(f"x/{key}", frozenset([key])) == [] and strings(f"{key}/{key[::-1]}", frozenset([key])) != []
