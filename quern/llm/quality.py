@@ -1,19 +1,22 @@
 """Quality rules whose cutoffs come with a bound on false rejections.
 
-A rule rejects a text whose metric reaches a cutoff. Good documents of a
-labelled holdout say, for each stratum and rule, how many good ones a cutoff
-would reject. Cutoffs are tested from the laxest to stricter ones: one is
-*certified* if the exact binomial test refutes that it rejects a share of
-``risk / rules`` or more of the good documents of the stratum, and so are all
-laxer ones (fixed-sequence testing needs no correction within a rule). The
-error rate is divided by the number of rules and strata (Bonferroni), so with
+A rule rejects a text whose metric reaches a cutoff. For each stratum the
+cutoffs of all rules make one sequence of joint verdicts, from the laxest to
+stricter ones. It is fixed on the bad labelled documents and on a part of the
+good ones; the other good ones, the holdout, test it: a verdict is *certified*
+if the exact binomial test refutes that it rejects a share of ``risk`` or more
+of the good documents of the stratum, and so are all laxer ones (fixed-sequence
+testing needs no correction within a stratum). The error rate is divided by the
+number of strata with labels enough for any certificate (Bonferroni), so with
 confidence ``1 - error`` no stratum loses more than ``risk`` of its good
-documents to all rules together. Of the certified cutoffs the one with the best
-balance on the labels is taken; a rule without one rejects nothing there.
+documents to all rules together. Of the certified verdicts the one with the best
+balance on the labels is taken; a stratum without one has the base rule only.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -133,9 +136,46 @@ def binomial_tail(n: int, limit: float) -> np.ndarray:
     return np.exp(np.logaddexp.accumulate(logs))
 
 
-def choose_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float, error: float, weight: float) -> int | None:
-    """The cutoff of a rule in a stratum, from counts of good and bad documents by metric; None if it has none."""
+#: Cutoffs above the metrics of the good documents that fix a sequence, and below them; a cutoff that rejects nothing.
+MARGINS, STRICTER, NEVER = 32, 16, 1001
+#: Parts that good documents are dealt to by id: the first ones fix the sequence, the others test it.
+BUCKETS = 20
+
+
+def labels_needed(risk: float, error: float, strata: int = 1) -> int:
+    """Good documents a holdout needs for a certificate, if none of them is rejected."""
+    return math.ceil(math.log(error / strata) / math.log1p(-risk))
+
+
+def strictness(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, weight: float) -> list[int]:
+    """Cutoffs of a rule by level, none above the one before, from counts of documents by metric.
+
+    The first levels stay above the metric of any good document, nearer each
+    time, the last ones go below it. At each the cutoff is the one of the best
+    balance among those allowed, of equals the laxest.
+    """
+    order = np.argsort(-bins)
+    bins, good, bad = bins[order], good[order], bad[order]
+    gain = np.cumsum(bad) - weight * np.cumsum(good)
+    own = bins[good > 0]
+    top = int(own[0]) if len(own) else 0
+    least = [top + 1 + (1000 - top) * (MARGINS - j) // MARGINS for j in range(1, MARGINS + 1)]
+    least += [max(1, int(own[min(k, len(own) - 1)])) if len(own) else 1 for k in range(STRICTER)]
+    out = []
+    for bound in least:
+        n = int((bins >= bound).sum())
+        best = int(np.argmax(gain[:n])) if n else 0
+        out.append(int(bins[best]) if n and gain[best] > 0 else NEVER)
+    return out
+
+
+def choose_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float, error: float, weight: float, more: np.ndarray | int = 0) -> int | None:
+    """The best certified cutoff, from counts of good and bad documents by metric; None if there is none.
+
+    ``good`` is the holdout; ``more`` are good documents that count for the balance only.
+    """
     order = np.argsort(-bins)
+    more = np.cumsum((more + np.zeros(len(bins)))[order])
     bins, good_hit, bad_hit = bins[order], np.cumsum(good[order]), np.cumsum(bad[order])
     n = int(good.sum())
     if not n:
@@ -143,7 +183,7 @@ def choose_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: fl
     tail = binomial_tail(n, limit)
     p = np.where(good_hit < len(tail), tail[np.minimum(good_hit, len(tail) - 1)], 1.0)
     certified = np.logical_and.accumulate((p <= error) & (bins > 0))
-    gain = np.where(certified, bad_hit - weight * good_hit, -np.inf)
+    gain = np.where(certified, bad_hit - weight * (good_hit + more), -np.inf)
     best = int(np.argmax(gain)) if len(gain) else 0  # of equals the laxest
     return int(bins[best]) if len(gain) and gain[best] > 0 else None
 
@@ -163,8 +203,11 @@ def certified_cutoffs(
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad); a document with
     several labels is good if all say so. Rows without a label or an id don't
     count, nor do texts that the base rule rejects; a null stratum is one of
-    its own. All labelled documents are used, as counts by metric (at most 1001
-    values a rule).
+    its own. All labelled documents are used. A stratum needs
+    ``labels_needed(risk, error, strata)`` good ones, where ``strata`` counts
+    those that have enough for a certificate without the division; of the good
+    ones beyond that up to half fix the sequence. ``n_good`` and ``n_bad`` are
+    labelled documents that the rule rejects.
     """
     require_columns(docs, key, text, stratum)
     require_columns(labels, key, "quality")
@@ -177,29 +220,60 @@ def certified_cutoffs(
     # else all texts are counted where they lie, and the narrow counts are joined by a shuffle
     rows = text_counts(rows, "text", "counts", ["label_id", "stratum"])
     rows = rows.where(~_base_failed("counts"))
-    metrics = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _metric("counts", r).alias("bin")) for r in RULES])).alias("m")
-    seen = rows.join(known, "label_id").select("stratum", "quality", metrics)
-    bins = seen.groupBy("stratum", "m.rule", "m.bin").agg(
-        F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad")
-    )
-    bins = stage(bins, "bins")
-    strata = max(1, bins.select("stratum").distinct().count())
-    level, limit = error / (strata * len(RULES)), risk / len(RULES)
-
-    names = ["stratum", "rule", "cutoff", "n_good", "n_bad"]
-    kinds = pa.schema([(n, pa.string() if i < 2 else pa.int64()) for i, n in enumerate(names)])
+    columns = [_metric("counts", r).alias(f"m_{r}") for r in RULES]
+    dealt = F.pmod(F.xxhash64("label_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    seen = stage(rows.join(known, "label_id").select("stratum", (F.col("quality") == 1).alias("is_good"), dealt, *columns), "metrics")
+
+    sizes = seen.where("is_good").groupBy("stratum").agg(F.count("*").alias("n"))
+    strata = max(1, sizes.where(F.col("n") >= labels_needed(risk, error)).count())
+    needed, level, n_levels = labels_needed(risk, error, strata), error / strata, MARGINS + STRICTER
+
+    def number(flags: str):
+        return F.sum(F.expr(flags).cast("long"))
+
+    metrics = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"m_{r}").alias("bin")) for r in RULES])).alias("m")
+    bins = seen.select("stratum", "is_good", F.expr("IF(is_good, bucket, 0)").alias("bucket"), metrics).groupBy("stratum", "m.rule", "m.bin", "bucket")
+    bins = bins.agg(number("is_good").alias("good"), number("NOT is_good").alias("bad"))
+    fields = [pa.field("stratum", pa.string()), pa.field("last", pa.int64())]
+    fields += [pa.field(f"{kind}_{r}", pa.list_(pa.int64())) for r in RULES for kind in ("cutoff", "good", "bad")]
+    ddl = ", ".join(["stratum string", "last long", *[f"{kind}_{r} array<bigint>" for r in RULES for kind in ("cutoff", "good", "bad")]])
+
+    def levels(group: pa.Table) -> pa.Table:
+        b, p, g, x = (group.column(c).to_numpy() for c in ("bin", "bucket", "good", "bad"))
+        rule = np.array(group.column("rule").to_pylist())
+        one = rule == rule[0]
+        upto = np.cumsum(np.bincount(p[one], weights=g[one], minlength=BUCKETS).astype(np.int64))
+        if upto[-1] < needed:
+            return pa.Table.from_pylist([], pa.schema(fields))
+        # the first buckets fix the sequence: at most half, and no more than the test can spare
+        last = int((upto <= min(upto[-1] // 2, upto[-1] - needed)).sum()) - 1
+        row = {"stratum": group.column("stratum")[0].as_py(), "last": last}
+        for r in RULES:
+            at, of = np.unique(b[rule == r], return_inverse=True)
+            good, bad = g[rule == r], x[rule == r]
+            fixing = np.bincount(of, weights=good * (p[rule == r] <= last)).astype(np.int64)
+            good, bad = (np.bincount(of, weights=c).astype(np.int64) for c in (good, bad))
+            cutoffs = strictness(at, fixing, bad, weight)
+            row |= {f"cutoff_{r}": cutoffs, f"good_{r}": [int(good[at >= c].sum()) for c in cutoffs], f"bad_{r}": [int(bad[at >= c].sum()) for c in cutoffs]}
+        return pa.Table.from_pylist([row], pa.schema(fields))
+
+    sequence = bounded(stage(bins.groupBy("stratum").applyInArrow(levels, ddl), "sequence"))
+    # a text is rejected from the first level on at which a cutoff is within its metric
+    passed = F.least(*[F.expr(f"size(filter(cutoff_{r}, c -> c > m_{r}))") for r in RULES])
+    by_level = seen.join(sequence, "stratum").groupBy("stratum", passed.alias("passed"))
+    by_level = by_level.agg(number("is_good AND bucket > last").alias("good"), number("is_good AND bucket <= last").alias("fixing"), number("NOT is_good").alias("bad"))
 
     def choose(group: pa.Table) -> pa.Table:
-        b, g, x = (group.column(c).to_numpy() for c in ("bin", "good", "bad"))
-        cutoff = choose_cutoff(b, g, x, limit, level, weight)
-        rows = []
-        if cutoff is not None:
-            own = [group.column(c)[0].as_py() for c in ("stratum", "rule")]
-            rows = [dict(zip(names, [*own, cutoff, int(g[b >= cutoff].sum()), int(x[b >= cutoff].sum())], strict=True))]
-        return pa.Table.from_pylist(rows, kinds)
-
-    found = bins.groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule string, cutoff long, n_good long, n_bad long")
-    return stage(found, "cutoffs")
+        p, g, f, x = (group.column(c).to_numpy() for c in ("passed", "good", "fixing", "bad"))
+        chosen = choose_cutoff(n_levels - p, g, x, risk, level, weight, f)
+        rows = [] if chosen is None else [{"stratum": group.column("stratum")[0].as_py(), "level": n_levels - chosen}]
+        return pa.Table.from_pylist(rows, pa.schema([("stratum", pa.string()), ("level", pa.int32())]))
+
+    chosen = by_level.groupBy("stratum").applyInArrow(choose, "stratum string, level int").join(sequence, "stratum")
+    parts = [("cutoff", "cutoff"), ("good", "n_good"), ("bad", "n_bad")]
+    each = [F.struct(F.lit(r).alias("rule"), *[F.col(f"{kind}_{r}")[F.col("level")].alias(name) for kind, name in parts]) for r in RULES]
+    found = chosen.select("stratum", F.explode(F.array(*each)).alias("c")).select("stratum", "c.*")
+    return stage(found.where(F.col("cutoff") < NEVER), "cutoffs")
 
 
 def _base_failed(name: str):

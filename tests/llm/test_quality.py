@@ -96,3 +96,57 @@ def test_empty_tables(spark):
     assert quality.quality_verdicts(docs.limit(0), labels).collect() == []
     found = quality.quality_verdicts(docs, labels.limit(0)).collect()
     assert all(r["kept"] != r["base_failed"] for r in found)
+
+
+def test_labels_needed():
+    assert quality.labels_needed(0.02, 0.05, 4) == 217
+    assert 0.98**217 <= 0.05 / 4 < 0.98**216
+
+
+def test_levels_go_from_lax_to_strict():
+    bins, good, bad = np.array([0, 100, 300, 310, 500, 900]), np.array([50, 40, 1, 0, 0, 0]), np.array([0, 0, 60, 5, 5, 5])
+    found = quality.strictness(bins, good, bad, 20)
+    assert len(found) == quality.MARGINS + quality.STRICTER and found == sorted(found, reverse=True)
+    assert found[0] == quality.NEVER and set(found) == {quality.NEVER, 900, 500, 310, 300}
+    assert set(quality.strictness(bins, good, np.zeros(6, int), 20)) == {quality.NEVER}
+
+
+def test_joint_verdicts_keep_their_bound():
+    """Over many label sets, the verdict of all rules together rejects more good texts than allowed no more often than ``error``."""
+    rng = np.random.default_rng(4)
+    limit, error, n_levels = 0.05, 0.1, quality.MARGINS + quality.STRICTER
+    people = np.minimum(1000, rng.gamma(1.0, 60, (50_000, 6)).astype(int))  # all good documents there are
+    exceeded = tried = 0
+    for _ in range(300):
+        good, bad = people[rng.integers(0, len(people), 400)], np.minimum(1000, rng.gamma(4.0, 90, (150, 6)).astype(int))
+        fixing, tests = good[:150], good[150:]
+        cutoffs = []
+        for r in range(6):
+            both = np.concatenate([fixing[:, r], bad[:, r]])
+            bins = np.unique(both)
+            cutoffs.append(quality.strictness(bins, (fixing[:, r, None] == bins).sum(0), (bad[:, r, None] == bins).sum(0), 0.1))
+        cutoffs = np.array(cutoffs)
+        passed = [np.bincount((cutoffs[None] > x[:, :, None]).sum(2).min(1), minlength=n_levels + 1) for x in (tests, bad, fixing)]
+        chosen = quality.choose_cutoff(n_levels - np.arange(n_levels + 1), passed[0], passed[1], limit, error, 0.1, passed[2])
+        if chosen is not None:
+            tried += 1
+            exceeded += (people >= cutoffs[:, n_levels - chosen]).any(1).mean() > limit
+    assert tried > 200
+    assert exceeded / tried <= error
+
+
+def test_small_strata_have_rules(spark):
+    """Four strata of 300 good labels and one of 20: by rule and with every stratum counted none could have a cutoff."""
+    rows, marks = [], []
+    for i in range(2000):
+        lang = "rare" if i % 80 == 79 else ["en", "de", "es", "fr"][i % 4]
+        good = i // 4 % 4 != 0
+        rows.append((i, " ".join(f"w{(i * 31 + j * j) % 997}" + ("" if good else "&&") for j in range(60)), lang))
+        marks.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    cutoffs = quality.certified_cutoffs(docs, labels).collect()
+    assert {c["stratum"] for c in cutoffs if c["rule"] == "symbols"} == {"en", "de", "es", "fr"}
+    assert all(c["n_good"] == 0 and c["stratum"] != "rare" for c in cutoffs)
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, good in marks if good or i % 80 == 79}
