@@ -43,6 +43,8 @@ from quern.llm.components import connected_components
 
 #: Shingles of a block of the index, and of the queries sent to it at a time, on average.
 BLOCK_TOKENS = 400_000
+#: Blocks' worth of shingles that a task copies at a time as queries of one block, beyond the last target.
+BUCKET_BLOCKS = 8
 #: Postings up to which lists are merged by a heap; longer ones by a stable sort of the runs. Same result.
 HEAP_POSTINGS = 4_096
 #: DivideSkip's weight of a probe against a merge step.
@@ -192,13 +194,13 @@ def _traffic(rows: pa.Table) -> pa.Table:
 
 
 def _pack(block: pa.Table, routes: pa.Table) -> pa.Table:
-    """The sets of one block as queries, one row per block they go to."""
+    """The sets of one block as queries to the targets of one bucket, one row per block they go to."""
     sets = dict(zip(block.column("fp").to_pylist(), block.column("shingles").to_pylist(), strict=True))
     to: dict[int, list[bytes]] = defaultdict(list)
     for fp, spans in zip(routes.column("fp").to_pylist(), routes.column("spans").to_pylist(), strict=True):
         for t in _targets(spans):
             to[t].append(fp)
-    home = block.column("block")[0].as_py() if len(block) else 0
+    home = block.column("home")[0].as_py() if len(block) else 0
     return pa.table(
         {
             "home": pa.array([home] * len(to), pa.int32()),
@@ -355,11 +357,24 @@ def _links(docs, rows, size, percent, key, text, block_tokens) -> tuple[DataFram
     # queries of one block for another travel as one row; those for one block are dealt to parts of bounded size
     traffic = routes.groupBy("block").applyInArrow(_traffic, "home int, block int, tokens long")
     before = F.sum("tokens").over(Window.partitionBy("block").orderBy("home").rowsBetween(Window.unboundedPreceding, -1))
-    parts = traffic.select("home", "block", F.floor(F.coalesce(before, F.lit(0)) / block_tokens).alias("part"))
+    # and so are the targets of one block, to buckets: a block's sets are copied for the targets of one at a time
+    sent = F.sum("tokens").over(Window.partitionBy("home").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    parts = traffic.select(
+        "home",
+        "block",
+        F.floor(F.coalesce(before, F.lit(0)) / block_tokens).alias("part"),
+        F.floor(F.coalesce(sent, F.lit(0)) / (BUCKET_BLOCKS * block_tokens)).alias("bucket"),
+    )
     parts = stage(parts, "parts")
-    packed = index.select("block", "fp", "shingles").groupBy("block").cogroup(routes.select("block", "fp", "spans").groupBy("block"))
+    buckets = parts.groupBy("home", "bucket").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    buckets = bounded(stage(buckets, "buckets"))
+    within = "transform(filter(spans, s -> s.first <= high AND s.last >= low), s -> struct(greatest(s.first, low) AS first, least(s.last, high) AS last))"
+    asking = routes.select(F.col("block").alias("home"), "fp", "spans").join(buckets, "home")
+    asking = asking.select(F.col("home").alias("of_home"), F.col("bucket").alias("of_bucket"), "fp", F.expr(within).alias("spans")).where(F.size("spans") > 0)
+    sending = index.select(F.col("block").alias("home"), "fp", "shingles").join(buckets.select("home", "bucket"), "home")
+    packed = sending.groupBy("home", "bucket").cogroup(asking.groupBy("of_home", "of_bucket"))
     packed = packed.applyInArrow(_pack, "home int, block int, fps array<binary>, queries array<binary>")
-    right = packed.join(bounded(parts), ["home", "block"]).groupBy("block", "part")
+    right = packed.join(bounded(parts.drop("bucket")), ["home", "block"]).groupBy("block", "part")
     left = index.select("block", "fp", "copies", "shingles").join(bounded(stage(parts.select("block", "part").distinct(), "parts")), "block")
     schema = "fp binary, n_links long, root binary"
     found = stage(left.groupBy("block", "part").cogroup(right).applyInArrow(_search(percent), schema), "links")

@@ -103,3 +103,28 @@ def test_shingles_of_very_long_texts():
     assert not more and (lo, hi) == (0, 1)
     (found,) = kernels.Words(data, offsets, True).shingle_sets(4)
     assert len(found) == len(brute.shingles(text, 4)) == 5000
+
+
+def test_a_task_copies_a_bounded_share_of_a_blocks_queries(spark, monkeypatch):
+    """Near copies of one text that fill many blocks: the queries of a block are written for some targets at a time."""
+    rng, tokens = random.Random(8), 600
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for n in range(240):
+        text = list(base)
+        text[rng.randrange(4, 76)] = f"x{n}"
+        rows.append((n, " ".join(text)))
+    pack, whole = jaccard._pack, 80 * 8
+
+    def counted(block, routes):
+        out = pack(block, routes)
+        size = sum(len(q) for queries in out.column("queries").to_pylist() for q in queries)
+        own = sum(map(len, block.column("shingles").to_pylist()))
+        if size > 8 * jaccard.BUCKET_BLOCKS * tokens + own + whole:
+            raise ValueError(f"{size} bytes in one call")
+        return out
+
+    monkeypatch.setattr(jaccard, "_pack", counted)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = jaccard.jaccard_components(docs, 4, 80, block_tokens=tokens).collect()
+    assert sorted(map(tuple, found)) == sorted(brute.components(rows, 4, 80))
