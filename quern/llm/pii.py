@@ -83,7 +83,7 @@ def pii_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
                 ends["digit"] = run
                 if m := _IP.match(text, at):
                     ends["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                         out.append(("ip", at, m.end(), True))
             if at >= ends["card"] and (m := _CARD.match(text, at)):
                 ends["card"] = m.end()

@@ -144,3 +144,8 @@ def test_allowed_words_hide_no_key_beside_them():
     digest = "uU0nuZNNPgilLlLX2n2r+sSE7+N6U4DukIj3rOLvzek="
     assert strings(f'integrity="sha256-{digest}"') == strings(f"a/sha256-{digest}") == []
     assert strings(f"x/{key}", frozenset([key])) == [] and strings(f"{key}/{key[::-1]}", frozenset([key])) != []
+
+
+def test_addresses_of_very_many_zeros():
+    text = "0" * 5000 + ".1.1.1 " + "0" * 5000 + "256.1.1.1"
+    assert [s[:3] for s in pii.pii_spans(text, ANCHORS) if s[0] == "ip"] == [("ip", 0, 5006)]
