@@ -1,6 +1,6 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds the anchors: at-signs, schemes, plus
+One Aho-Corasick pass over a text, A-Z in lower case, finds the anchors: at-signs, schemes, plus
 signs and digits, and cues of identifiers. A parser for the anchor's kind then
 reads to the left and right of it, as far as the kind's characters go, and
 checks the boundaries it finds (labels of a domain, parts of an address, check
@@ -31,11 +31,19 @@ MORE = ["login", "iban", "account"]
 _SCHEMES = ["http://", "https://", "ftp://", "ssh://"]
 _USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+(:[^\s/@?#]*)?@")
 _IBAN = re.compile(r"[\s:#=-]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_ACCOUNT = re.compile(r"""(?:\x20?(?:number|no|nr|id))?[\x20.:#="']{1,4}([A-Za-z0-9][A-Za-z0-9_-]{5,31})(?![A-Za-z0-9_-])""")
-_CUES = {"iban": ["iban"], "account": ["account", "acct", "passport", "customer id", "user id", "userid", "kontonummer", "cuenta", "compte"]}
+_ACCOUNT = re.compile(r"""(?:[\x20_]?(?i:number|no|nr|id))?[\x20.:#="']{1,4}([A-Za-z0-9][A-Za-z0-9_-]{5,31})(?![A-Za-z0-9_-])""")
+_CUES = {"iban": ["iban"], "account": ["account", "acct", "passport", "customer id", "customer_id", "customerid", "user id", "user_id", "userid", "kontonummer", "cuenta", "compte"]}
 _RANK = {k: i for i, k in enumerate([*KINDS, *MORE])}
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _lowered(text: str) -> str:
+    """The text with A-Z in lower case, each character in its place."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     found.add_word("@", ("email", 1))
@@ -46,8 +54,7 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(s, ("scheme", len(s)))
     for kind, cues in _CUES.items():
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -73,7 +80,7 @@ def pii_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """Spans of a text by start, then kind: the base ones, and logins in addresses, IBANs and cued account numbers."""
     out: list[Span] = []
     ends = dict.fromkeys(["email", "ip", "card", "phone", "login", "iban", "account", "digit"], 0)
-    for last, (kind, length) in anchors.iter(text):
+    for last, (kind, length) in anchors.iter(_lowered(text)):
         at = last + 1 - length
         if kind == "digit":
             if at >= ends["ip"] and at >= ends["digit"]:  # the first digit of a run

@@ -149,3 +149,10 @@ def test_allowed_words_hide_no_key_beside_them():
 def test_addresses_of_very_many_zeros():
     text = "0" * 5000 + ".1.1.1 " + "0" * 5000 + "256.1.1.1"
     assert [s[:3] for s in pii.pii_spans(text, ANCHORS) if s[0] == "ip"] == [("ip", 0, 5006)]
+
+
+def test_spellings_of_cues():
+    for cue in ("Account Number: ", "ACCOUNT NUMBER: ", "Account No. ", "account number: ", "Passport No. ", "Customer ID: ", "User ID: ", "UserID: ", "userId=", "account_id=", "USER_ID=", "customer_id: "):
+        for before in ("", "\u0130 é "):
+            text = f"{before}{cue}X1234567, thanks"
+            assert [(k, text[a:b]) for k, a, b, base in pii.pii_spans(text, ANCHORS) if not base] == [("account", "X1234567")], text
