@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, jaccard, langid, licenses, packing, pii, quality, secrets, urls, warc
+from quern.llm import decontam, jaccard, langid, licenses, packing, pii, quality, repair, secrets, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,14 @@ def op10_secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.damaged_repairs(_table(spark, sf, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf, "embeddings"))
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_language_id,
@@ -87,4 +95,6 @@ def all_queries() -> dict[str, Query]:
         op8_url_filter,
         op9_warc_derivatives,
         op10_secret_entropy,
+        op12_conversation_repair,
+        op13_embedding_whitening,
     )}
