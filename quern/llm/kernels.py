@@ -2,48 +2,34 @@
 
 A chunk is the UTF-8 of some rows of an Arrow string array, at least one row
 and as many more as fit in ``CHUNK`` bytes. Words are the runs of bytes other
-than ASCII white space; their 64-bit hashes come from prefix sums, so no Python
-loop runs over words. Equal words always have equal hashes; two different words
-have the same one with a chance of about 2 to the power of -64.
+than ASCII white space. Their 64-bit hashes mix eight bytes at a time for all
+words of a chunk; spans of more than ``LONG`` bytes, of which there are few, are
+hashed one by one. Equal words always have equal hashes, two of at most eight
+bytes and one length never do, and any other two have the same one with a
+chance of about 2 to the power of -64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C13)
+LONG = 64
 _rng = np.random.default_rng(20_260_101)
-#: Random odd 64-bit values for the 256 bytes, and for up to 64 words of a shingle.
-BYTES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Random odd 64-bit values for up to 64 words of a shingle.
 WORDS = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: As BYTES, but A-Z have the values of a-z.
-FOLDED = BYTES.copy()
-FOLDED[65:91] = BYTES[97:123]
+#: A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(base)
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, for chunks of ``n`` bytes."""
-    if len(_tables.get("up", ())) < n:
-        n = max(n, CHUNK) + 1
-        _tables["up"] = _powers(int(_BASE), n)
-        _tables["down"] = _powers(pow(int(_BASE), -1, 2**64), n)
-    return _tables["up"], _tables["down"]
+#: The first 0 to 8 bytes of eight, read as a little-endian integer.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,14 +80,27 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        up, self._down = powers(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((FOLDED if folded else BYTES)[data] * up[: len(data)], out=self._sums[1:])
+        self._text = np.zeros(len(data) + 8, np.uint8)
+        self._text[: len(data)] = FOLDED[data] if folded else data
         self.hashes = self.span_hashes(self.starts, self.ends)
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of any byte spans; equal bytes have equal hashes."""
-        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+        length = ends - starts
+        out = mix(length.astype(np.uint64) + WORDS[0])
+        eights = np.lib.stride_tricks.as_strided(self._text, (len(self._text) - 7, 8), (1, 1))
+        for i in np.flatnonzero(length > LONG):
+            span = hashlib.blake2b(self._text[starts[i] : ends[i]], digest_size=8)
+            out[i] = int.from_bytes(span.digest(), "little")
+        at = np.flatnonzero((length > 0) & (length <= LONG))
+        done = 0
+        while len(at):
+            block = eights[starts[at] + done].view("<u8")[:, 0]
+            block = block & _FIRST[np.minimum(length[at] - done, 8)]
+            out[at] = mix(out[at] ^ block)
+            done += 8
+            at = at[length[at] > done]
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
