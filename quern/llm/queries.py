@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, jaccard, langid, licenses, packing, pii, quality, repair, secrets, urls, warc, whitening
+from quern.llm import decontam, jaccard, langid, licenses, mixing, packing, pii, quality, repair, secrets, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,10 @@ def op10_secret_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf, "documents"))
 
 
+def op11_context_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.document_scores(_table(spark, sf, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair.damaged_repairs(_table(spark, sf, "conversations"))
 
@@ -95,6 +99,7 @@ def all_queries() -> dict[str, Query]:
         op8_url_filter,
         op9_warc_derivatives,
         op10_secret_entropy,
+        op11_context_mixing,
         op12_conversation_repair,
         op13_embedding_whitening,
     )}
