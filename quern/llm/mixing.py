@@ -10,7 +10,7 @@ that are gated by the bit's place and the kind of the byte before, and refined
 after every bit by the error made there. Weights start anew every ``SEGMENT``
 bytes of a text, so that a text of any length is scored in many lanes at once and
 its score depends on the text and the counts alone; contexts reach back over that
-border (the word so far is cut only where a text is, every two million bytes).
+border (the word so far is cut only where a text is, every half million bytes).
 
 Counts cover all training texts. They are gathered as one sparse table a task and
 added up by pages, so a task that adds holds its pages only, however many tasks
@@ -36,7 +36,7 @@ BYTES_PER_ROW = 16
 MIN_ROW_BITS, MAX_ROW_BITS = 10, 18
 PAGE_BITS = 10
 SEGMENT = 512
-LANES_BYTES = 1 << 21
+LANES_BYTES = 1 << 19
 END = 255
 PAD = 8
 #: Words whose counts are broadcast, the most frequent ones; the others are joined by a shuffle.
@@ -48,6 +48,10 @@ UNITS = 10
 BLOCK = 1 << 15
 #: Sets of weights: one for each place of a bit in its byte.
 GATES = 8
+#: For each place and byte the node its bit is predicted at (a row serves four places), and -1 for a one, 1 for a zero.
+_BYTE = np.arange(256)
+_NODES = np.stack([(1 << p % 4) | ((_BYTE >> (4 if p < 4 else 0)) & 15) >> (4 - p % 4) for p in range(8)])
+_SIGNS = np.stack([1 - 2 * ((_BYTE >> (7 - p)) & 1) for p in range(8)]).astype(np.float32)
 
 _MULTIPLY = kernels.WORDS[1 : 4 + CONTEXTS]
 _SPACE = np.zeros(256, bool)
@@ -97,17 +101,11 @@ def laid_texts(data: np.ndarray, offsets: np.ndarray) -> Iterator[Laid]:
 def _contexts(b: np.ndarray) -> Iterator[np.ndarray]:
     """For each context its hash (64 bits) before every byte."""
     n = len(b)
-    back = np.zeros((5, n), np.uint64)
+    near = np.zeros(n, np.uint64)
     for k in range(5):
-        back[k, k + 1 :] = b[: n - k - 1]
-        back[k] <<= np.uint64(8 * k)
-    near = back[0] | back[1]
-    yield near
-    near = near | back[2]
-    yield near
-    near = near | back[3]
-    near |= back[4]
-    yield near
+        near[k + 1 :] |= b[: n - k - 1].astype(np.uint64) << np.uint64(8 * k)
+        if k in (1, 2, 4):
+            yield near
     # the word so far: a polynomial from its first byte, which prefix sums give at every place
     at = np.arange(n)
     first = np.maximum.accumulate(np.where(_SPACE[b], at + 1, 0))
@@ -187,35 +185,28 @@ def score(tables: np.ndarray, laid: Laid) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     text, begin, size = text[order], begin[order], size[order]
     total = np.zeros(len(size))
-    signs = np.array([1, -1], np.float32)
     weights = np.full((GATES, CONTEXTS, len(size)), WEIGHT / UNITS, np.float32)
     active = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")
     for t in range(int(size[0]) if len(size) else 0):
         n = int(active[t])
         at = begin[:n] + t
-        now = laid.bytes[at].astype(np.int64)
+        now = laid.bytes[at]
         rate = np.float32(max(LEAST_RATE, RATE / (1 + t / SLOWER)) / UNITS**2)
-        chance = np.ones(n)
-        for half in (0, 1):
-            leaf = rows[half].take(at, axis=0).T.astype(np.int64, order="C")
-            node = np.ones(n, np.int64)
-            for place in range(4 * half, 4 * half + 4):
-                one = (now >> (7 - place)) & 1
-                sign = signs[one]
-                x = np.take(flat, leaf + node, mode="clip").astype(np.float32)
-                w = weights[place, :, :n]
-                against = np.einsum("kn,kn->n", w, x)
-                against *= sign
-                np.minimum(against, 20, out=against)
-                np.exp(against, out=against)
-                against += 1
-                chance /= against
-                # the error is 1 minus the chance given to the bit that came
-                x *= (sign - sign / against) * rate
-                w -= x
-                node += node
-                node += one
-        total[:n] += np.log10(chance)
+        # every place has weights of its own, so the eight bits of a byte are mixed at once
+        leaf = rows.take(at, axis=1).transpose(0, 2, 1).astype(np.int64, order="C")[:, None]
+        node = _NODES.take(now, axis=1).reshape(2, 4, 1, n)
+        x = flat.take(leaf + node, mode="clip").astype(np.float32).reshape(GATES, CONTEXTS, n)
+        sign = _SIGNS.take(now, axis=1)
+        w = weights[:, :, :n]
+        against = np.einsum("pkn,pkn->pn", w, x)
+        against *= sign
+        np.minimum(against, 20, out=against)
+        np.exp(against, out=against)
+        against += 1
+        # the error of a place is 1 minus the chance given to the bit that came
+        x *= ((sign - sign / against) * rate)[:, None]
+        w -= x
+        total[:n] -= np.log10(np.multiply.reduce(against, axis=0, dtype=np.float64))
     return np.bincount(text, total, minlength=len(length)).astype(np.float64)
 
 
