@@ -8,6 +8,7 @@ before one is collected or broadcast.
 from __future__ import annotations
 
 import heapq
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -27,6 +28,13 @@ MAX_VOCAB = MAX_TOKEN_ID + 1
 CANDIDATES = 256
 PENDING = 48
 
+#: What a replay may hold on the driver (some 400 MB): words, and symbols in them. Pairs that are looked at for one, at
+#: most and at least.
+REPLAY_WORDS = 1 << 19
+REPLAY_SYMBOLS = 1 << 22
+REPLAY_PAIRS = 1 << 15
+LEAST_PAIRS = 64
+
 
 def word_counts(texts: DataFrame, text: str = "text", lowercase: bool = False, min_freq: int = 1) -> DataFrame:
     """``word, n`` over all texts, words below ``min_freq`` left out."""
@@ -71,17 +79,21 @@ def _runs(state: DataFrame, length: int) -> DataFrame:
     parts = state.select(F.split(F.trim("symbols"), "  ").alias("parts"), "n").where(F.size("parts") >= length)
     many = F.size("parts") - (length - 1)
     shifted = [F.slice("parts", i + 1, many).alias(f"s{i}") for i in range(length)]
-    return parts.select(F.explode(F.arrays_zip(*shifted)).alias("run"), "n").select("run.*", "n")
+    runs = parts.select(F.explode(F.arrays_zip(*shifted)).alias("run"), "n", F.size("parts").alias("length"))
+    return runs.select("run.*", "n", "length")
 
 
 def pair_counts(counts: DataFrame, prefix: str = CONTINUATION) -> DataFrame:
     """``l, r, n``: neighbouring symbols, weighted by the counts of the words."""
-    return _count_pairs(counts.select(_symbols(F.col("word"), prefix).alias("symbols"), "n"))
+    return _count_pairs(counts.select(_symbols(F.col("word"), prefix).alias("symbols"), "n")).select("l", "r", "n")
 
 
 def _count_pairs(state: DataFrame) -> DataFrame:
+    """``l, r, n``, and the places in distinct words and the symbols of these words that a pair brings along."""
     runs = _runs(state, 2)
-    return runs.groupBy(F.col("s0").alias("l"), F.col("s1").alias("r")).agg(F.sum("n").alias("n"))
+    return runs.groupBy(F.col("s0").alias("l"), F.col("s1").alias("r")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("words"), F.sum("length").alias("symbols")
+    )
 
 
 @dataclass(frozen=True)
@@ -193,6 +205,129 @@ def _next_merges(
     return taken
 
 
+def _places(parts: list[str], left: str, right: str) -> list[int]:
+    """Where the pair is merged, from left to right; merges of one letter don't overlap."""
+    out, i, end = [], 0, len(parts) - 1
+    while i < end:
+        if parts[i] == left and parts[i + 1] == right:
+            out.append(i)
+            i += 1
+        i += 1
+    return out
+
+
+def _replay(
+    words: list[tuple[list[str], int]],
+    counts: dict[tuple[str, str], int],
+    first_other: tuple[int, str, str] | None,
+    known: set[str],
+    room: int,
+    min_freq: int,
+    prefix: str,
+    complete: bool,
+) -> tuple[list[Merge], dict[int, list[str]]]:
+    """Merges one at a time, by an index from each pair to the words that hold it, kept in step by what each merge changes.
+
+    ``counts`` are the most frequent pairs of the whole table, ``words`` all
+    words that hold one of them; ``first_other`` is the next pair in the order of
+    merges, as ``(-n, left, right)``. Whatever a merge changes lies in these
+    words, so counts of the listed pairs and of pairs with a new token stay
+    exact, others only fall, and the next merge is certain as long as it comes
+    before ``first_other``. A token that was there before may
+    stand in other words, too: the replay ends after such a merge, unless the
+    words are all there are (``complete``). Returns the merges and the words
+    that changed, by place.
+    """
+    counts, known, made = dict(counts), set(known), set()
+    holders: dict[tuple[str, str], set[int]] = {pair: set() for pair in counts}
+    words = list(words)
+    for i, (parts, _) in enumerate(words):
+        for pair in zip(parts, parts[1:]):
+            if pair in holders:
+                holders[pair].add(i)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    taken: list[Merge] = []
+    changed: set[int] = set()
+    while heap and room > 0:
+        n, pair = -heap[0][0], heap[0][1:]
+        now = counts.get(pair, 0)
+        if now != n:
+            heapq.heappop(heap)
+            if 0 < now < n:
+                heapq.heappush(heap, (-now, *pair))
+            continue
+        if n < min_freq or (first_other and heap[0] > first_other):
+            break
+        heapq.heappop(heap)
+        merge = _merge_of(*pair, prefix)
+        taken.append(merge)
+        old_token = merge.token in known and merge.token not in made
+        if merge.token not in known:
+            known.add(merge.token)
+            made.add(merge.token)
+            room -= 1
+        shift: dict[tuple[str, str], int] = {}
+        left, right = pair
+        token = merge.token
+        for i in holders.pop(pair):
+            before, times = words[i]
+            places = _places(before, left, right)
+            if not places:
+                continue
+            changed.add(i)
+            if len(places) == 1:  # only the pairs on its two sides change
+                at = places[0]
+                after = [*before[:at], token, *before[at + 2 :]]
+                lost, gained = [], []
+                if at:
+                    lost.append((before[at - 1], left))
+                    gained.append((before[at - 1], token))
+                if at + 2 < len(before):
+                    lost.append((right, before[at + 2]))
+                    gained.append((token, before[at + 2]))
+            else:
+                after, done = [], 0
+                for at in places:
+                    after += [*before[done:at], token]
+                    done = at + 2
+                after += before[done:]
+                lost, gained = list(zip(before, before[1:])), list(zip(after, after[1:]))
+            words[i] = after, times
+            for p in lost:
+                if p in counts:
+                    shift[p] = shift.get(p, 0) - times
+            for p in gained:
+                if p in counts or complete or p[0] in made or p[1] in made:
+                    shift[p] = shift.get(p, 0) + times
+                    if p in holders:
+                        holders[p].add(i)
+                    else:
+                        holders[p] = {i}
+        counts.pop(pair)
+        shift.pop(pair, None)
+        for p, by in shift.items():
+            counts[p] = counts.get(p, 0) + by
+            if by > 0:
+                heapq.heappush(heap, (-counts[p], *p))
+        if old_token and not complete:
+            break
+    return taken, {i: words[i][0] for i in changed}
+
+
+def _parts(symbols: str) -> list[str]:
+    return [sys.intern(p) for p in symbols[1:-1].split("  ")]
+
+
+def _fetched(words: DataFrame) -> list[tuple[list[str], int]]:
+    table = words.select("symbols", "n").toArrow()
+    return [(_parts(s), n) for s, n in zip(table.column(0).to_pylist(), table.column(1).to_pylist())]
+
+
+def _spaced(parts: list[str]) -> str:
+    return "".join(f" {p} " for p in parts)
+
+
 def learn_merges(
     state: DataFrame,
     known: set[str],
@@ -205,42 +340,98 @@ def learn_merges(
     """Greedy merges of the most frequent pair, ties by ``(left, right)``.
 
     ``state`` holds ``symbols, n`` per distinct word, ``known`` the tokens at
-    the start. Each round is two jobs over the word table and takes as many
-    merges as are certain to be the ones a merge-at-a-time loop would take.
-    Merges not yet written into the word table are applied while it is read;
-    every ``pending`` merges it is written anew, so the plan never grows.
-    Only the candidate pairs and the merges reach the driver, both bounded.
+    the start. The merges are those of a loop that makes one at a time, found in
+    two ways:
+
+    * While even the most frequent pairs stand in more words than a driver
+      should hold, a round is two jobs over the word table, which take as many
+      merges as are certain from counts of pairs and triples. Merges not yet
+      written into the word table are applied while it is read; every
+      ``pending`` merges it is written anew, so the plan never grows.
+    * Else as many of the most frequent pairs are taken as stand in at most
+      ``REPLAY_WORDS`` words, these words are fetched, and the loop runs on them
+      until the other pairs come into play, often for thousands of merges. The
+      words that changed are written back by a broadcast join.
+
+    So the driver holds at most ``REPLAY_WORDS`` words of ``REPLAY_SYMBOLS``
+    symbols and ``REPLAY_PAIRS`` counts, however large the table is.
     """
-    state = state.where(F.size(F.split(F.trim("symbols"), "  ")) > 1)
+    size = F.size(F.split(F.trim("symbols"), "  "))
+    state = state.where(size > 1)
     slots = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = stage(state.repartition(slots), "words")
     known = set(known)
     merges: list[Merge] = []
     unwritten: list[Merge] = []
+    fresh = True
+    least = max(min_freq, 1)
+
+    def rewrite(current: DataFrame) -> None:
+        nonlocal base, unwritten, fresh
+        written = stage(current.where(size > 1), "words")
+        unstage(base)
+        base, unwritten, fresh = written, [], True
+
+    def take(found: list[Merge]) -> None:
+        known.update(m.token for m in found)
+        merges.extend(found)
+
     while len(known) < limit:
+        room = limit - len(known)
+        if fresh:
+            fresh = False
+            rows, symbols = base.agg(F.count("*"), F.sum(size)).first()
+            if rows <= REPLAY_WORDS and (symbols or 0) <= REPLAY_SYMBOLS:
+                words = _fetched(base)
+                counts: dict[tuple[str, str], int] = {}
+                for parts, n in words:
+                    for pair in zip(parts, parts[1:]):
+                        counts[pair] = counts.get(pair, 0) + n
+                take(_replay(words, counts, None, known, room, least, prefix, True)[0])
+                break
         current = base.select(_apply(F.col("symbols"), unwritten).alias("symbols"), "n")
         if len(unwritten) >= pending:
-            written = stage(current.where(F.size(F.split(F.trim("symbols"), "  ")) > 1), "words")
-            unstage(base)
-            base = current = written
-            unwritten = []
-        ranked = [
-            (r["l"], r["r"], r["n"])
-            for r in _count_pairs(current)
-            .where(F.col("n") >= max(min_freq, 1))
-            .orderBy(F.desc("n"), "l", "r")
-            .limit(candidates)
-            .collect()
-        ]
+            rewrite(current)
+            continue
+        most = max(REPLAY_PAIRS, candidates)
+        ranked = _count_pairs(current).where(F.col("n") >= least).orderBy(F.desc("n"), "l", "r").limit(most).collect()
         if not ranked:
             break
+        chosen, in_words, in_symbols = 0, 0, 0
+        for r in ranked[: most - 1]:
+            in_words, in_symbols = in_words + r["words"], in_symbols + r["symbols"]
+            if in_words > REPLAY_WORDS or in_symbols > REPLAY_SYMBOLS:
+                break
+            chosen += 1
+        if chosen >= min(LEAST_PAIRS, len(ranked)):
+            listed = {(r["l"], r["r"]): r["n"] for r in ranked[:chosen]}
+            other = next(((-r["n"], r["l"], r["r"]) for r in ranked[chosen:]), None)
+            keys = state.sparkSession.createDataFrame([(f"{left}  {right}",) for left, right in listed], "pair string")
+            pairs = F.transform(
+                F.sequence(F.lit(1), size - 1),
+                lambda i: F.concat_ws("  ", F.element_at("p", i), F.element_at("p", i + 1)),
+            )
+            held = current.withColumn("p", F.split(F.trim("symbols"), "  ")).where(F.size("p") > 1)
+            held = held.select("symbols", "n", F.explode(F.array_distinct(pairs)).alias("pair"))
+            held = held.join(F.broadcast(keys), "pair", "left_semi").select("symbols", "n").distinct()
+            words = _fetched(held)
+            found, changed = _replay(words, listed, other, known, room, least, prefix, False)
+            take(found)
+            if len(known) >= limit:
+                break
+            rows_ = [(_spaced(words[i][0]), _spaced(parts)) for i, parts in changed.items()]
+            news = state.sparkSession.createDataFrame(rows_, "symbols string, becomes string")
+            rewrite(
+                current.join(F.broadcast(news), "symbols", "left").select(
+                    F.coalesce("becomes", "symbols").alias("symbols"), "n"
+                )
+            )
+            continue
+        ranked = [(r["l"], r["r"], r["n"]) for r in ranked[:candidates]]
         neighbours = _neighbours(current, [f"{left}  {right}" for left, right, _ in ranked])
-        taken = _next_merges(
-            ranked, neighbours, set(known), limit - len(known), prefix, len(ranked) < candidates
-        )
-        known.update(m.token for m in taken)
-        merges += taken
-        unwritten += taken
+        found = _next_merges(ranked, neighbours, set(known), room, prefix, len(ranked) < candidates)
+        take(found)
+        unwritten += found
     unstage(base)
     return merges
 

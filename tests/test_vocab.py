@@ -70,6 +70,54 @@ def test_batched_merges_equal_one_at_a_time(spark, counts):
     assert [(m.left, m.right, m.token) for m in got] == greedy(words, 170, 2)
 
 
+@pytest.mark.parametrize("words, pairs, least", [(400, 1 << 15, 1), (250, 40, 4), (120, 1 << 15, 8), (1, 1, 2)])
+def test_merges_from_parts_of_the_words(spark, counts, monkeypatch, words, pairs, least):
+    """Replays over some of the words, alone or in turn with rounds over all of them, make the same merges."""
+    monkeypatch.setattr(vocab, "REPLAY_WORDS", words)
+    monkeypatch.setattr(vocab, "REPLAY_PAIRS", pairs)
+    monkeypatch.setattr(vocab, "LEAST_PAIRS", least)
+    table = {r["word"]: r["n"] for r in counts.collect()}
+    state = counts.select(vocab._symbols(F.col("word"), "##").alias("symbols"), "n")
+    known = {"<unk>", "<|endoftext|>"} | {r["token"] for r in vocab.alphabet(counts).collect()}
+    limit = len(known) + (150 if words > 1 else 40)
+    got = vocab.learn_merges(state, known, limit, 2, "##", pending=10)
+    assert [(m.left, m.right, m.token) for m in got] == greedy(table, limit, 2)
+
+
+@pytest.mark.parametrize("listed", [1, 3, 10, 1000])
+def test_replay_on_random_words(listed):
+    """The replay alone: any number of listed pairs, repeats of one letter, tokens made in two ways."""
+    for seed in range(80):
+        rnd = random.Random(seed)
+        letters = "abc#"[:rnd.randint(1, 4)]
+        words = {
+            "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))): rnd.randint(1, 12)
+            for _ in range(rnd.randint(1, 25))
+        }
+        known = {"<unk>", "<|endoftext|>"} | {c for w in words for c in w} | {"##" + c for w in words for c in w[1:]}
+        state = {w: [c if i == 0 else "##" + c for i, c in enumerate(w)] for w in words}
+        limit, merges = len(known) + 40, []
+        while len(known) < limit:
+            pairs = Counter()
+            for w, n in words.items():
+                for pair in zip(state[w], state[w][1:]):
+                    pairs[pair] += n
+            ranked = sorted(pairs.items(), key=lambda x: (-x[1], *x[0]))
+            ranked = [x for x in ranked if x[1] >= 2]
+            if not ranked:
+                break
+            some = dict(ranked[:listed])
+            other = next(((-n, *p) for p, n in ranked[listed:]), None)
+            names = [w for w in words if any(p in some for p in zip(state[w], state[w][1:]))]
+            got, changed = vocab._replay([(state[w], words[w]) for w in names], some, other, known, limit - len(known), 2, "##", False)
+            assert got
+            known |= {m.token for m in got}
+            merges += [(m.left, m.right, m.token) for m in got]
+            for i, parts in changed.items():
+                state[names[i]] = parts
+        assert merges == greedy(words, limit, 2)
+
+
 def test_merges_with_repeats_and_colliding_tokens(spark):
     words = {"aaaa": 5, "aaa": 4, "abab": 7, "abc": 6, "bcbc": 6, "###": 9, "####": 3, "xaab": 2, "b": 8}
     state = spark.createDataFrame(list(words.items()), "word string, n long").select(
