@@ -127,28 +127,46 @@ def encode_wordpiece(
     return _encode(texts, words, _ids_udf(make_encoder), end_id, text, keep_text)
 
 
+def _unions(ids: dict[bytes, int], merges: DataFrame | None) -> dict[tuple[int, int], tuple[int, int]]:
+    """Rank and id of the token that two neighbours become; without ``merges`` the rank is the id of their union."""
+    if merges is not None:
+        small_enough(merges, MAX_VOCAB, "merges")
+        rows = merges.select("left_id", "right_id", "rank", "id").toArrow()
+        left, right, rank, union = (c.to_pylist() for c in rows.columns)
+        return {(a, b): (r, u) for a, b, r, u in zip(left, right, rank, union)}
+    return {
+        (ids[token[:cut]], ids[token[cut:]]): (i, i)
+        for token, i in ids.items()
+        for cut in range(1, len(token))
+        if token[:cut] in ids and token[cut:] in ids
+    }
+
+
 def encode_bytes(
-    texts: DataFrame, vocab: DataFrame, text: str = "text", add_end: bool = True, keep_text: bool = False
+    texts: DataFrame,
+    vocab: DataFrame,
+    text: str = "text",
+    add_end: bool = True,
+    keep_text: bool = False,
+    merges: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``tokens, n_tokens`` with a byte-level vocabulary.
 
-    Within each piece of text the neighbours whose union has the lowest id are
-    joined until no union is a token. Special tokens in the text are plain text.
+    Within each piece of text the neighbours of the lowest rank in ``merges``
+    are joined until none is listed; without that table any two whose union is
+    a token, the lowest id first. Special tokens in the text are plain text.
     A heap over linked neighbours makes this ``n log n`` in the bytes of a
     piece, whose length has no limit.
     """
     require_columns(texts, text)
+    special = {r["token"] for r in vocab.where("is_special").select("token").collect()}
     ids = vocab_ids(vocab)
     end_id = ids.get(END_OF_TEXT) if add_end else None
-    by_bytes = {bytes.fromhex(t): i for t, i in ids.items() if t != END_OF_TEXT}
-    unions = {
-        (by_bytes[token[:cut]], by_bytes[token[cut:]]): i
-        for token, i in by_bytes.items()
-        for cut in range(1, len(token))
-        if token[:cut] in by_bytes and token[cut:] in by_bytes
-    }
+    by_bytes = {bytes.fromhex(t): i for t, i in ids.items() if t not in special}
+    unions = _unions(by_bytes, merges)
     single = [by_bytes[bytes([b])] for b in range(256)]
     shared = texts.sparkSession.sparkContext.broadcast((single, unions))
+
     def make_encoder():
         single, unions = shared.value
 
@@ -156,15 +174,15 @@ def encode_bytes(
             parts = [single[b] for b in piece.encode("utf-8")]
             n = len(parts)
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            # unions to make, lowest id and leftmost first; one is void once a side has changed
+            # unions to make, lowest rank and leftmost first; one is void once a side has changed
             todo = [
-                (union, i, left, right)
+                (found[0], i, left, right, found[1])
                 for i, (left, right) in enumerate(zip(parts, parts[1:]))
-                if (union := unions.get((left, right))) is not None
+                if (found := unions.get((left, right))) is not None
             ]
             heapq.heapify(todo)
             while todo:
-                union, i, left, right = heapq.heappop(todo)
+                _, i, left, right, union = heapq.heappop(todo)
                 j = after[i]
                 if parts[i] != left or j >= n or parts[j] != right:
                     continue
@@ -174,7 +192,7 @@ def encode_bytes(
                     before[after[i]] = i
                 for a, b in ((before[i], i), (i, after[i])):
                     if a >= 0 and b < n and (more := unions.get((parts[a], parts[b]))) is not None:
-                        heapq.heappush(todo, (more, a, parts[a], parts[b]))
+                        heapq.heappush(todo, (more[0], a, parts[a], parts[b], more[1]))
             return [p for p in parts if p is not None]
 
         return encode

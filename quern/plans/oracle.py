@@ -17,6 +17,8 @@ from quern.plans.queries import (
     MIN_FREQ,
     PADDING,
     PIECE_VOCAB,
+    PUBLISHED_MANY,
+    PUBLISHED_RANKS,
     RANKS,
     SEED,
     SEQ,
@@ -24,6 +26,7 @@ from quern.plans.queries import (
     TRAIN_STEPS,
     VOCAB_SIZE,
     WORLD,
+    published_path,
 )
 
 SPACES = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -204,6 +207,32 @@ byte_tokens AS (
   UNION ALL SELECT CAST(256 + (SELECT count(*) FROM merges) AS INTEGER), '<|endoftext|>', true)"""
 
 
+def _published(path: str, end_id: int) -> str:
+    """Ids of all documents: in each distinct piece the union of the lowest rank is made, a union a step."""
+    return f"""WITH RECURSIVE ranks AS (
+  SELECT lower(hex(from_base64(b64))) AS token, id
+  FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'b64': 'VARCHAR', 'id': 'INTEGER'}})),
+lists AS ({_byte_pieces('documents', 'doc_id')}),
+occurrences AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM lists),
+steps AS (
+  SELECT DISTINCT word, 0 AS it, string_split(trim({HEX_SYMBOLS}), '  ') AS parts FROM occurrences
+  UNION ALL
+  SELECT word, it + 1, parts[:i - 1] || [parts[i] || parts[i + 1]] || parts[i + 2:] FROM (
+    SELECT word, it, any_value(parts) AS parts, arg_min(i, CAST(ranks.id AS BIGINT) * 100000000 + i) AS i FROM (
+      SELECT word, it, parts, unnest(range(1, len(parts))) AS i FROM steps WHERE len(parts) > 1)
+    JOIN ranks ON ranks.token = parts[i] || parts[i + 1] GROUP BY word, it)),
+ends AS (SELECT word, arg_max(parts, it) AS parts FROM steps GROUP BY word),
+found AS (
+  SELECT word, list(id ORDER BY j) AS ids FROM (
+    SELECT word, unnest(parts) AS token, generate_subscripts(parts, 1) AS j FROM ends)
+  JOIN ranks USING (token) GROUP BY word),
+flat AS (
+  SELECT doc_id, pos, unnest(ids) AS id, generate_subscripts(ids, 1) AS j FROM occurrences JOIN found USING (word)
+  UNION ALL SELECT doc_id, 1000000000, {end_id}, 1 FROM documents)
+SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos, j) AS tokens, CAST(count(*) AS INTEGER) AS n_tokens
+FROM flat GROUP BY doc_id"""
+
+
 def _piece_encoding(source: str, key: str, list_pattern: str) -> str:
     """Longest match first over the distinct words of ``source``, as ``ids`` per word."""
     return f"""word_lists AS (SELECT {key}, regexp_extract_all(text, '{list_pattern}') AS ws FROM {source}),
@@ -326,6 +355,10 @@ def all_sql() -> dict[str, str]:
     q["encode_bpe"] = f"""{bytes_encoded}
       SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos, j) AS tokens,
         CAST(count(*) AS INTEGER) AS n_tokens FROM flat GROUP BY doc_id"""
+    # the file of ranks holds the vocabulary that the query reads, with its merges, from the other file
+    if (path := published_path(PUBLISHED_RANKS)) is not None:
+        q["encode_published"] = _published(path, 50256)
+        q["encode_ranks"] = _published(published_path(PUBLISHED_MANY), 50256)
     q["keep_text"] = f"SELECT doc_id, clean.text, n_tokens FROM ({q['encode_wordpiece']}) JOIN (WITH {CLEAN} SELECT * FROM clean) clean USING (doc_id)"
     q["decode_ids"] = f"""WITH {ENCODED}
       SELECT doc_id, replace(coalesce(string_agg(token, ' ' ORDER BY pos), ''), ' ##', '') AS text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,7 +14,7 @@ from quern.operators import encode, metrics, pack, ranking, select, sequences, v
 from quern.operators.prefix import with_position
 from quern.plans import corpus
 from quern.session import new_path, stage
-from quern.sources import tables
+from quern.sources import tables, vocabularies
 from quern.streaming import corpus as stream_corpus, metrics as stream_metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +90,32 @@ def _piece_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "piece_vocab", build)
 
 
+# Files of the package of public vocabularies.
+PUBLISHED_TOKENIZER = "byte_bpe_50k.json"
+PUBLISHED_RANKS = "byte_bpe_50k.tiktoken"
+PUBLISHED_MANY = "byte_bpe_multi_50k.tiktoken"
+
+
+def published_path(name: str) -> str | None:
+    """Where the installed package of public vocabularies has a file; None if there is no such package."""
+    if importlib.util.find_spec("public_tokenizers") is None:
+        return None
+    return importlib.import_module("public_tokenizers").path(name) if name else ""
+
+
+def encode_published(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with a published vocabulary, neighbours merged by the ranks of its file."""
+    vocab_, merges = vocabularies.read_tokenizer(spark, published_path(PUBLISHED_TOKENIZER))
+    found = encode.encode_bytes(_docs(spark, sf), vocab_, merges=merges)
+    return found.select("doc_id", _joined("tokens"), "n_tokens")
+
+
+def encode_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with a published vocabulary for many languages that lists tokens and ranks only."""
+    vocab_ = vocabularies.read_ranks(spark, published_path(PUBLISHED_MANY), {vocab.END_OF_TEXT: 50256})
+    return encode.encode_bytes(_docs(spark, sf), vocab_).select("doc_id", _joined("tokens"), "n_tokens")
+
+
 def _byte_vocab(spark: SparkSession, sf: str) -> DataFrame:
     build = lambda: stage(
         vocab.train_byte_vocab(_docs(spark, sf), BYTE_VOCAB, MIN_FREQ), "vocab"
@@ -391,6 +419,9 @@ def all_queries() -> dict[str, Query]:
     q["encode_bpe"] = lambda s, sf: encode.encode_bytes(_docs(s, sf), _byte_vocab(s, sf)).select(
         "doc_id", _joined("tokens"), "n_tokens"
     )
+    if published_path("") is not None:
+        q["encode_published"] = encode_published
+        q["encode_ranks"] = encode_ranks
     q["keep_text"] = lambda s, sf: encode.encode_wordpiece(_cleaned(s, sf), _piece_vocab(s, sf), keep_text=True).select(
         "doc_id", "text", "n_tokens"
     )

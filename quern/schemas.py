@@ -1,4 +1,4 @@
-"""Schema of the vocabulary tables passed between the operators."""
+"""Schemas of the vocabulary tables passed between the operators."""
 
 from __future__ import annotations
 
@@ -12,3 +12,6 @@ VOCAB = StructType(
         StructField("is_continuation", BooleanType(), False),
     ]
 )
+
+#: Neighbours that become a token, in the order of their ranks.
+MERGES = StructType([StructField(c, IntegerType(), False) for c in ("rank", "left_id", "right_id", "id")])
