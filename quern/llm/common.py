@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from quern.checks import require_columns
 from quern.llm import kernels
@@ -56,16 +56,17 @@ def add_struct(docs: DataFrame, text: str, name: str, fields: str, make: Callabl
     """
     keep = list(docs.columns) if keep is None else keep
     struct = StructType.fromDDL(fields)
-    schema = StructType([docs.schema[c] for c in keep] + [StructField(name, struct)])
-    # the text goes first, under a name of its own
-    source = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias(fresh(docs, "text_")), *keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(struct)
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
-        for batch in batches:
-            for lo, hi, _, _ in kernels.chunks(batch.column(0)):
-                part = batch.slice(lo, hi - lo)
-                made = pa.StructArray.from_arrays(work(part.column(0)), names=struct.fieldNames())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], made], names=[*keep, name])
-
-    return small_batches(source).mapInArrow(run, schema)
+        for texts in batches:
+            parts = [
+                pa.StructArray.from_arrays(work(texts.slice(lo, hi - lo)), names=struct.fieldNames())
+                for lo, hi, _, _ in kernels.chunks(texts)
+            ]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([]))
+
+    # only the text travels, once; the other columns stay where they are
+    source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return small_batches(docs).select(*[F.col(f"`{c}`") for c in keep], made(source).alias(name))

@@ -45,6 +45,7 @@ _ENTRY = 130  # bytes of an entry besides its word and ids
 
 # The tokenizer's own pre-tokenisation, for words of ASCII and Latin letters up to U+017F.
 _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+_BEHIND = ".,;:!?"
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 _RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -85,6 +86,18 @@ class WordEncoder:
 
     def _encode_word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        # most words are letters, with a mark behind them or without: one piece, shared by all its spellings of case
+        stem = text[:-1] if text[-1] in _BEHIND else text
+        if stem.isalpha() and _PLAIN.fullmatch(stem):
+            if stem is not text:
+                return self._look_up(stem.encode()) + self._look_up(word[-1:])
+            piece = stem.lower()
+            if piece != text:
+                return self._look_up(piece.encode())
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.library.model.tokenize(piece)]
+            return struct.pack(f"<{len(ids)}I", *ids)
         if not _PLAIN.fullmatch(text) or any(m in text for m in self.marks):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids = []
