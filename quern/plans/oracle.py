@@ -377,7 +377,7 @@ def all_sql() -> dict[str, str]:
     q["pack_shards"] = f"""WITH {PLACED}
       SELECT shard_id, p // {BLOCK} AS block_id, min(p) AS pos, CAST(count(*) AS INTEGER) AS n_tokens,
         {IDS.format('id', 'p')} AS ids FROM kept GROUP BY 1, 2"""
-    q["shard_sink"] = q["pack_shards"]
+    q["shard_sink"] = q["array_shard_sink"] = q["pack_shards"]
     q["shard_stats"] = f"""WITH {PLACED}
       SELECT shard_id, count(*) AS n_tokens, count(DISTINCT p // {BLOCK}) AS n_blocks FROM kept GROUP BY shard_id"""
     q["expected_shards"] = f"""WITH {ENCODED}
@@ -387,7 +387,7 @@ def all_sql() -> dict[str, str]:
         FROM tokens JOIN ({frac}) USING (doc_id))
       SELECT split, g // {BLOCK} AS block_id, min(g) AS pos, CAST(count(*) AS INTEGER) AS n_tokens,
         {IDS.format('id', 'g')} AS ids FROM placed GROUP BY 1, 2"""
-    q["flat_sink"] = q["flat_stream"]
+    q["flat_sink"] = q["flat_file_sink"] = q["flat_stream"]
     q["line_stream"] = f"""WITH RECURSIVE {PIECE_TRAINING}, {PLAIN},
       lines AS (
         SELECT doc_id * 1000000 + line_no AS k, {_clean('line')} AS text

@@ -14,7 +14,7 @@ from quern.operators import encode, metrics, pack, ranking, select, sequences, v
 from quern.operators.prefix import with_position
 from quern.plans import corpus
 from quern.session import new_path, stage
-from quern.sources import tables, vocabularies
+from quern.sources import arrays, tables, vocabularies
 from quern.streaming import corpus as stream_corpus, metrics as stream_metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,6 +230,21 @@ def flat_sink(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_shards(spark, out).select("split", "block_id", "pos", "n_tokens", _joined("ids"))
 
 
+def array_shard_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards written as numbered array files, and all of them read again, in two ranges."""
+    out = new_path(spark, "arrays")
+    arrays.write_array_shards(_shards(spark, sf), out)
+    both = [arrays.read_array_shards(spark, out, BLOCK, last=1), arrays.read_array_shards(spark, out, BLOCK, first=2)]
+    return tables.union_sources(*both).select("shard_id", "block_id", "pos", "n_tokens", _joined("ids"))
+
+
+def flat_file_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """One file of ids a split, written in parts, put together and read again by ranges of bytes."""
+    out = new_path(spark, "files")
+    arrays.write_flat_files(pack.flat_stream(select.split(_encoded(spark, sf), 0.1), BLOCK, partition_by=["split"]), out)
+    return arrays.read_flat_files(spark, out, BLOCK, 64).select("split", "block_id", "pos", "n_tokens", _joined("ids"))
+
+
 def rank_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Batches written with a folder per rank, and each rank's read again."""
     out = new_path(spark, "ranks")
@@ -441,6 +456,8 @@ def all_queries() -> dict[str, Query]:
     )
     q["shard_sink"] = shard_sink
     q["flat_sink"] = flat_sink
+    q["array_shard_sink"] = array_shard_sink
+    q["flat_file_sink"] = flat_file_sink
     q["shard_stats"] = flagship
     q["expected_shards"] = lambda s, sf: pack.expected_shards(_encoded(s, sf), SHARD)
     q["flat_stream"] = lambda s, sf: pack.flat_stream(
