@@ -76,6 +76,73 @@ def _encode(texts: DataFrame, words: Column, udf, end_id: int | None, text: str,
     return encoded if keep_text else encoded.drop(text)
 
 
+class PieceTrie:
+    """Longest match first in time linear in the word.
+
+    Two tries share their nodes: one of the tokens as they are, for the start of
+    a word, and one of the continuations without their mark. Where no longer
+    match is possible, a node says which pieces are certain by then (``pops``)
+    and where the rest of what was read lies in the second trie (``fails``; -1 if
+    the word can't be covered), so no character is read again.
+    """
+
+    START, CONTINUED = 0, 1
+
+    def __init__(self, ids: dict[str, int], prefix: str = CONTINUATION):
+        self.steps: dict[tuple[int, str], int] = {}
+        ends: dict[int, int] = {}
+        order: list[tuple[int, int, str]] = []
+        words = [(self.START, t, i) for t, i in ids.items() if t]
+        words += [(self.CONTINUED, t[len(prefix):], i) for t, i in ids.items() if t.startswith(prefix) and len(t) > len(prefix)]
+        size = 2
+        levels = [(root, token, i, root) for root, token, i in words]
+        depth = 0
+        while levels:  # all prefixes of one length, then the next: a node comes after those its link may lead to
+            deeper = []
+            for root, token, i, node in levels:
+                step = (node, token[depth])
+                child = self.steps.get(step)
+                if child is None:
+                    child = self.steps[step] = size
+                    order.append((child, *step))
+                    size += 1
+                if len(token) == depth + 1:
+                    ends[child] = i
+                else:
+                    deeper.append((root, token, i, child))
+            levels, depth = deeper, depth + 1
+        self.fails = [-1] * size
+        self.pops: list[tuple[int, ...]] = [()] * size
+        for node, parent, char in order:
+            if node in ends:
+                self.fails[node], self.pops[node] = self.CONTINUED, (ends[node],)
+                continue
+            at, found = self.fails[parent], list(self.pops[parent])
+            while at >= 0 and (at, char) not in self.steps:
+                found += self.pops[at]
+                at = self.fails[at]
+            if at >= 0:
+                self.fails[node], self.pops[node] = self.steps[at, char], tuple(found)
+
+    def encode(self, word: str) -> list[int] | None:
+        """Ids of the pieces, None if they don't cover the word."""
+        steps, fails, pops = self.steps, self.fails, self.pops
+        node, found = self.START, []
+        for char in word:
+            while (after := steps.get((node, char))) is None:
+                found += pops[node]
+                node = fails[node]
+                if node < 0:
+                    return None
+            node = after
+        while node > self.CONTINUED:
+            found += pops[node]
+            node = fails[node]
+            if node < 0:
+                return None
+        return found
+
+
 def encode_wordpiece(
     texts: DataFrame,
     vocab: DataFrame,
@@ -88,35 +155,22 @@ def encode_wordpiece(
 
     A word that cannot be covered, or is longer than 100 characters, becomes
     one unknown token. The rows stay where they are; the vocabulary (size
-    checked) is broadcast.
+    checked) is broadcast as a trie that reads each character once.
     """
     require_columns(texts, text)
     ids = vocab_ids(vocab)
-    shared = texts.sparkSession.sparkContext.broadcast(ids)
-    prefix, unknown, longest = CONTINUATION, ids[UNKNOWN], MAX_WORD_CHARS
-    special = {t for t in (UNKNOWN, END_OF_TEXT, NEWLINE) if t in ids}
+    shared = texts.sparkSession.sparkContext.broadcast(PieceTrie(ids))
+    unknown, longest = ids[UNKNOWN], MAX_WORD_CHARS
+    special = {t: ids[t] for t in (UNKNOWN, END_OF_TEXT, NEWLINE) if t in ids}
 
     def make_encoder():
-        known = shared.value
-        width = max(map(len, known))
+        trie = shared.value
 
         def encode(word: str) -> list[int]:
             if word in special:
-                return [known[word]]
-            if len(word) > longest:
-                return [unknown]
-            found, start = [], 0
-            while start < len(word):
-                mark = prefix if start else ""
-                for end in range(min(len(word), start + width), start, -1):
-                    piece = known.get(mark + word[start:end])
-                    if piece is not None:
-                        found.append(piece)
-                        start = end
-                        break
-                else:
-                    return [unknown]
-            return found
+                return [special[word]]
+            found = trie.encode(word) if len(word) <= longest else None
+            return [unknown] if found is None else found
 
         return encode
 

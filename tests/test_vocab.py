@@ -172,6 +172,53 @@ def test_wordpiece_against_the_library(spark, sf, trained):
     assert decoded == {i: tokenizer.decode(w) for i, w in want.items()}
 
 
+def longest_first(word, ids):
+    """Every end of every rest is tried, the longest first."""
+    found, start = [], 0
+    while start < len(word):
+        for end in range(len(word), start, -1):
+            piece = ids.get(("##" if start else "") + word[start:end])
+            if piece is not None:
+                found.append(piece)
+                start = end
+                break
+        else:
+            return None
+    return found
+
+
+def test_trie_equals_trying_all_ends():
+    for seed in range(400):
+        rnd = random.Random(seed)
+        letters = "ab#c"[:rnd.randint(1, 4)]
+        draw = lambda n: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, n)))
+        tokens = {("##" if rnd.random() < 0.6 else "") + draw(6) for _ in range(rnd.randint(1, 25))}
+        ids = {t: i for i, t in enumerate(sorted(tokens))}
+        trie = encode.PieceTrie(ids)
+        for _ in range(60):
+            word = draw(14)
+            assert trie.encode(word) == longest_first(word, ids), (word, ids)
+
+
+def test_trie_work_is_linear_in_the_word():
+    """Steps are counted where trying all ends reads the word again and again: a long token never quite matches."""
+    ids = {"a": 0, "##a": 1, "##" + "a" * 3_000 + "b": 2}
+    trie = encode.PieceTrie(ids)
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    trie.steps = Counted(trie.steps)
+    for n in (2_000, 20_000):
+        Counted.asked = 0
+        assert trie.encode("a" * n) == [0] + [1] * (n - 1)
+        assert Counted.asked <= 3 * n
+
+
 def test_empty_text_is_the_end_mark_alone(spark, trained):
     df = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     rows = encode.encode_wordpiece(df, trained).collect()
