@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -112,6 +114,12 @@ def without_samples(string: str, kind: str) -> str:
     return _RUNS.get(kind, _ALNUM).sub(lambda m: _blank(m) if ALLOWED.search(m[0]) else m[0], string)
 
 
+def _holds(spans: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether one of the spans, given as sorted starts and the furthest end up to each, holds all of a stretch."""
+    at = bisect_right(spans[0], start)
+    return at > 0 and spans[1][at - 1] >= end
+
+
 def secret_spans(text: str, allow: frozenset[str] = frozenset()) -> list[Span]:
     """Spans of a text by start, then kind: the base ones, and those of high entropy that don't lie in a base one.
 
@@ -128,17 +136,22 @@ def secret_spans(text: str, allow: frozenset[str] = frozenset()) -> list[Span]:
         base = list(out)
         base += [("hex", m.start(), m.end(), True) for m in _HEX.finditer(text)]
         out = list(base)
+        # a base span that holds a place begins before it and ends behind it: the furthest end so far tells
+        base.sort(key=lambda s: s[1])
+        starts, furthest = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
         for m in _CANDIDATE.finditer(text):
             if not _HAS_DIGIT.search(m[0]):
                 continue
             string = without_allowed(m[0], allow)
-            taken: list[tuple[int, int]] = [(a, b) for _, a, b, _ in base]
+            classes: list[tuple[list[int], list[int]]] = [(starts, furthest)]
             for kind, members, least in CLASSES:
+                own: list[tuple[int, int]] = []
                 for a, b in entropy_spans(without_samples(string, kind), members, least):
                     a, b = a + m.start(), b + m.start()
-                    if not any(x <= a and b <= y for x, y in taken):
+                    if not any(_holds(spans, a, b) for spans in classes):
                         out.append((kind, a, b, False))
-                        taken.append((a, b))
+                        own.append((a, b))
+                classes.append(([a for a, _ in own], list(accumulate((b for _, b in own), max))))
     else:
         out += [("hex", m.start(), m.end(), True) for m in _HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[1], _RANK[s[0]]))

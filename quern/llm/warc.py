@@ -29,11 +29,14 @@ _NAMES = ["record_id", "record_type", "refers_to", "target_uri", "date", "conten
 _TYPES = [pa.string()] * 8 + [pa.map_(pa.string(), pa.string()), pa.binary()]
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the published name space of URLs
-_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>")
+_DROPPED = re.compile(r"(?i)<!--|<(script|style|noscript|template|svg)\b|<!|<\?")
+_CLOSED = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "noscript", "template", "svg")}
 _BLOCKS = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>")
 _TAGS = re.compile(r"</?[A-Za-z][^>]*>")
 _TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-_LINK = re.compile(r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+_ANCHOR = re.compile(r"(?i)<a\s")
+_HREF = re.compile(r"(?i)\bhref")
+_TARGET = re.compile(r"""(?i)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 
 
 def digest(data: bytes) -> str:
@@ -41,17 +44,52 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _visible(page: str) -> str:
+    """A page with a space for each comment, declaration and element whose text isn't shown; one pass, whatever is left open.
+
+    Comments and elements left open reach to the end, declarations left open stay.
+    """
+    out, at, last = [], 0, page.rfind(">")
+    while m := _DROPPED.search(page, at):
+        if m[0] == "<!--":
+            end = page.find("-->", m.end()) + 3
+            end = end if end > 2 else len(page)
+        elif m[1]:
+            close = _CLOSED[m[1].lower()].search(page, m.end())
+            end = close.end() if close else len(page)
+        elif m.end() <= last:
+            end = page.find(">", m.end()) + 1
+        else:  # no tag ends behind this place
+            out.append(page[at : m.end()])
+            at = m.end()
+            continue
+        out += [page[at : m.start()], " "]
+        at = end
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The text of a page: blocks on lines of their own, white space collapsed, entities resolved, empty lines left out."""
-    text = _DROPPED.sub(" ", page)
-    text = _TAGS.sub("", _BLOCKS.sub("\n", text))
+    text = _visible(page)
+    cut = text.rfind(">") + 1  # behind it no tag ends, and none is looked for
+    text = _TAGS.sub("", _BLOCKS.sub("\n", text[:cut])) + text[cut:]
     lines = (" ".join(line.split()) for line in entities.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def page_links(page: str) -> list[str]:
-    """Link targets in order, each once."""
-    return list(dict.fromkeys(entities.unescape(a or b or c) for a, b, c in _LINK.findall(_DROPPED.sub(" ", page))))
+    """Link targets in order, each once. What stands up to the end of a tag is searched once, for all anchors that begin in it."""
+    text, at, found = _visible(page), 0, []
+    while m := _ANCHOR.search(text, at):
+        end = text.find(">", m.end())
+        end = len(text) if end < 0 else end
+        at = end
+        for h in _HREF.finditer(text, m.end(), end):
+            if target := _TARGET.match(text, h.start()):
+                found.append(target[1] or target[2] or target[3])
+                at = target.end()
+                break
+    return list(dict.fromkeys(entities.unescape(t or "") for t in found))
 
 
 def split_response(block: bytes) -> tuple[str, dict[str, str], bytes]:

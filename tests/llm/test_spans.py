@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -156,3 +157,39 @@ def test_spellings_of_cues():
         for before in ("", "\u0130 é "):
             text = f"{before}{cue}X1234567, thanks"
             assert [(k, text[a:b]) for k, a, b, base in pii.pii_spans(text, ANCHORS) if not base] == [("account", "X1234567")], text
+
+
+def _spans_by_search(text):
+    """The spans with every span found before tried for each new one."""
+    base = [(k, a, b) for k, a, b, own in secrets.secret_spans(text) if own]
+    out = list(base)
+    for m in secrets._CANDIDATE.finditer(text):
+        if not secrets._HAS_DIGIT.search(m[0]):
+            continue
+        string, taken = secrets.without_allowed(m[0]), [s[1:] for s in base]
+        for kind, members, least in secrets.CLASSES:
+            for a, b in secrets.entropy_spans(secrets.without_samples(string, kind), members, least):
+                a, b = a + m.start(), b + m.start()
+                if not any(x <= a and b <= y for x, y in taken):
+                    out.append((kind, a, b))
+                    taken.append((a, b))
+    return sorted(out)
+
+
+def test_secret_spans_equal_a_search_among_all():
+    rng = random.Random(11)
+    parts = ["deadbeef" * 4, "AKIA" + "Q7Z" * 6, "password=Zk3Qa9xT1bLw8RvYp0u", "word ", "/", "=", " "]
+    for _ in range(300):
+        key = "".join(rng.choice("abcXYZ0189+/_") for _ in range(rng.randint(15, 60)))
+        text = "".join(rng.choice([*parts, key]) for _ in range(rng.randint(1, 12)))
+        assert sorted((k, a, b) for k, a, b, _ in secrets.secret_spans(text)) == _spans_by_search(text)
+
+
+def test_many_keys_and_one_long_run_end_soon():
+    rng = random.Random(12)
+    keys = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(30_000))
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    started = time.time()
+    assert len(secrets.secret_spans(keys)) >= 30_000
+    assert secrets.secret_spans(line)
+    assert time.time() - started < 60

@@ -1,5 +1,11 @@
 import hashlib
+import html
 import json
+import random
+import re
+import time
+
+import pytest
 
 from quern.llm import warc
 
@@ -61,3 +67,32 @@ def test_other_records_and_empty_tables(spark):
     odd = spark.createDataFrame([("<r>", None, None, b"no http"), ("<s>", None, None, None)], "record_id string, target_uri string, date string, block binary")
     texts = {r["refers_to"]: bytes(r["block"]) for r in warc.derivatives(odd).collect() if r["record_type"] == "conversion"}
     assert texts == {"<r>": b"no http", "<s>": b""}
+
+
+# The same as single patterns, which take quadratic time on open tags.
+_OLD_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>")
+_OLD_LINK = re.compile(r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+
+
+def test_pages_read_as_by_single_patterns():
+    rng = random.Random(3)
+    parts = ["<a ", "<A\n", "href", "href=", ' HREF = "x"', "href='y z'", "href=q", ">", "<", "<!--", "-->", "<!", "<?", "<script", "</script >",
+             "<SVG>", "</svg>", "<p>", "</p", "text ", "&amp;", '"', "'", "=", " ", "<b", "\n"]
+    for _ in range(30_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        shown = _OLD_DROPPED.sub(" ", page)
+        assert warc._visible(page) == shown, page
+        links = list(dict.fromkeys(html.unescape(a or b or c) for a, b, c in _OLD_LINK.findall(shown)))
+        assert warc.page_links(page) == links, page
+        text = warc._TAGS.sub("", warc._BLOCKS.sub("\n", shown))
+        lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
+        assert warc.plain_text(page) == "\n".join(x for x in lines if x), page
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a", "<!", "<!--", "<?", "<script", "<a href", "<a href=", "<a href='", "<p", "</script "])
+def test_long_open_tags_end_soon(part):
+    page = "x" + part * (1_000_000 // len(part))
+    started = time.time()
+    warc.plain_text(page)
+    warc.page_links(page)
+    assert time.time() - started < 20
