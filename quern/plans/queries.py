@@ -336,11 +336,16 @@ def stream_flush(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stream_metrics.flushed(spark, out), "batch_loss", digits=9)
 
 
+INTERVAL_SUMS = "interval long, window struct<start timestamp, end timestamp>, sum double, count long, step long"
+
+
 def stream_interval_loss(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "stream")
     sums = stream_metrics.interval_sums(_event_steps(spark, sf), 25, "ts", delay="36500 days", width="30 days")
-    _batches_run(stream_metrics.upsert_stream(sums, f"{out}/rows", f"{out}/log"))
-    last = stream_metrics.latest_totals(spark.read.parquet(f"{out}/rows"), "interval", "window")
+    keys = ["interval", "window"]
+    _batches_run(stream_metrics.upsert_stream(sums, f"{out}/rows", f"{out}/log", keys))
+    rows = stream_metrics.updates(spark, f"{out}/rows", INTERVAL_SUMS)
+    last = stream_metrics.latest_totals(rows, *keys)
     return stream_metrics.interval_totals(last).where("step = (interval + 1) * 25 - 1").select(
         "interval", "step", F.round(F.col("sum") / F.col("count"), 9).alias("train_loss")
     )

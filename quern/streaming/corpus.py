@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quern.functions.text import clean_text
 from quern.operators.pack import ShardCells, assemble, cut, lone_token, token_offsets
 from quern.session import stage, unstage
+from quern.streaming import ledger
 
 
 def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -47,6 +48,7 @@ def pack_stream(
     in key order. Each micro-batch writes its full blocks, the end of the
     stream so far, and the open block under its own number, so a batch that is
     run again overwrites exactly what it wrote and reads the state before it.
+    Files stay few, however long the stream (:mod:`quern.streaming.ledger`).
     """
     cells = ShardCells(shard_size, block_size)
     spark = encoded.sparkSession
@@ -71,6 +73,9 @@ def pack_stream(
         ends = spark.range(1).select(F.lit(start + total).alias("end"))
         ends.write.mode("overwrite").parquet(f"{out}/ends/batch={number}")
         unstage(records, blocks)
+        ledger.compact(spark, f"{out}/blocks", BLOCKS, number - 1)
+        for state in ("open", "ends"):
+            ledger.forget_states(spark, f"{out}/{state}", number)
 
     return _run(encoded, put, checkpoint)
 
@@ -90,10 +95,11 @@ def last_batch(spark: SparkSession, out: str) -> int:
 def packed_blocks(spark: SparkSession, out: str, last: int | None = None) -> DataFrame:
     """All blocks after micro-batch ``last`` (the last one written), the open one included.
 
-    Blocks of later batches aren't read. A single left-over token is dropped.
+    Blocks of later batches aren't read. ``last`` may be one of the last sixteen.
+    A single left-over token is dropped.
     """
     last = last_batch(spark, out) if last is None else last
-    full = spark.read.schema(f"{BLOCKS}, batch int").parquet(f"{out}/blocks").where(F.col("batch") <= last).drop("batch")
+    full = ledger.read(spark, f"{out}/blocks", BLOCKS, last).drop("batch")
     left = spark.read.schema(OPEN).parquet(f"{out}/open/batch={last}")
     tail = left.select("shard_id", "block_id", F.size("part").alias("n_tokens"), F.col("part").alias("ids"))
     return full.unionByName(tail).where(~lone_token())

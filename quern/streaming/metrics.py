@@ -7,12 +7,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.checks import broadcast_if_small, require_positive
 from quern.session import stage, unstage
+from quern.streaming import ledger
 
 # Groups completed by one micro-batch that may be broadcast.
 MAX_GROUPS = 1_000_000
 
 
 STEPS = "rank int, step long, batch_loss double"
+FLUSHED = "flush long, step long, batch_loss double, n_ranks long"
 
 
 def flush_stream(steps: DataFrame, out: str, checkpoint: str, every: int, ranks: int) -> StreamingQuery:
@@ -23,7 +25,8 @@ def flush_stream(steps: DataFrame, out: str, checkpoint: str, every: int, ranks:
     as one row per step with the mean over ranks. Each micro-batch writes its
     complete groups and the records of groups still open under its own number;
     one that is run again reads the state before it and overwrites what it
-    wrote. :func:`flush_rest` writes what is open at the end of the run.
+    wrote. :func:`flush_rest` writes what is open at the end of the run. Files
+    stay few, however long the run (:mod:`quern.streaming.ledger`).
     """
     require_positive(every=every, ranks=ranks)
 
@@ -39,6 +42,8 @@ def flush_stream(steps: DataFrame, out: str, checkpoint: str, every: int, ranks:
         _step_means(held.join(few, "flush", "left_semi")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
         held.join(few, "flush", "left_anti").drop("flush").write.mode("overwrite").parquet(f"{out}/open/batch={number}")
         unstage(held, full)
+        ledger.compact(spark, f"{out}/rows", FLUSHED, number - 1)
+        ledger.forget_states(spark, f"{out}/open", number)
 
     return (
         steps.writeStream.foreachBatch(put)
@@ -60,9 +65,7 @@ def flush_rest(spark: SparkSession, out: str, last: int, every: int) -> None:
 
 def flushed(spark: SparkSession, out: str) -> DataFrame:
     """``flush, step, batch_loss, n_ranks`` of all steps written so far, each once."""
-    return spark.read.schema("flush long, step long, batch_loss double, n_ranks long").parquet(
-        f"{out}/rows"
-    ).select("flush", "step", "batch_loss", "n_ranks")
+    return ledger.read(spark, f"{out}/rows", FLUSHED).drop("batch")
 
 
 def interval_sums(
@@ -90,11 +93,24 @@ def interval_totals(last: DataFrame) -> DataFrame:
     return last.groupBy("interval").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.max("step").alias("step"))
 
 
-def upsert_stream(totals: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write each update of a running total under its batch number."""
+def upsert_stream(totals: DataFrame, out: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
+    """Write each update of a running total under its batch number; :func:`updates` reads them.
+
+    With ``keys``, files of finished batches are merged, and of the updates of a
+    key in them only the last is kept, so the table grows with the keys and not
+    with the micro-batches.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in totals.schema.fields)
+
+    def last_of_each(rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c not in (*keys, "batch")]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"), F.max("batch").alias("batch"))
+        return last.select(*keys, "row.*", "batch")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if keys is not None:
+            ledger.compact(batch.sparkSession, out, schema, number - 1, last_of_each)
 
     return (
         totals.writeStream.foreachBatch(put)
@@ -105,6 +121,11 @@ def upsert_stream(totals: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def updates(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """The updates that are kept, with the ``batch`` that wrote them."""
+    return ledger.read(spark, out, schema)
+
+
 def latest_totals(updates: DataFrame, *keys: str) -> DataFrame:
     """The last update of each key (``interval`` by default)."""
     keys = keys or ("interval",)
