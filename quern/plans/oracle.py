@@ -20,6 +20,7 @@ from quern.plans.queries import (
     PUBLISHED_MANY,
     PUBLISHED_RANKS,
     RANKS,
+    RESUMED,
     SEED,
     SEQ,
     SHARD,
@@ -440,6 +441,17 @@ def all_sql() -> dict[str, str]:
       SELECT rank, CAST(epoch AS INTEGER) AS epoch, opt_step, epoch * per_epoch + opt_step AS global_step, micro_batches
       FROM replayed WHERE epoch * per_epoch + opt_step < {TRAIN_STEPS}"""
 
+    q["replay_batches"] = f"""WITH {plan},
+      stored AS (
+        SELECT batch_id, seq_id, {row}, {both} FROM batched GROUP BY batch_id, seq_id),
+      sized AS (SELECT *, count(DISTINCT opt_step) OVER (PARTITION BY rank) AS per_epoch FROM plan WHERE opt_step IS NOT NULL),
+      replayed AS (
+        SELECT *, unnest(range(0, CAST(ceil({TRAIN_STEPS} / per_epoch) AS BIGINT))) AS epoch FROM sized)
+      SELECT rank, epoch, epoch * per_epoch + opt_step AS global_step, CAST(step % {ACCUMULATE} AS INTEGER) AS micro,
+        row_in_batch, seq_id, input_ids, labels
+      FROM replayed JOIN stored USING (batch_id)
+      WHERE epoch * per_epoch + opt_step >= {RESUMED} AND epoch * per_epoch + opt_step < {TRAIN_STEPS}"""
+
     q["weighted_mean"] = """SELECT event_type, round(sum(value * event_id), 2) AS sum,
         CAST(sum(event_id) AS BIGINT) AS count, round(sum(value * event_id) / sum(event_id), 6) AS average
       FROM events GROUP BY event_type"""

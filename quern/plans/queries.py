@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.checks import token_range_report
 from quern.functions import schedule, text as T
-from quern.operators import encode, metrics, pack, ranking, select, sequences, vocab
+from quern.operators import encode, metrics, pack, ranking, replay, select, sequences, vocab
 from quern.operators.prefix import with_position
 from quern.plans import corpus
 from quern.session import new_path, stage
@@ -25,6 +25,8 @@ SHARD, BLOCK = 10_000, 1_024
 SEQ, BATCH, WORLD, ACCUMULATE = 128, 4, 3, 2
 RANKS = 4
 TRAIN_STEPS = 250
+# The step at which the replayed run resumes.
+RESUMED = 137
 SEED = select.DEFAULT_SEED
 # Far below the default, so that small tables, too, take running totals over several levels of nodes.
 WINDOW = 64
@@ -253,6 +255,14 @@ def rank_sink(spark: SparkSession, sf: str) -> DataFrame:
     return _sequences(tables.union_sources(*read), "rank", "step", "row_in_batch", "seq_id")
 
 
+def replay_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """What each rank still reads when its run resumes at a step, over the ends of epochs."""
+    out = new_path(spark, "replay")
+    replay.write_replay(sequences.rank_batches(_shards(spark, sf), SEQ, BATCH, WORLD), out, ACCUMULATE, 32)
+    read = [replay.replay(spark, out, r, RESUMED, TRAIN_STEPS) for r in range(WORLD)]
+    return _sequences(tables.union_sources(*read), "rank", "epoch", "global_step", "micro", "row_in_batch", "seq_id")
+
+
 def text_order(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of text files written in key order, with their places in the order of the files."""
     out = new_path(spark, "ordered")
@@ -336,7 +346,7 @@ def stream_flush(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stream_metrics.flushed(spark, out), "batch_loss", digits=9)
 
 
-INTERVAL_SUMS = "interval long, window struct<start timestamp, end timestamp>, sum double, count long, step long"
+INTERVAL_SUMS = "interval long, window timestamp, sum double, count long, step long"
 
 
 def stream_interval_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -495,6 +505,8 @@ def all_queries() -> dict[str, Query]:
     q["batch_plan"] = lambda s, sf: _plan(s, sf).withColumn("opt_step", F.coalesce("opt_step", F.lit(-1)))
     q["epoch_plan"] = lambda s, sf: sequences.epoch_plan(_plan(s, sf), TRAIN_STEPS)
 
+    q["replay_batches"] = replay_batches
+
     # Run log
     q["weighted_mean"] = lambda s, sf: _rounded(
         _rounded(metrics.weighted_mean(_table(s, sf, "events"), "value", "event_id", ["event_type"]), "average"),
