@@ -20,8 +20,8 @@ def _nth_key(keys: DataFrame, n: int, bits: int) -> tuple[int, int] | None:
     """The ``n``-th smallest ``(k, tie)`` of a table with 64-bit ``k >= 0``.
 
     Counts the keys by their leading bits, keeps the one range that holds the
-    answer, and repeats with the next bits; keys that are equal there are told
-    apart by ``tie`` in the same way. Each round is a narrow count whose result
+    answer, and repeats with the next bits until the range holds one row; keys
+    that are equal are told apart by ``tie`` in the same way. Each round is a narrow count whose result
     has at most 16,384 rows. None when there are fewer than ``n`` rows; equal
     pairs at the answer are an error.
     """
@@ -44,9 +44,10 @@ def _nth_key(keys: DataFrame, n: int, bits: int) -> tuple[int, int] | None:
                 return None
             low, rest = low + (d << drop), drop
             keys = keys.where((F.col(column) >= low) & (F.col(column) < low + (1 << rest)))
+            if size == 1:
+                only = keys.first()
+                return only["k"], only["tie"]
         found.append(low)
-        if size == 1 and column == "k":
-            return low, keys.first()["tie"]
     if size > 1:
         raise ValueError(NOT_UNIQUE)
     return found[0], found[1]
