@@ -59,10 +59,11 @@ def with_exclusive_sum(
     result = rows.withColumn(out, before)
     if node:
         totals = rows.groupBy(*groups, *names).agg(F.sum("__value").alias("__total"))
-        bases = with_exclusive_sum(totals, "__total", names, "__base", groups, n_rows=n_nodes)
+        base = f"__base_{out}"  # a name of its own at each level: a node table of several levels has bases, too
+        bases = with_exclusive_sum(totals, "__total", names, base, groups, n_rows=n_nodes)
         # Both sides are hashed on the node already; the rows do not move again.
         result = result.join(bases.drop("__total"), [*groups, *names], "left")
-        result = result.withColumn(out, F.col(out) + F.col("__base"))
+        result = result.withColumn(out, F.col(out) + F.col(base))
     return result.select(*[c for c in df.columns if c != out], out)
 
 

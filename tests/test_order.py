@@ -38,6 +38,13 @@ def test_prefix_sum_hot_key_and_groups(spark):
     assert sums(spark, rows, 16, ["g"]) == expected(rows, True)
 
 
+def test_prefix_sum_over_several_levels_of_nodes(spark):
+    """More nodes than share a window, so the table of nodes has nodes of its own."""
+    n = prefix.ROWS_PER_WINDOW + 4_000
+    out = prefix.with_position(spark.range(n).select((F.col("id") * 3).alias("k")), "k", rows_per_window=1)
+    assert out.where("pos * 3 != k").count() == 0 and out.count() == n
+
+
 def test_prefix_sum_refuses_equal_or_null_keys(spark):
     for rows in ([(1, 1), (1, 2)], [(None, 1), (2, 2)]):
         df = spark.createDataFrame(rows, "k long, v int")
