@@ -1,9 +1,10 @@
 """Token files that array programs open: numbered shards (``.npy``) and one flat file a split.
 
 Both hold unsigned 16-bit little-endian ids. They are read and written by a
-Python data source of Spark: a scan is planned from the lengths of the files, so
-one file is read by as many tasks as it has runs of blocks; a write goes to
-files of its own per attempt, which the commit moves into place. Files are
+Python data source of Spark: a scan is planned from the sizes of the files, so
+one long file is read by as many tasks as it has runs of blocks, and many short
+ones by one task; a write goes to files of its own per attempt, which the commit
+moves into place. Files are
 opened by ``pyarrow.fs``, so paths may be local, ``hdfs://``, ``s3://`` or ``gs://``.
 """
 
@@ -27,6 +28,8 @@ FORMAT = "quern_arrays"
 #: Blocks a read task takes, and blocks it hands on at a time.
 BLOCKS_PER_TASK = 1 << 14
 BLOCKS_PER_BATCH = 1 << 8
+#: Blocks a file counts for at least when short files are dealt to tasks.
+OPEN_COST = 1 << 6
 #: Files whose lengths may be broadcast, and bytes an assembly copies at a time.
 MANY_FILES = 1 << 16
 COPY_BYTES = 1 << 23
@@ -49,10 +52,9 @@ def _header(n: int) -> bytes:
     return out.getvalue()
 
 
-def _shape(files: fs.FileSystem, path: str) -> tuple[int, int]:
+def _shape(file: pa.NativeFile, path: str) -> tuple[int, int]:
     """Number of tokens of a shard file, and where they begin."""
-    with files.open_input_file(path) as file:
-        head = io.BytesIO(file.read_at(HEADER_BYTES, 0))
+    head = io.BytesIO(file.read_at(HEADER_BYTES, 0))
     try:
         version = np.lib.format.read_magic(head)
         read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
@@ -61,22 +63,29 @@ def _shape(files: fs.FileSystem, path: str) -> tuple[int, int]:
         raise ValueError(f"{path} is no array file: {error}") from None
     if len(shape) != 1 or kind != np.dtype("<u2"):
         raise ValueError(f"{path} holds {kind} of shape {shape}, not one row of 16-bit ids")
+    if head.tell() + 2 * shape[0] > file.size():
+        raise ValueError(f"{path} is shorter than its header says")
     return shape[0], head.tell()
 
 
 @dataclass
-class Run(InputPartition):
-    """Blocks of one file that a task reads."""
+class Run:
+    """Blocks of one file, ``last`` excluded; the file may end before."""
 
     path: str
     key: object
-    begins: int
-    tokens: int
     first: int
     last: int
 
+
+@dataclass
+class Runs(InputPartition):
+    """What a task reads."""
+
+    runs: list[Run]
+
     def __post_init__(self):
-        super().__init__(self.path)
+        super().__init__(self.runs)
 
 
 class ArrayReader(DataSourceReader):
@@ -96,41 +105,54 @@ class ArrayReader(DataSourceReader):
             if info.type != fs.FileType.File or not match:
                 continue
             if self.kind == "flat":
-                found.append((match[1], info.path, info.size // 2, 0))
+                found.append((match[1], info.path, info.size // 2))
             elif self.low <= int(match[1]) <= self.high:
-                found.append((int(match[1]), info.path, *_shape(files, info.path)))
+                found.append((int(match[1]), info.path, info.size // 2))
         if not found:
             raise ValueError(f"no token files in {self.path}")
         if len({f[0] for f in found}) < len(found):
             raise ValueError(f"two shards of one number in {self.path}")
-        return [
-            Run(path, key, begins, tokens, lo, min(lo + self.task, -(-tokens // self.block)))
-            for key, path, tokens, begins in sorted(found)
-            for lo in range(0, -(-tokens // self.block), self.task)
+        # A shard's header counts as tokens here; the task that opens the file knows better.
+        runs = [
+            Run(path, key, lo, min(lo + self.task, -(-most // self.block)))
+            for key, path, most in sorted(found)
+            for lo in range(0, -(-most // self.block), self.task)
         ]
-
-    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        tasks, room = [], 0
+        for run in runs:
+            cost = max(run.last - run.first, min(OPEN_COST, self.task))
+            if cost > room:
+                tasks.append(Runs([]))
+                room = self.task
+            tasks[-1].runs.append(run)
+            room -= cost
+        return tasks
+
+    def read(self, partition: Runs) -> Iterator[pa.RecordBatch]:
         files, _ = opened(self.path)
         key = KEYS[self.kind].split()[0]
-        with files.open_input_file(partition.path) as file:
-            for lo in range(partition.first, partition.last, BLOCKS_PER_BATCH):
-                hi = min(lo + BLOCKS_PER_BATCH, partition.last)
-                start, end = lo * self.block, min(hi * self.block, partition.tokens)
-                ids = np.frombuffer(file.read_at(2 * (end - start), partition.begins + 2 * start), "<u2")
-                if len(ids) != end - start:
-                    raise ValueError(f"{partition.path} is shorter than its header says")
-                cuts = np.append(np.arange(0, end - start, self.block), end - start).astype(np.int32)
-                kind = pa.int64() if self.kind == "shards" else pa.string()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([partition.key] * (hi - lo), kind),
-                        pa.array(np.arange(lo, hi)),
-                        pa.array(np.arange(lo, hi) * self.block),
-                        pa.array(np.diff(cuts)),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32))),
-                    ],
-                    names=[key, "block_id", "pos", "n_tokens", "ids"],
-                )
+        kind = pa.int64() if self.kind == "shards" else pa.string()
+        for run in partition.runs:
+            with files.open_input_file(run.path) as file:
+                tokens, begins = _shape(file, run.path) if self.kind == "shards" else (file.size() // 2, 0)
+                last = min(run.last, -(-tokens // self.block))
+                for lo in range(run.first, last, BLOCKS_PER_BATCH):
+                    hi = min(lo + BLOCKS_PER_BATCH, last)
+                    start, end = lo * self.block, min(hi * self.block, tokens)
+                    ids = np.frombuffer(file.read_at(2 * (end - start), begins + 2 * start), "<u2")
+                    if len(ids) != end - start:
+                        raise ValueError(f"{run.path} is shorter than its header says")
+                    cuts = np.append(np.arange(0, end - start, self.block), end - start).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([run.key] * (hi - lo), kind),
+                            pa.array(np.arange(lo, hi)),
+                            pa.array(np.arange(lo, hi) * self.block),
+                            pa.array(np.diff(cuts)),
+                            pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32))),
+                        ],
+                        names=[key, "block_id", "pos", "n_tokens", "ids"],
+                    )
 
 
 @dataclass
@@ -260,7 +282,7 @@ def read_array_shards(
     """Blocks of all numbered shards, or of a range of them, whoever wrote them.
 
     Shards are ordered by number, whatever the count of digits. Others aren't
-    opened; the lengths of those wanted are read when the scan is planned.
+    opened. The scan is planned from a listing; headers are read by the tasks.
     """
     require_positive(block=block)
     spark.dataSource.register(TokenArrays)

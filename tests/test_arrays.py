@@ -63,6 +63,33 @@ def test_shards_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
     assert ids == list(range(1000))
 
 
+def test_many_short_shards_share_tasks_and_stay_closed_while_planned(tmp_path, monkeypatch):
+    want = {}
+    for i in range(600):
+        want[i] = np.arange(i, i + i % 90).astype(np.uint16)
+        np.save(tmp_path / f"x_{i:04d}.npy", want[i])
+    reader = arrays.ArrayReader({"path": str(tmp_path), "block": "32"})
+    with monkeypatch.context() as m:
+        m.setattr(arrays, "_shape", None)  # headers are the tasks' work
+        tasks = reader.partitions()
+    assert len(tasks) <= 4
+    found = {}
+    for task in tasks:
+        for batch in reader.read(task):
+            for row in batch.to_pylist():
+                assert row["pos"] == len(found.setdefault(row["shard_id"], [])) == 32 * row["block_id"]
+                found[row["shard_id"]] += row["ids"]
+    assert found == {i: ids.tolist() for i, ids in want.items() if len(ids)}
+
+
+def test_a_shard_that_was_cut_off_is_refused(tmp_path):
+    np.save(tmp_path / "x_0000.npy", np.arange(1000).astype(np.uint16))
+    os.truncate(tmp_path / "x_0000.npy", 128 + 2 * 512)
+    reader = arrays.ArrayReader({"path": str(tmp_path), "block": "64"})
+    with pytest.raises(ValueError, match="shorter"):
+        [batch for task in reader.partitions() for batch in reader.read(task)]
+
+
 def writer_batch(shard, ids, block=4):
     rows = [{"shard_id": shard, "pos": p, "ids": ids[p : p + block], "file_tokens": len(ids)} for p in range(0, len(ids), block)]
     return pa.RecordBatch.from_pylist(rows)
