@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import heapq
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.checks import MAX_TOKEN_ID, require_columns, require_positive, small_enough
@@ -26,7 +28,8 @@ CONTINUATION = "##"
 
 MAX_VOCAB = MAX_TOKEN_ID + 1
 CANDIDATES = 256
-PENDING = 48
+#: Merges a forecast makes at most.
+PENDING = 512
 
 #: What a replay may hold on the driver (some 400 MB): words, and symbols in them. Pairs that are looked at for one, at
 #: most and at least.
@@ -34,6 +37,11 @@ REPLAY_WORDS = 1 << 19
 REPLAY_SYMBOLS = 1 << 22
 REPLAY_PAIRS = 1 << 15
 LEAST_PAIRS = 64
+#: Words a forecast is made from, about; changes a task adds up before it hands them on; merges that may be told to have
+#: come in another order than forecast.
+FORECAST_WORDS = 1 << 18
+HELD_CHANGES = 1 << 18
+SWAPPED = 32
 
 
 def word_counts(texts: DataFrame, text: str = "text", lowercase: bool = False, min_freq: int = 1) -> DataFrame:
@@ -108,42 +116,6 @@ def _merge_of(left: str, right: str, prefix: str) -> Merge:
     return Merge(left, right, left + glued)
 
 
-def _apply(symbols: Column, merges: list[Merge]) -> Column:
-    if not merges:
-        return symbols
-    # Symbols hold no white space, so one literal per side can list all merges.
-    old = F.split(F.lit("\n".join(f" {m.left}  {m.right} " for m in merges)), "\n")
-    new = F.split(F.lit("\n".join(f" {m.token} " for m in merges)), "\n")
-    steps = F.arrays_zip(old.alias("old"), new.alias("new"))
-    return F.aggregate(steps, symbols, lambda acc, m: F.replace(acc, m["old"], m["new"]))
-
-
-def _neighbours(state: DataFrame, pairs: list[str]) -> dict[str, tuple[int, dict[str, int]]]:
-    """For each given pair the largest count of a triple it is part of, and
-    the counts of the triples it forms with another given pair."""
-    wanted = ", ".join("'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in pairs)
-    first, second = F.concat_ws("  ", "s0", "s1"), F.concat_ws("  ", "s1", "s2")
-    # triples without a given pair are dropped before they are counted
-    runs = _runs(state, 3).where(first.isin(pairs) | second.isin(pairs))
-    counted = runs.groupBy("s0", "s1", "s2").agg(F.sum("n").alias("n"))
-    sides = F.array(
-        F.struct(first.alias("pair"), second.alias("other")),
-        F.struct(second.alias("pair"), first.alias("other")),
-    )
-    rows = (
-        counted.select(F.explode(sides).alias("s"), "n")
-        .select("s.pair", "s.other", "n")
-        .where(f"pair IN ({wanted})")
-        .groupBy("pair")
-        .agg(
-            F.max("n").alias("most"),
-            F.collect_list(F.when(F.expr(f"other IN ({wanted})"), F.struct("other", "n"))).alias("near"),
-        )
-        .collect()
-    )
-    return {r["pair"]: (r["most"], {x["other"]: x["n"] for x in r["near"]}) for r in rows}
-
-
 def _next_merges(
     ranked: list[tuple[str, str, int]],
     neighbours: dict[str, tuple[int, dict[str, int]]],
@@ -216,6 +188,29 @@ def _places(parts: list[str], left: str, right: str) -> list[int]:
     return out
 
 
+Pair = tuple[str, str]
+
+
+def _merged(before: list[str], places: list[int], merge: Merge) -> tuple[list[str], list[Pair], list[Pair]]:
+    """A word after a merge at these places, and the pairs it loses and gains."""
+    if len(places) == 1:  # only the merged pair and those on its two sides change
+        at = places[0]
+        lost, gained = [(merge.left, merge.right)], []
+        if at:
+            lost.append((before[at - 1], merge.left))
+            gained.append((before[at - 1], merge.token))
+        if at + 2 < len(before):
+            lost.append((merge.right, before[at + 2]))
+            gained.append((merge.token, before[at + 2]))
+        return [*before[:at], merge.token, *before[at + 2 :]], lost, gained
+    after, done = [], 0
+    for at in places:
+        after += [*before[done:at], merge.token]
+        done = at + 2
+    after += before[done:]
+    return after, list(zip(before, before[1:])), list(zip(after, after[1:]))
+
+
 def _replay(
     words: list[tuple[list[str], int]],
     counts: dict[tuple[str, str], int],
@@ -268,31 +263,13 @@ def _replay(
             made.add(merge.token)
             room -= 1
         shift: dict[tuple[str, str], int] = {}
-        left, right = pair
-        token = merge.token
         for i in holders.pop(pair):
             before, times = words[i]
-            places = _places(before, left, right)
+            places = _places(before, *pair)
             if not places:
                 continue
             changed.add(i)
-            if len(places) == 1:  # only the pairs on its two sides change
-                at = places[0]
-                after = [*before[:at], token, *before[at + 2 :]]
-                lost, gained = [], []
-                if at:
-                    lost.append((before[at - 1], left))
-                    gained.append((before[at - 1], token))
-                if at + 2 < len(before):
-                    lost.append((right, before[at + 2]))
-                    gained.append((token, before[at + 2]))
-            else:
-                after, done = [], 0
-                for at in places:
-                    after += [*before[done:at], token]
-                    done = at + 2
-                after += before[done:]
-                lost, gained = list(zip(before, before[1:])), list(zip(after, after[1:]))
+            after, lost, gained = _merged(before, places, merge)
             words[i] = after, times
             for p in lost:
                 if p in counts:
@@ -328,6 +305,167 @@ def _spaced(parts: list[str]) -> str:
     return "".join(f" {p} " for p in parts)
 
 
+def _in_turn(parts: list[str], turns: dict[Pair, list[int]], merges: list[Merge]) -> Iterator[tuple]:
+    """The merges that change a word when all are made in order: number, word after it, pairs lost and gained."""
+    done = -1
+    while len(parts) > 1:
+        near = [t for pair in zip(parts, parts[1:]) for t in turns.get(pair, ()) if t > done]
+        if not near:
+            return
+        done = min(near)
+        merge = merges[done]
+        parts, lost, gained = _merged(parts, _places(parts, merge.left, merge.right), merge)
+        yield done, parts, lost, gained
+
+
+def _turns(merges: list[Merge]) -> dict[Pair, list[int]]:
+    turns: dict[Pair, list[int]] = {}
+    for i, m in enumerate(merges):
+        turns.setdefault((m.left, m.right), []).append(i)
+    return turns
+
+
+def _changes(state: DataFrame, merges: list[Merge]) -> list[dict[Pair, int]]:
+    """By how much each of some merges, made in order, changes the counts of pairs over the whole word table.
+
+    Tasks add up what their words change; the driver gets a row for each merge and pair.
+    """
+    most = HELD_CHANGES
+    names = ["turn", "l", "r", "n"]
+
+    def rows(held: dict[tuple[int, Pair], int]) -> pa.RecordBatch:
+        columns = zip(*((turn, *pair, n) for (turn, pair), n in held.items() if n)) if any(held.values()) else [[]] * 4
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = _turns(merges)
+        held: dict[tuple[int, Pair], int] = {}
+        for batch in batches:
+            for symbols, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for turn, _, lost, gained in _in_turn(symbols[1:-1].split("  "), turns, merges):
+                    for p in lost:
+                        held[turn, p] = held.get((turn, p), 0) - n
+                    for p in gained:
+                        held[turn, p] = held.get((turn, p), 0) + n
+                if len(held) > most:
+                    yield rows(held)
+                    held = {}
+        yield rows(held)
+
+    counted = state.select("symbols", "n").mapInArrow(count, "turn int, l string, r string, n long")
+    table = counted.groupBy("turn", "l", "r").agg(F.sum("n").alias("n")).toArrow()
+    found: list[dict[Pair, int]] = [{} for _ in merges]
+    for turn, left, right, n in zip(*(c.to_pylist() for c in table.select(names).columns)):
+        found[turn][left, right] = n
+    return found
+
+
+def _written(state: DataFrame, merges: list[Merge]) -> DataFrame:
+    """The word table after some merges."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = _turns(merges)
+        for batch in batches:
+            out = []
+            for symbols in batch.column(0).to_pylist():
+                last = None
+                for _, last, _, _ in _in_turn(symbols[1:-1].split("  "), turns, merges):
+                    pass
+                out.append(symbols if last is None else _spaced(last))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["symbols", "n"])
+
+    return state.select("symbols", "n").mapInArrow(write, "symbols string, n long")
+
+
+def _weighted_words(state: DataFrame, about: int) -> DataFrame:
+    """Words that stand for all, about so many and of at most ``REPLAY_SYMBOLS`` symbols: frequent ones, and of others one
+    in some, counted for these."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int")
+    length = F.size(F.split(F.trim("symbols"), "  "))
+    levels = state.groupBy(level.alias("level")).agg(
+        F.count("*").alias("words"), F.sum("n").alias("n"), F.sum(length).alias("length")
+    ).collect()
+
+    def chosen(least: int, what: str) -> float:
+        return sum(r[what] * min(1, r["n"] / (least * r["words"])) for r in levels)
+
+    least = 1
+    while chosen(least, "words") > about or chosen(least, "length") > REPLAY_SYMBOLS:
+        least = least + 1 + least // 16
+    share = F.pmod(F.xxhash64("symbols"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return state.where(share * least < F.col("n")).select("symbols", F.greatest("n", F.lit(least)).cast("long").alias("n"))
+
+
+def _confirmed(
+    forecast: list[Merge],
+    changes: list[dict[Pair, int]],
+    counts: dict[Pair, int],
+    first_other: tuple[int, str, str] | None,
+    known: set[str],
+    min_freq: int,
+) -> list[Merge]:
+    """The merges at the start of a forecast that the one-at-a-time greedy rule makes, in its order.
+
+    ``counts`` are exact and so are ``changes``, what each merge of the forecast
+    does after those before it; so counts of the listed pairs, and of pairs with
+    a new token, are known before each merge, and whether it is next. Where
+    another pair is, but the next few of the forecast are the most frequent
+    ones in another order, they are taken in the right order, if they can't
+    touch each other: no one begins with what another ends with, their tokens
+    are new, and all others are less frequent. Then each makes only pairs that are
+    at most as frequent as one of those others was, and all orders lead to the same words.
+    """
+    counts, known, made = dict(counts), set(known), set()
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+
+    def pop(others: list[tuple[int, str, str]]) -> tuple[int, str, str] | None:
+        while heap:
+            entry = heapq.heappop(heap)
+            now = counts.get(entry[1:], 0)
+            if now == -entry[0] and now > 0 and entry not in others:
+                return entry
+            if 0 < now < -entry[0]:
+                heapq.heappush(heap, (-now, *entry[1:]))
+        return None
+
+    taken: list[Merge] = []
+    while len(taken) < len(forecast):
+        at, block, wanted = len(taken), [], set()
+        while len(block) < SWAPPED and at + len(block) < len(forecast) and (entry := pop(block)):
+            wanted.add((forecast[at + len(block)].left, forecast[at + len(block)].right))
+            block.append(entry)
+            if {e[1:] for e in block} == wanted:
+                break
+        if not block or {e[1:] for e in block} != wanted:
+            break
+        if -block[-1][0] < min_freq or (first_other and block[-1] > first_other):
+            break
+        merges = {(m.left, m.right): m for m in forecast[at : at + len(block)]}
+        tokens = {m.token for m in merges.values()}
+        if len(block) > 1:
+            after = pop(block)
+            if after:
+                heapq.heappush(heap, after)
+            apart = {m.left for m in merges.values()}.isdisjoint(m.right for m in merges.values())
+            clear = all(block[-1][0] < e[0] for e in (after, first_other) if e)
+            if not apart or not clear or len(tokens) < len(block) or not tokens.isdisjoint(known):
+                break
+        taken += [merges[e[1:]] for e in block]
+        if len(block) == 1 and not tokens.isdisjoint(known - made):
+            break
+        made |= tokens - known
+        known |= tokens
+        for shift in changes[at : at + len(block)]:
+            for p, by in shift.items():
+                if p in counts or p[0] in made or p[1] in made:
+                    counts[p] = counts.get(p, 0) + by
+                    if by > 0:
+                        heapq.heappush(heap, (-counts[p], *p))
+    return taken
+
+
 def learn_merges(
     state: DataFrame,
     known: set[str],
@@ -344,10 +482,11 @@ def learn_merges(
     two ways:
 
     * While even the most frequent pairs stand in more words than a driver
-      should hold, a round is two jobs over the word table, which take as many
-      merges as are certain from counts of pairs and triples. Merges not yet
-      written into the word table are applied while it is read; every
-      ``pending`` merges it is written anew, so the plan never grows.
+      should hold, merges are forecast: the loop runs on exact counts of pairs
+      and on words that stand for all (:func:`_weighted_words`). One job over the
+      whole word table then counts what each of these merges changes, which tells
+      how many of them are right; these are written into the table. The first one
+      always is, and mostly hundreds are.
     * Else as many of the most frequent pairs are taken as stand in at most
       ``REPLAY_WORDS`` words, these words are fetched, and the loop runs on them
       until the other pairs come into play, often for thousands of merges. The
@@ -362,15 +501,14 @@ def learn_merges(
     base = stage(state.repartition(slots), "words")
     known = set(known)
     merges: list[Merge] = []
-    unwritten: list[Merge] = []
     fresh = True
     least = max(min_freq, 1)
 
     def rewrite(current: DataFrame) -> None:
-        nonlocal base, unwritten, fresh
+        nonlocal base, fresh
         written = stage(current.where(size > 1), "words")
         unstage(base)
-        base, unwritten, fresh = written, [], True
+        base, fresh = written, True
 
     def take(found: list[Merge]) -> None:
         known.update(m.token for m in found)
@@ -389,12 +527,8 @@ def learn_merges(
                         counts[pair] = counts.get(pair, 0) + n
                 take(_replay(words, counts, None, known, room, least, prefix, True)[0])
                 break
-        current = base.select(_apply(F.col("symbols"), unwritten).alias("symbols"), "n")
-        if len(unwritten) >= pending:
-            rewrite(current)
-            continue
         most = max(REPLAY_PAIRS, candidates)
-        ranked = _count_pairs(current).where(F.col("n") >= least).orderBy(F.desc("n"), "l", "r").limit(most).collect()
+        ranked = _count_pairs(base).where(F.col("n") >= least).orderBy(F.desc("n"), "l", "r").limit(most).collect()
         if not ranked:
             break
         chosen, in_words, in_symbols = 0, 0, 0
@@ -411,7 +545,7 @@ def learn_merges(
                 F.sequence(F.lit(1), size - 1),
                 lambda i: F.concat_ws("  ", F.element_at("p", i), F.element_at("p", i + 1)),
             )
-            held = current.withColumn("p", F.split(F.trim("symbols"), "  ")).where(F.size("p") > 1)
+            held = base.withColumn("p", F.split(F.trim("symbols"), "  ")).where(F.size("p") > 1)
             held = held.select("symbols", "n", F.explode(F.array_distinct(pairs)).alias("pair"))
             held = held.join(F.broadcast(keys), "pair", "left_semi").select("symbols", "n").distinct()
             words = _fetched(held)
@@ -422,16 +556,20 @@ def learn_merges(
             rows_ = [(_spaced(words[i][0]), _spaced(parts)) for i, parts in changed.items()]
             news = state.sparkSession.createDataFrame(rows_, "symbols string, becomes string")
             rewrite(
-                current.join(F.broadcast(news), "symbols", "left").select(
+                base.join(F.broadcast(news), "symbols", "left").select(
                     F.coalesce("becomes", "symbols").alias("symbols"), "n"
                 )
             )
             continue
-        ranked = [(r["l"], r["r"], r["n"]) for r in ranked[:candidates]]
-        neighbours = _neighbours(current, [f"{left}  {right}" for left, right, _ in ranked])
-        found = _next_merges(ranked, neighbours, set(known), room, prefix, len(ranked) < candidates)
+        listed = {(r["l"], r["r"]): r["n"] for r in ranked[: most - 1]}
+        other = next(((-r["n"], r["l"], r["r"]) for r in ranked[most - 1 :]), None)
+        words = _fetched(_weighted_words(base, FORECAST_WORDS))
+        forecast, _ = _replay(words, listed, other, known, min(room, pending), least, prefix, False)
+        del words
+        found = _confirmed(forecast, _changes(base, forecast), listed, other, known, least)
         take(found)
-        unwritten += found
+        if len(known) < limit:
+            rewrite(_written(base, found))
     unstage(base)
     return merges
 

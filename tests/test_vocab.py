@@ -84,6 +84,69 @@ def test_merges_from_parts_of_the_words(spark, counts, monkeypatch, words, pairs
     assert [(m.left, m.right, m.token) for m in got] == greedy(table, limit, 2)
 
 
+@pytest.mark.parametrize("about", [1, 30, 1 << 18])
+def test_merges_forecast_from_few_words(spark, counts, monkeypatch, about):
+    """Forecasts may be wrong, what is taken is not; a good one takes a job or two for many merges."""
+    monkeypatch.setattr(vocab, "REPLAY_WORDS", 1)
+    monkeypatch.setattr(vocab, "FORECAST_WORDS", about)
+    monkeypatch.setattr(vocab, "HELD_CHANGES", 7)
+    rounds = []
+    real = vocab._changes
+    monkeypatch.setattr(vocab, "_changes", lambda *a: rounds.append(0) or real(*a))
+    table = {r["word"]: r["n"] for r in counts.collect()}
+    state = counts.select(vocab._symbols(F.col("word"), "##").alias("symbols"), "n")
+    known = {"<unk>", "<|endoftext|>"} | {r["token"] for r in vocab.alphabet(counts).collect()}
+    limit = len(known) + (12 if about == 1 else 60)
+    got = vocab.learn_merges(state, known, limit, 2, "##")
+    assert [(m.left, m.right, m.token) for m in got] == greedy(table, limit, 2)
+    assert about < 100 or len(rounds) <= 2
+
+
+@pytest.mark.parametrize("listed", [2, 6, 1000])
+@pytest.mark.parametrize("share", [0.3, 0.7, 1])
+def test_confirmed_merges_on_random_words(listed, share):
+    """What is taken of forecasts from some of the words, against the plain rule; ties, swaps and tokens made twice."""
+    swapped = 0
+    for seed in range(150):
+        rnd = random.Random(seed)
+        letters = "abcdefgh#"[:rnd.randint(1, 9)]
+        words = {
+            "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))): rnd.choice([1, 2, 5, 30, 1000]) * rnd.randint(1, 12)
+            for _ in range(rnd.randint(1, 40))
+        }
+        known = {"<unk>", "<|endoftext|>"} | {c for w in words for c in w} | {"##" + c for w in words for c in w[1:]}
+        state = {w: [c if i == 0 else "##" + c for i, c in enumerate(w)] for w in words}
+        limit, merges = len(known) + 40, []
+        while len(known) < limit:
+            pairs = Counter()
+            for w, n in words.items():
+                for pair in zip(state[w], state[w][1:]):
+                    pairs[pair] += n
+            ranked = [x for x in sorted(pairs.items(), key=lambda x: (-x[1], *x[0])) if x[1] >= 2]
+            if not ranked:
+                break
+            some, other = dict(ranked[:listed]), next(((-n, *p) for p, n in ranked[listed:]), None)
+            seen = [(state[w], n) for w, n in words.items() if rnd.random() < share]
+            forecast, _ = vocab._replay(seen, some, other, known, min(8, limit - len(known)), 2, "##", False)
+            changes, turns = [Counter() for _ in forecast], vocab._turns(forecast)
+            for w, n in words.items():
+                for turn, _, lost, gained in vocab._in_turn(state[w], turns, forecast):
+                    for pair in lost:
+                        changes[turn][pair] -= n
+                    for pair in gained:
+                        changes[turn][pair] += n
+            got = vocab._confirmed(forecast, changes, some, other, known, 2)
+            assert got
+            swapped += got != forecast[: len(got)]
+            known |= {m.token for m in got}
+            merges += [(m.left, m.right, m.token) for m in got]
+            for w in words:
+                for _, state[w], _, _ in vocab._in_turn(state[w], vocab._turns(got), got):
+                    pass
+        assert merges == greedy(words, limit, 2), seed
+    assert listed < 1000 or share == 1 or swapped
+
+
 @pytest.mark.parametrize("listed", [1, 3, 10, 1000])
 def test_replay_on_random_words(listed):
     """The replay alone: any number of listed pairs, repeats of one letter, tokens made in two ways."""
