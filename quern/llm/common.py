@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from quern.checks import require_columns
 from quern.llm import kernels
-from quern.session import stage
+from quern.session import small_batches, stage
 
 #: Rows of a narrow id table that may be broadcast (about 64 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -19,19 +19,6 @@ BROADCAST_ROWS = 2_000_000
 __all__ = ["BROADCAST_ROWS", "add_struct", "bounded", "fresh", "require_columns", "small_batches", "stage"]
 
 
-#: Rows of an Arrow batch unless the session sets its own number; whole texts and shingle sets are wide rows.
-BATCH_ROWS = 1_000
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that sends few rows to Python at a time; a number the user has set stays."""
-    spark = df.sparkSession
-    if spark.conf.get(_BATCH_CONF, None) is None:
-        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
-    return df
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for a broadcast if it has at most ``rows`` rows, else as it is.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quern.checks import require_columns, small_enough
 from quern.functions.text import byte_level_pieces, join_byte_pieces, join_word_pieces, pretokenize
 from quern.operators.vocab import CONTINUATION, END_OF_TEXT, MAX_VOCAB, NEWLINE, UNKNOWN, token_id, vocab_ids
+from quern.session import small_batches
 
 # Fixed value: longer words become the unknown token.
 MAX_WORD_CHARS = 100
@@ -23,6 +25,19 @@ WORD_OR_SPECIAL = r"(?U)<unk>|<\|endoftext\|>|\n|\w+|(?:(?!<unk>|<\|endoftext\|>
 MEMO_BYTES = 128 << 20
 ENTRY_BYTES = 200
 
+# Words, or ids, that a task works on at a time, unless one row alone has more.
+WORDS_AT_ONCE = 1 << 17
+
+
+def _slices(lists: pa.ListArray, most: int) -> Iterator[pa.ListArray]:
+    """Neighbouring rows that have at most so many elements together, or one row."""
+    borders = lists.offsets.to_numpy()
+    lo = 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(borders, borders[lo] + most, "right")) - 1)
+        yield lists.slice(lo, hi - lo)
+        lo = hi
+
 
 def append_end(tokens: Column, end_id: int) -> Column:
     """The end mark after the last token; an empty text yields it alone."""
@@ -32,44 +47,50 @@ def append_end(tokens: Column, end_id: int) -> Column:
 def _ids_udf(make_encoder: Callable[[], Callable[[str], list[int]]]):
     """Arrow UDF from a list of words to the flat list of their ids.
 
-    Each distinct word of a batch is encoded once; the rest is array indexing.
+    Each distinct word of some neighbouring rows is encoded once; the rest is
+    array indexing. Only so many words are looked at together, however long a batch is.
     """
-    most, entry = MEMO_BYTES, ENTRY_BYTES
+    most, entry, at_once = MEMO_BYTES, ENTRY_BYTES, WORDS_AT_ONCE
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, bytes] = {}
         held = 0
-        for words in batches:
+
+        def part(words: pa.ListArray) -> pa.ListArray:
+            nonlocal memo, held
             borders = words.offsets.to_numpy()
             distinct = words.flatten().dictionary_encode()
             ids = []
             for word in distinct.dictionary.to_pylist():
                 found = memo.get(word)
                 if found is None:
-                    found = encoder(word)
-                    held += entry + 4 * len(word) + 8 * len(found)
+                    found = array("i", encoder(word)).tobytes()
+                    held += entry + 4 * len(word) + len(found)
                     if held > most:
                         memo, held = {}, 0
                     else:
                         memo[word] = found
                 ids.append(found)
-            sizes = np.fromiter((len(i) for i in ids), np.int64, len(ids))
-            flat = np.fromiter((i for word in ids for i in word), np.int32, int(sizes.sum()))
+            sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+            flat = np.frombuffer(b"".join(ids), np.int32)
             starts = np.cumsum(sizes) - sizes
             word = distinct.indices.to_numpy(zero_copy_only=False)
             length = sizes[word]
             end = np.concatenate([[0], np.cumsum(length)])
             take = np.repeat(starts[word] - end[:-1], length) + np.arange(end[-1])
-            yield pa.ListArray.from_arrays(pa.array(end[borders - borders[0]].astype(np.int32)), pa.array(flat[take]))
+            return pa.ListArray.from_arrays(pa.array(end[borders - borders[0]].astype(np.int32)), pa.array(flat[take]))
+
+        for words in batches:
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *map(part, _slices(words, at_once))])
 
     return encode
 
 
 def _encode(texts: DataFrame, words: Column, udf, end_id: int | None, text: str, keep_text: bool) -> DataFrame:
     tokens = udf(F.coalesce(words, F.array().cast("array<string>")))
-    encoded = texts.withColumn("tokens", tokens)
+    encoded = small_batches(texts).withColumn("tokens", tokens)
     if end_id is not None:
         encoded = encoded.withColumn("tokens", append_end(F.col("tokens"), end_id))
     encoded = encoded.withColumn("n_tokens", F.size("tokens"))
@@ -302,19 +323,23 @@ def encode_words(
 
 def _tokens_udf(shared):
     """Arrow UDF from lists of ids to lists of their tokens; ids that aren't in the table are left out."""
+    at_once = WORDS_AT_ONCE
 
     @F.arrow_udf("array<string>")
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         by_id = pa.array(shared.value, pa.string())
         known = np.array([t is not None for t in shared.value] + [False])
-        for ids in batches:
+        def part(ids: pa.ListArray) -> pa.ListArray:
             flat = ids.flatten().to_numpy(zero_copy_only=False)
             place = np.where((flat >= 0) & (flat < len(by_id)), flat, len(by_id)).astype(np.int64)
             kept = known[place]
             ends = np.concatenate([[0], np.cumsum(kept)])
             borders = ids.offsets.to_numpy()
             offsets = pa.array(ends[borders - borders[0]].astype(np.int32))
-            yield pa.ListArray.from_arrays(offsets, by_id.take(pa.array(place[kept])))
+            return pa.ListArray.from_arrays(offsets, by_id.take(pa.array(place[kept])))
+
+        for ids in batches:
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.string())), *map(part, _slices(ids, at_once))])
 
     return tokens
 
@@ -333,4 +358,4 @@ def decode_ids(
     shared = encoded.sparkSession.sparkContext.broadcast(by_id)
     pieces = _tokens_udf(shared)(F.coalesce(F.col(tokens), F.array().cast("array<int>")))
     joined = join_byte_pieces(pieces) if byte_level else join_word_pieces(pieces)
-    return encoded.select(*key, joined.alias("text"))
+    return small_batches(encoded).select(*key, joined.alias("text"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from quern.functions.text import clean_text
 from quern.operators import encode, pack, select, vocab
-from quern.session import stage
+from quern.session import small_batches, stage
 from quern.sources.tables import document_lines
 
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn(text, clean_text(F.col(text)))
+    return small_batches(docs).withColumn(text, clean_text(F.col(text)))
 
 
 def word_level(docs: DataFrame, vocab_size: int = 20_000, min_freq: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.functions.text import clean_text
 from quern.operators.pack import ShardCells, assemble, cut, lone_token, token_offsets
-from quern.session import stage, unstage
+from quern.session import small_batches, stage, unstage
 from quern.streaming import ledger
 
 
@@ -27,7 +27,7 @@ def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 def clean_stream(docs: DataFrame, text: str = "text") -> DataFrame:
     """The cleaning of the batch job on a stream; no state."""
-    return docs.withColumn(text, clean_text(F.col(text)))
+    return small_batches(docs).withColumn(text, clean_text(F.col(text)))
 
 
 OPEN = "shard_id long, block_id long, at long, part array<int>"

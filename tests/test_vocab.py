@@ -2,6 +2,7 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.errors import PySparkException
@@ -318,6 +319,25 @@ def test_join_lookup_equals_plain_lookup(spark, counts):
     assert len(ids) == 50 and ids["\n"] == 49
 
 
+def test_tasks_work_on_a_few_words_at_a_time(spark, trained, monkeypatch):
+    """Whatever the rows of a batch, words are looked up together in small numbers, and ids are the same."""
+    lists = pa.array([["a"] * n for n in (0, 2, 2, 9, 0, 1, 4, 0)])
+    for rows in (lists, lists.slice(2, 5)):
+        slices = list(encode._slices(rows, 4))
+        assert all(len(s) == 1 or len(s.flatten()) <= 4 for s in slices)
+        assert [x for s in slices for x in s.to_pylist()] == rows.to_pylist()
+    assert list(encode._slices(lists.slice(0, 0), 4)) == []
+    texts = ["the of, zzz the", "", None, "the", "one two three four five six seven", "—", "日本"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = encode.encode_wordpiece(df, trained).collect()
+    whole += encode.decode_ids(encode.encode_wordpiece(df, trained), trained, ["doc_id"]).collect()
+    monkeypatch.setattr(encode, "WORDS_AT_ONCE", 3)
+    monkeypatch.setattr(encode, "MEMO_BYTES", 600)
+    cut = encode.encode_wordpiece(df, trained).collect()
+    cut += encode.decode_ids(encode.encode_wordpiece(df, trained), trained, ["doc_id"]).collect()
+    assert cut == whole
+
+
 def test_min_freq_and_lowercase(spark):
     df = spark.createDataFrame([("A a a b",)], "text string")
     assert {tuple(r) for r in vocab.word_counts(df, min_freq=2).collect()} == {("a", 2)}
