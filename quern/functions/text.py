@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
 # Tone mark placement in Vietnamese, old form to new form.
@@ -53,12 +53,26 @@ MAY_NOT_BE_NFC = (
 )
 
 
+# Rows of text that Python holds as strings at a time.
+TEXTS_AT_ONCE = 64
+
+
 def _nfc_udf():
-    @F.pandas_udf("string")
-    def nfc(text: pd.Series) -> pd.Series:
+    at_once = TEXTS_AT_ONCE
+
+    @F.arrow_udf("string")
+    def nfc(texts: pa.Array) -> pa.Array:
         import unicodedata
 
-        return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+        parts = [pa.array([], pa.string())]
+        for lo in range(0, len(texts), at_once):
+            some = texts.slice(lo, at_once)
+            if some.null_count == len(some):
+                parts.append(pa.nulls(len(some), pa.string()))
+            else:
+                done = [t if t is None else unicodedata.normalize("NFC", t) for t in some.to_pylist()]
+                parts.append(pa.array(done, pa.string()))
+        return pa.concat_arrays(parts)
 
     return nfc
 

@@ -1,5 +1,6 @@
 import unicodedata
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -103,3 +104,14 @@ def test_join_word_pieces(spark, tokens, text):
 def test_sql_function(spark):
     T.register_sql(spark)
     assert spark.sql("SELECT nfc('é')").first()[0] == "é"
+
+
+def test_nfc_holds_a_few_texts_at_a_time(spark, monkeypatch):
+    """Nulls, texts that need no change and texts that do, over the borders of what is held."""
+    monkeypatch.setattr(T, "TEXTS_AT_ONCE", 3)
+    texts = [None, "e\u0301", "a", None, None, None, "u\u0308x", "", "n\u0303" * 50] * 3
+    array = pa.array(texts, pa.string())
+    done = T._nfc_udf().func(array)
+    assert done.to_pylist() == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert T._nfc_udf().func(array.slice(0, 0)).to_pylist() == []
+    assert apply(spark, T.nfc, texts) == done.to_pylist()
