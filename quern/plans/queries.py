@@ -13,7 +13,7 @@ from quern.functions import schedule, text as T
 from quern.operators import encode, metrics, pack, ranking, replay, select, sequences, vocab
 from quern.operators.prefix import with_position
 from quern.plans import corpus
-from quern.session import new_path, stage
+from quern.session import new_path, small_batches, stage
 from quern.sources import arrays, tables, vocabularies
 from quern.streaming import corpus as stream_corpus, metrics as stream_metrics
 
@@ -180,31 +180,35 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def _mapped(f: Callable[[Column], Column]) -> Query:
-    return lambda s, sf: _docs(s, sf).select("doc_id", f(F.col("text")).alias("text"))
+    return lambda s, sf: small_batches(_docs(s, sf)).select("doc_id", f(F.col("text")).alias("text"))
 
 
 def _stream_source(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table as a stream of files, one per micro-batch, in ranges of its key.
+    """A table as a stream of files, in ranges of its key, a range per micro-batch.
 
-    The files are written one after the other, as a stream takes them by age.
+    The ranges are written one after the other, as a stream takes files by age.
+    Each has as many files as tasks may write at once, filled up with empty ones.
     """
 
-    def build() -> str:
+    def build() -> tuple[str, int]:
         rows, out = _table(spark, sf, name), new_path(spark, "arriving")
+        files = min(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
         low, high = rows.agg(F.min(key), F.max(key)).first()
         step = (high - low) // STREAM_FILES + 1
         for i in range(STREAM_FILES):
             own = rows.where(F.col(key).between(low + i * step, low + (i + 1) * step - 1))
-            own.coalesce(1).write.parquet(f"{out}/part={i}")
-        return out
+            (own.repartition(files) if files > 1 else own.coalesce(1)).write.parquet(f"{out}/part={i}")
+            for _ in range(files - len(spark.read.schema(rows.schema).parquet(f"{out}/part={i}").inputFiles())):
+                rows.limit(0).coalesce(1).write.mode("append").parquet(f"{out}/part={i}")
+        return out, files
 
-    path = _once(spark, sf, f"arriving-{name}", build)
-    rows = tables.stream_documents(spark, f"{path}/*", _table(spark, sf, name).schema, files_per_batch=1)
+    path, files = _once(spark, sf, f"arriving-{name}", build)
+    rows = tables.stream_documents(spark, f"{path}/*", _table(spark, sf, name).schema, files_per_batch=files)
     return rows
 
 
 def _batches_run(run) -> None:
-    """Wait for a stream to end; it must have run one micro-batch per file."""
+    """Wait for a stream to end; it must have run one micro-batch per range."""
     run.awaitTermination()
     if run.lastProgress["batchId"] != STREAM_FILES - 1:
         raise ValueError(f"expected {STREAM_FILES} micro-batches, the last was {run.lastProgress['batchId']}")

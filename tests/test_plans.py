@@ -82,3 +82,16 @@ def test_retention_groups_the_best_only(spark):
     files = spark.range(100).select(model, F.concat(F.lit("m-"), "id", F.lit(".pt")).alias("path"))
     text = plan(ranking.retain_latest(files, 3))
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning(model" not in text
+
+
+def test_a_range_of_the_stream_is_several_files_and_one_micro_batch(spark, tmp_path):
+    """Ranges that are empty or have fewer rows than files are filled up, so that no micro-batch takes another's rows."""
+    rows = [(i if i < 60 else 10_000 + i, f"text {i} ") for i in range(61)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table.write.option("maxRecordsPerFile", 12).parquet(str(tmp_path / "documents.parquet"))
+    found = queries.stream_clean(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(i, t.strip()) for i, t in rows]
+    path, per_batch = queries._staged[spark.sparkContext.applicationId, str(tmp_path), "arriving-documents"]
+    assert per_batch > 1
+    for i in range(queries.STREAM_FILES):
+        assert len(spark.read.parquet(f"{path}/part={i}").inputFiles()) == per_batch
