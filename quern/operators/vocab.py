@@ -493,7 +493,8 @@ def learn_merges(
       words that changed are written back by a broadcast join.
 
     So the driver holds at most ``REPLAY_WORDS`` words of ``REPLAY_SYMBOLS``
-    symbols and ``REPLAY_PAIRS`` counts, however large the table is.
+    symbols, ``REPLAY_PAIRS`` counts (``candidates`` if these are more) and what
+    ``pending`` merges of a forecast change, however large the table is.
     """
     size = F.size(F.split(F.trim("symbols"), "  "))
     state = state.where(size > 1)
