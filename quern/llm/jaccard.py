@@ -40,6 +40,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from quern.llm import kernels
 from quern.llm.common import bounded, fresh, require_columns, small_batches, stage
 from quern.llm.components import connected_components
+from quern.operators.prefix import with_exclusive_sum
 
 #: Shingles of a block of the index, and of the queries sent to it at a time, on average.
 BLOCK_TOKENS = 400_000
@@ -195,18 +196,22 @@ def _traffic(rows: pa.Table) -> pa.Table:
 
 def _pack(block: pa.Table, routes: pa.Table) -> pa.Table:
     """The sets of one block as queries to the targets of one bucket, one row per block they go to."""
-    sets = dict(zip(block.column("fp").to_pylist(), block.column("shingles").to_pylist(), strict=True))
+    place = {fp: i for i, fp in enumerate(block.column("fp").to_pylist())}
     to: dict[int, list[bytes]] = defaultdict(list)
     for fp, spans in zip(routes.column("fp").to_pylist(), routes.column("spans").to_pylist(), strict=True):
         for t in _targets(spans):
             to[t].append(fp)
     home = block.column("home")[0].as_py() if len(block) else 0
+    # taken from the column by place, so that no set is copied more than once
+    ends = pa.array(np.cumsum([0, *map(len, to.values())]), pa.int32())
+    sent = pa.array([place[fp] for fps in to.values() for fp in fps], pa.int64())
+    queries = block.column("shingles").combine_chunks().take(sent)
     return pa.table(
         {
             "home": pa.array([home] * len(to), pa.int32()),
             "block": pa.array(list(to), pa.int32()),
             "fps": pa.array(list(to.values()), pa.list_(pa.binary())),
-            "queries": pa.array([[sets[fp] for fp in fps] for fps in to.values()], pa.list_(pa.binary())),
+            "queries": pa.ListArray.from_arrays(ends, queries),
         }
     )
 
@@ -217,11 +222,11 @@ def _search(percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         owners = left.column("fp").to_pylist()
         copies = left.column("copies").to_numpy()
-        block = Block([np.frombuffer(x, np.uint64) for x in left.column("shingles").to_pylist()], percent)
+        block = Block([np.frombuffer(x.as_buffer(), np.uint64) for x in left.column("shingles")], percent)
         forest, links = _Forest(), Counter()
         for i in range(len(right)):
-            for fp, query in zip(right.column("fps")[i].as_py(), right.column("queries")[i].as_py(), strict=True):
-                found = [d for d in block.search(np.frombuffer(query, np.uint64)).tolist() if owners[d] != fp]
+            for fp, query in zip(right.column("fps")[i].as_py(), right.column("queries")[i].values, strict=True):
+                found = [d for d in block.search(np.frombuffer(query.as_buffer(), np.uint64)).tolist() if owners[d] != fp]
                 if found:
                     links[fp] += int(copies[found].sum())
                     for d in found:
@@ -331,6 +336,22 @@ def one_of_each(
     return once.unionByName(again)
 
 
+def _numbered(candidates: DataFrame, n_blocks: int, block_tokens: int) -> DataFrame:
+    """``fp, block``: near copies side by side, at most ``block_tokens`` shingles and one class more in a block.
+
+    Ranges are dealt by rows, whose sets may differ in size by any factor, so blocks are cut by running totals.
+    """
+    near = candidates.select("fp", "n", F.array_min("index_tokens").alias("near"))
+    near = near.repartitionByRange(n_blocks, "near", "fp").withColumn("range", F.spark_partition_id())
+    near = stage(near, "ranges")
+    totals = stage(near.groupBy("range").agg(F.sum("n").alias("total")), "totals")
+    base = with_exclusive_sum(totals, "total", "range", "base").select("range", "base")
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("near", "fp").rowsBetween(Window.unboundedPreceding, -1))
+    place = F.col("base") + F.coalesce("before", F.lit(0))
+    placed = near.withColumn("before", before).join(F.broadcast(base), "range")
+    return placed.select("fp", F.floor(place / block_tokens).cast("int").alias("block"))
+
+
 def _links(docs, rows, size, percent, key, text, block_tokens) -> tuple[DataFrame, DataFrame]:
     """``fp, n_links`` and ``node, root`` of the classes that link with others."""
     spark = docs.sparkSession
@@ -340,8 +361,7 @@ def _links(docs, rows, size, percent, key, text, block_tokens) -> tuple[DataFram
     again = docs.where(F.col(key).isNotNull()).join(bounded(wanted), key, "left_semi")
     sets = shingle_rows(again, size, percent, key, text, whole=True).groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
     n_blocks = max(1, -(-tokens // block_tokens))
-    index = candidates.join(sets, "fp").withColumn("near", F.array_min("index_tokens"))
-    index = index.repartitionByRange(n_blocks, "near", "fp").withColumn("block", F.spark_partition_id())
+    index = candidates.join(sets, "fp").join(_numbered(candidates, n_blocks, block_tokens), "fp")
     index = stage(index.select("block", "fp", "n", "copies", "index_tokens", "query_tokens", "shingles"), "index")
 
     # the blocks that hold a shingle, as runs of block numbers: near copies lie side by side

@@ -128,3 +128,26 @@ def test_a_task_copies_a_bounded_share_of_a_blocks_queries(spark, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     found = jaccard.jaccard_components(docs, 4, 80, block_tokens=tokens).collect()
     assert sorted(map(tuple, found)) == sorted(brute.components(rows, 4, 80))
+
+
+def test_blocks_hold_a_bounded_number_of_shingles(spark, monkeypatch):
+    """A family of long near copies beside many short ones: blocks are cut by shingles, not by rows."""
+    rng, tokens, rows = random.Random(9), 2000, []
+    for family, length, n in (("a", 300, 40), ("b", 30, 300)):
+        base = [f"{family}{i}" for i in range(length)]
+        for _ in range(n):
+            text = list(base)
+            text[rng.randrange(length)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(text)))
+    staged, keep = {}, jaccard.stage
+
+    def watched(df, label):
+        staged[label] = keep(df, label)
+        return staged[label]
+
+    monkeypatch.setattr(jaccard, "stage", watched)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = jaccard.jaccard_components(docs, 4, 85, block_tokens=tokens).collect()
+    sizes = [r["size"] for r in staged["index"].groupBy("block").agg({"n": "sum"}).toDF("block", "size").collect()]
+    assert max(sizes) < tokens + 300
+    assert sorted(map(tuple, found)) == sorted(brute.components(rows, 4, 85))
