@@ -12,7 +12,9 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.checks import MAX_TOKEN_ID, require_columns, require_positive, small_enough
@@ -42,6 +44,10 @@ LEAST_PAIRS = 64
 FORECAST_WORDS = 1 << 18
 HELD_CHANGES = 1 << 18
 SWAPPED = 32
+#: Words, and bytes of them, that a task makes merges in at a time; bits of the number of a symbol.
+WORDS_AT_ONCE = 1 << 16
+WORD_BYTES_AT_ONCE = 1 << 22
+SYMBOL_BITS = 22
 
 
 def word_counts(texts: DataFrame, text: str = "text", lowercase: bool = False, min_freq: int = 1) -> DataFrame:
@@ -306,7 +312,10 @@ def _spaced(parts: list[str]) -> str:
 
 
 def _in_turn(parts: list[str], turns: dict[Pair, list[int]], merges: list[Merge]) -> Iterator[tuple]:
-    """The merges that change a word when all are made in order: number, word after it, pairs lost and gained."""
+    """The merges that change a word when all are made in order: number, word after it, pairs lost and gained.
+
+    The rule for one word, which tests hold :class:`_Words` against.
+    """
     done = -1
     while len(parts) > 1:
         near = [t for pair in zip(parts, parts[1:]) for t in turns.get(pair, ()) if t > done]
@@ -325,33 +334,167 @@ def _turns(merges: list[Merge]) -> dict[Pair, list[int]]:
     return turns
 
 
+class _Symbols:
+    """Symbols that a task has met, numbered from 1; 0 is the border between words."""
+
+    def __init__(self):
+        self.names: list[str] = [""]
+        self.ids: dict[str, int] = {}
+
+    def id(self, name: str) -> int:
+        found = self.ids.get(name)
+        if found is None:
+            found = self.ids[name] = len(self.names)
+            self.names.append(name)
+        return found
+
+    def named(self, ids: np.ndarray) -> pa.Array:
+        return pa.array(self.names, pa.string()).take(pa.array(ids, pa.int64()))
+
+
+def _pairs_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left << SYMBOL_BITS) | right
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their values; keys whose sum is zero are left out."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, values = keys[firsts], np.add.reduceat(values, firsts)
+    return keys[values != 0], values[values != 0]
+
+
+class _Words:
+    """Some words as one chain of symbols, with a border before each and one at the end.
+
+    A merge is made in all words at once, at the places where its pair is known
+    to stand, so its work is that of the places it changes.
+    """
+
+    def __init__(self, words: pa.Array, symbols: _Symbols, merges: list[Merge]):
+        lists = pc.split_pattern(pc.utf8_slice_codeunits(words, 1, -1), "  ")
+        borders = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.flatten().dictionary_encode()
+        own = np.array([symbols.id(x) for x in flat.dictionary.to_pylist()], np.int64)
+        self.names = symbols
+        self.merges = [(symbols.id(m.left), symbols.id(m.right), symbols.id(m.token)) for m in merges]
+        self.starts = borders[:-1] - borders[0] + np.arange(len(words))
+        self.at = np.zeros(len(flat) + len(words) + 1, np.int64)
+        inside = np.ones(len(self.at), bool)
+        inside[self.starts] = inside[-1] = False
+        self.at[inside] = own[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else 0
+        self.after = np.arange(1, len(self.at) + 1)
+        self.before = np.arange(-1, len(self.at) - 1)
+        self.wanted = np.unique(np.array([(left << SYMBOL_BITS) | right for left, right, _ in self.merges], np.int64))
+        self.places: dict[int, list[np.ndarray]] = {}
+        self._note(np.arange(len(self.at) - 1))
+
+    def _pairs(self, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places among these at which a pair within a word begins, and the pairs."""
+        left, right = self.at[heads], self.at[self.after[heads]]
+        inside = (left > 0) & (right > 0)
+        return heads[inside], _pairs_of(left[inside], right[inside])
+
+    def _note(self, heads: np.ndarray) -> None:
+        heads, pairs = self._pairs(heads)
+        if not len(self.wanted) or not len(heads):
+            return
+        found = self.wanted[np.minimum(np.searchsorted(self.wanted, pairs), len(self.wanted) - 1)] == pairs
+        heads, pairs = heads[found], pairs[found]
+        if not len(heads):
+            return
+        order = np.argsort(pairs, kind="stable")
+        heads, pairs = heads[order], pairs[order]
+        firsts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        for pair, some in zip(pairs[firsts].tolist(), np.split(heads, firsts[1:]), strict=True):
+            self.places.setdefault(pair, []).append(some)
+
+    def run(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Makes all merges in order; gives number, places and pairs lost, places and pairs gained of those that change a word."""
+        at, after, before = self.at, self.after, self.before
+        for turn, (left, right, token) in enumerate(self.merges):
+            known = self.places.pop((left << SYMBOL_BITS) | right, None)
+            if known is None:
+                continue
+            here = np.unique(np.concatenate(known))
+            here = here[at[here] == left]
+            here = here[at[after[here]] == right]
+            if left == right and len(here) > 1:  # merges of one symbol don't overlap: every second one of a run
+                first = np.concatenate([[True], after[here[:-1]] != here[1:]])
+                run = np.arange(len(here)) - np.maximum.accumulate(np.where(first, np.arange(len(here)), 0))
+                here = here[run % 2 == 0]
+            if not len(here):
+                continue
+            gone = after[here]
+            lost = self._pairs(np.unique(np.concatenate([before[here], here, gone])))
+            later = after[gone]
+            at[here], at[gone] = token, -1
+            after[here], before[later] = later, here
+            heads = np.unique(np.concatenate([before[here], here]))
+            gained = self._pairs(heads)
+            self._note(heads)
+            yield turn, *lost, *gained
+
+    def spaced(self) -> pa.Array:
+        """The words as they are now, each symbol with a space on both sides."""
+        kept = self.at > 0
+        ends = np.concatenate([[0], np.cumsum(kept)])
+        offsets = np.append(ends[self.starts], ends[-1]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), self.names.named(self.at[kept]))
+        return pc.binary_join_element_wise(pa.scalar(" "), pc.binary_join(lists, "  "), pa.scalar(" "), "")
+
+
+def _chunks_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Words and counts of some batches together: so many words, or bytes, and one batch more at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= WORDS_AT_ONCE or sum(b.nbytes for b in held) >= WORD_BYTES_AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, i: int) -> pa.Array:
+    return pa.concat_arrays(table.column(i).chunks)
+
+
 def _changes(state: DataFrame, merges: list[Merge]) -> list[dict[Pair, int]]:
     """By how much each of some merges, made in order, changes the counts of pairs over the whole word table.
 
     Tasks add up what their words change; the driver gets a row for each merge and pair.
     """
-    most = HELD_CHANGES
-    names = ["turn", "l", "r", "n"]
+    most, names = HELD_CHANGES, ["turn", "l", "r", "n"]
 
-    def rows(held: dict[tuple[int, Pair], int]) -> pa.RecordBatch:
-        columns = zip(*((turn, *pair, n) for (turn, pair), n in held.items() if n)) if any(held.values()) else [[]] * 4
-        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    def rows(symbols: _Symbols, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        low = (1 << SYMBOL_BITS) - 1
+        turns = pa.array((keys >> (2 * SYMBOL_BITS)).astype(np.int32))
+        pair = [symbols.named((keys >> SYMBOL_BITS) & low), symbols.named(keys & low)]
+        return pa.RecordBatch.from_arrays([turns, *pair, pa.array(sums, pa.int64())], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = _turns(merges)
-        held: dict[tuple[int, Pair], int] = {}
-        for batch in batches:
-            for symbols, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for turn, _, lost, gained in _in_turn(symbols[1:-1].split("  "), turns, merges):
-                    for p in lost:
-                        held[turn, p] = held.get((turn, p), 0) - n
-                    for p in gained:
-                        held[turn, p] = held.get((turn, p), 0) + n
-                if len(held) > most:
-                    yield rows(held)
-                    held = {}
-        yield rows(held)
+        symbols = _Symbols()
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for table in _chunks_of_words(batches):
+            words = _Words(_column(table, 0), symbols, merges)
+            times = _column(table, 1).to_numpy()
+            weight = np.append(np.repeat(times, np.diff(np.append(words.starts, len(words.at) - 1))), 0)
+            keys, sums = [held[0]], [held[1]]
+            for turn, lost_at, lost, gained_at, gained in words.run():
+                own = np.concatenate([lost, gained]) | (turn << (2 * SYMBOL_BITS))
+                own, by = _summed(own, np.concatenate([-weight[lost_at], weight[gained_at]]))
+                keys.append(own)
+                sums.append(by)
+            held = _summed(np.concatenate(keys), np.concatenate(sums))
+            if len(held[0]) > most:
+                yield rows(symbols, *held)
+                held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield rows(symbols, *held)
 
     counted = state.select("symbols", "n").mapInArrow(count, "turn int, l string, r string, n long")
     table = counted.groupBy("turn", "l", "r").agg(F.sum("n").alias("n")).toArrow()
@@ -365,15 +508,12 @@ def _written(state: DataFrame, merges: list[Merge]) -> DataFrame:
     """The word table after some merges."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = _turns(merges)
-        for batch in batches:
-            out = []
-            for symbols in batch.column(0).to_pylist():
-                last = None
-                for _, last, _, _ in _in_turn(symbols[1:-1].split("  "), turns, merges):
-                    pass
-                out.append(symbols if last is None else _spaced(last))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["symbols", "n"])
+        symbols = _Symbols()
+        for table in _chunks_of_words(batches):
+            words = _Words(_column(table, 0), symbols, merges)
+            for _ in words.run():
+                pass
+            yield pa.RecordBatch.from_arrays([words.spaced(), _column(table, 1)], names=["symbols", "n"])
 
     return state.select("symbols", "n").mapInArrow(write, "symbols string, n long")
 

@@ -103,6 +103,38 @@ def test_merges_forecast_from_few_words(spark, counts, monkeypatch, about):
     assert about < 100 or len(rounds) <= 2
 
 
+def test_merges_in_many_words_at_once_equal_one_word_at_a_time():
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = [[rng.choice("abcé") for _ in range(rng.randrange(2, 14))] for _ in range(rng.randrange(1, 40))]
+        known, merges = list("abcé"), []
+        for _ in range(rng.randrange(0, 12)):
+            left, right = rng.choice(known), rng.choice(known)
+            merges.append(vocab.Merge(left, right, left + right))
+            known.append(left + right)
+        times = [rng.randrange(1, 9) for _ in words]
+        expected, ends, turns = [Counter() for _ in merges], [], vocab._turns(merges)
+        for parts, n in zip(words, times):
+            last = parts
+            for turn, last, lost, gained in vocab._in_turn(parts, turns, merges):
+                for pair in lost:
+                    expected[turn][pair] -= n
+                for pair in gained:
+                    expected[turn][pair] += n
+            ends.append(vocab._spaced(last))
+        symbols = vocab._Symbols()
+        made = vocab._Words(pa.array([vocab._spaced(w) for w in words]), symbols, merges)
+        of = [i for i, w in enumerate(words) for _ in range(len(w) + 1)]
+        found = [Counter() for _ in merges]
+        for turn, lost_at, lost, gained_at, gained in made.run():
+            for sign, places, pairs in ((-1, lost_at, lost), (1, gained_at, gained)):
+                for at, pair in zip(places.tolist(), pairs.tolist()):
+                    left, right = pair >> vocab.SYMBOL_BITS, pair & ((1 << vocab.SYMBOL_BITS) - 1)
+                    found[turn][symbols.names[left], symbols.names[right]] += sign * times[of[at]]
+        assert made.spaced().to_pylist() == ends
+        assert [{p: n for p, n in c.items() if n} for c in found] == [{p: n for p, n in c.items() if n} for c in expected]
+
+
 @pytest.mark.parametrize("listed", [2, 6, 1000])
 @pytest.mark.parametrize("share", [0.3, 0.7, 1])
 def test_confirmed_merges_on_random_words(listed, share):
