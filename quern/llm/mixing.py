@@ -45,13 +45,15 @@ HEAD_WORDS = 1 << 20
 PRIOR, WEIGHT, RATE, SLOWER, LEAST_RATE = 0.1, 0.25, 0.04, 64, 0.004
 #: Log odds are kept in one byte, in steps of ``1 / UNITS``.
 UNITS = 10
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 #: Sets of weights: one for each place of a bit in its byte.
 GATES = 8
-#: For each place and byte the node its bit is predicted at (a row serves four places), and -1 for a one, 1 for a zero.
 _BYTE = np.arange(256)
-_NODES = np.stack([(1 << p % 4) | ((_BYTE >> (4 if p < 4 else 0)) & 15) >> (4 - p % 4) for p in range(8)])
-_SIGNS = np.stack([1 - 2 * ((_BYTE >> (7 - p)) & 1) for p in range(8)]).astype(np.float32)
+#: For the first three bits of a half the nodes its four bits are predicted at, and for each byte -1 for a one, 1 for a zero.
+_PATHS = np.array([[1, 2 | v >> 2, 4 | v >> 1, 8 | v] for v in range(8)])
+_SIGNS = (1 - 2 * (_BYTE[:, None] >> np.arange(7, -1, -1) & 1)).astype(np.int8).reshape(256, 2, 4).transpose(1, 0, 2).copy()
+#: The last two, three and five bytes.
+_NEAR = [np.uint64((1 << 8 * n) - 1) for n in (2, 3, 5)]
 
 _MULTIPLY = kernels.WORDS[1 : 4 + CONTEXTS]
 _SPACE = np.zeros(256, bool)
@@ -98,22 +100,21 @@ def laid_texts(data: np.ndarray, offsets: np.ndarray) -> Iterator[Laid]:
         yield Laid.piece(data, lo, min(len(data), lo + LANES_BYTES))
 
 
-def _contexts(b: np.ndarray) -> Iterator[np.ndarray]:
-    """For each context its hash (64 bits) before every byte."""
+def _contexts(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Before every byte the bytes before it, the last one lowest, and a hash of the word so far (64 bits each)."""
     n = len(b)
-    near = np.zeros(n, np.uint64)
-    for k in range(5):
-        near[k + 1 :] |= b[: n - k - 1].astype(np.uint64) << np.uint64(8 * k)
-        if k in (1, 2, 4):
-            yield near
+    padded = np.zeros(n + 8, np.uint8)
+    padded[8:] = b
+    near = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
     # the word so far: a polynomial from its first byte, which prefix sums give at every place
-    at = np.arange(n)
-    first = np.maximum.accumulate(np.where(_SPACE[b], at + 1, 0))
-    first = np.concatenate([[0], first[:-1]])
+    first = np.concatenate([[0], np.flatnonzero(_SPACE.take(b)) + 1])
+    length = np.diff(first, append=n)
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((b + np.uint64(3)) * up[:n], out=sums[1:])
-    yield (sums[:-1] - sums[first]) * down[first]
+    word = sums[:-1] - np.repeat(sums.take(first), length)
+    word *= np.repeat(down.take(first), length)
+    return near, word
 
 
 _tables: dict[str, np.ndarray] = {}
@@ -130,32 +131,39 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
-def _places(b: np.ndarray, bits: int) -> np.ndarray:
-    """``2 x bytes x contexts``: where the rows of the high and the low half of every byte start in flat tables."""
+def _rows(b: np.ndarray, bits: int, near: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """``2 x contexts x bytes``: the rows of the high and the low half of every byte, counted over all contexts."""
     shift = np.uint64(64 - bits)
     half = ((b >> 4) + np.uint64(1)) * _MULTIPLY[-1]
-    out = np.empty((2, len(b), CONTEXTS), np.int32)
-    for k, context in enumerate(_contexts(b)):
-        start = np.int32(k << (bits + 4))
-        for lo in range(0, len(b), BLOCK):  # in pieces that stay in the cache
-            mixed = context[lo : lo + BLOCK] * _MULTIPLY[k]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= _MULTIPLY[k + 1]
-            for j in (0, 1):
-                out[j, lo : lo + BLOCK, k] = ((mixed >> shift) << np.uint64(4)).astype(np.int32) + start
-                mixed += half[lo : lo + BLOCK]
-    return out
+    out = np.empty((2, CONTEXTS, len(b)), np.uint64)
+    for k in range(CONTEXTS):
+        mixed = (near & _NEAR[k] if k < len(_NEAR) else word) * _MULTIPLY[k]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _MULTIPLY[k + 1]
+        np.right_shift(mixed, shift, out=out[0, k])
+        mixed += half
+        np.right_shift(mixed, shift, out=out[1, k])
+        out[:, k] += np.uint64(k << bits)
+    return out.view(np.int64)
+
+
+def _places(b: np.ndarray, bits: int) -> np.ndarray:
+    """``2 x bytes x contexts``: where the rows of the bytes of a text start in flat tables."""
+    return (_rows(b, bits, *_contexts(b)) << 4).transpose(0, 2, 1)
 
 
 def count_leaves(counts: np.ndarray, laid: Laid) -> None:
     """Add the bytes of laid texts to ``counts``, ``contexts x rows x 16`` leaves."""
     bits = int(counts.shape[1]).bit_length() - 1
-    flat, one = counts.reshape(-1), np.int32(1)
-    places = _places(laid.bytes, bits)
-    for half, shift in ((0, 4), (1, 0)):
-        value = ((laid.bytes >> shift) & 15).astype(np.int64)[laid.scored]
-        for k in range(CONTEXTS):
-            np.add.at(flat, places[half, laid.scored, k] + value, one)
+    flat = counts.reshape(-1)
+    near, word = _contexts(laid.bytes)
+    for lo in range(0, len(laid.scored), BLOCK):  # in pieces that stay in the cache
+        at = laid.scored[lo : lo + BLOCK]
+        now = laid.bytes.take(at)
+        leaves = _rows(now, bits, near.take(at), word.take(at))
+        leaves <<= 4
+        leaves |= np.stack([now >> 4, now & 15]).astype(np.int64)[:, None]
+        np.add.at(flat, leaves.reshape(-1), np.int32(1))
 
 
 def log_odds(leaves: np.ndarray) -> np.ndarray:
@@ -170,11 +178,20 @@ def log_odds(leaves: np.ndarray) -> np.ndarray:
     return out
 
 
+def paths(tables: np.ndarray) -> np.ndarray:
+    """Log odds by the first three bits of a half, eight to a row: the four bytes of its nodes, in one value."""
+    return tables.take(_PATHS, axis=2).view(np.uint32).reshape(-1)
+
+
 def score(tables: np.ndarray, laid: Laid) -> np.ndarray:
     """Log10 probability of each laid text, ends included. ``tables``: log odds, ``contexts x rows x 16``."""
-    bits = int(tables.shape[1]).bit_length() - 1
-    flat = tables.reshape(-1)
-    rows = _places(laid.bytes, bits)
+    return score_paths(paths(tables), laid)
+
+
+def score_paths(flat: np.ndarray, laid: Laid) -> np.ndarray:
+    """:func:`score` by what :func:`paths` gave."""
+    bits = (len(flat) // CONTEXTS).bit_length() - 4
+    near, word = _contexts(laid.bytes)
     # segments, longest first; the lanes that go on are always the first ones
     length = laid.ends - laid.starts
     pieces = -(-length // SEGMENT)
@@ -184,29 +201,45 @@ def score(tables: np.ndarray, laid: Laid) -> np.ndarray:
     size = np.minimum(length[text] - nth * SEGMENT, SEGMENT)
     order = np.argsort(-size, kind="stable")
     text, begin, size = text[order], begin[order], size[order]
-    total = np.zeros(len(size))
-    weights = np.full((GATES, CONTEXTS, len(size)), WEIGHT / UNITS, np.float32)
-    active = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")
-    for t in range(int(size[0]) if len(size) else 0):
-        n = int(active[t])
-        at = begin[:n] + t
-        now = laid.bytes[at]
-        rate = np.float32(max(LEAST_RATE, RATE / (1 + t / SLOWER)) / UNITS**2)
-        # every place has weights of its own, so the eight bits of a byte are mixed at once
-        leaf = rows.take(at, axis=1).transpose(0, 2, 1).astype(np.int64, order="C")[:, None]
-        node = _NODES.take(now, axis=1).reshape(2, 4, 1, n)
-        x = flat.take(leaf + node, mode="clip").astype(np.float32).reshape(GATES, CONTEXTS, n)
-        sign = _SIGNS.take(now, axis=1)
-        w = weights[:, :, :n]
-        against = np.einsum("pkn,pkn->pn", w, x)
-        against *= sign
-        np.minimum(against, 20, out=against)
-        np.exp(against, out=against)
-        against += 1
-        # the error of a place is 1 minus the chance given to the bit that came
-        x *= ((sign - sign / against) * rate)[:, None]
-        w -= x
-        total[:n] -= np.log10(np.multiply.reduce(against, axis=0, dtype=np.float64))
+    total, chance = np.zeros(len(size)), np.ones((len(size), GATES // 2))
+    # every place of a bit has weights of its own, so the eight bits of a byte are mixed at once
+    weights = np.full((2, CONTEXTS, len(size), GATES // 2), WEIGHT / UNITS, np.float32)
+    steps = int(size[0]) if len(size) else 0
+    active = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
+    t = 0
+    while t < steps:
+        # what doesn't depend on the weights is found for several steps, as many as stay in the cache
+        until = min(steps, t + max(1, BLOCK // int(active[t])))
+        at = np.concatenate([begin[: active[u]] + u for u in range(t, until)])
+        now = laid.bytes.take(at)
+        rows = _rows(now, bits, near.take(at), word.take(at))
+        rows <<= 3
+        rows |= np.stack([now >> 5, now >> 1 & 7]).astype(np.int64)[:, None]
+        odds = flat.take(rows, mode="clip").view(np.int8).reshape(2, CONTEXTS, len(at), GATES // 2)
+        odds *= _SIGNS.take(now, axis=1)[:, None]  # from here on against the bit that came
+        lo = 0
+        for t in range(t, until):
+            n = int(active[t])
+            rate = np.float32(max(LEAST_RATE, RATE / (1 + t / SLOWER)) / UNITS**2)
+            x = odds[:, :, lo : lo + n].astype(np.float32)
+            w = weights[:, :, :n]
+            against = np.einsum("hknp,hknp->hnp", w, x)
+            np.minimum(against, 20, out=against)
+            np.exp(against, out=against)
+            against += 1
+            chance[:n] *= np.multiply(against[0], against[1], dtype=np.float64)
+            # the error of a place is 1 minus the chance given to the bit that came
+            np.divide(1, against, out=against)
+            np.subtract(1, against, out=against)
+            against *= rate
+            x *= against[:, None]
+            w -= x
+            lo += n
+            if t % 16 == 15:  # two places of 16 bytes: at most e^641, which is a double still
+                total -= np.log10(chance).sum(axis=1)
+                chance[:] = 1
+        t = until
+    total -= np.log10(chance).sum(axis=1)
     return np.bincount(text, total, minlength=len(length)).astype(np.float64)
 
 
@@ -330,19 +363,23 @@ def _scorer(shared, schema: StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         tables, keys, counts, share = shared.value
+        flat = paths(tables)
         for batch in batches:
             column = batch.column(0)
             for lo, hi, data, offsets in kernels.chunks(column, LANES_BYTES):
                 n = hi - lo
                 total = np.zeros(n)
                 for laid in laid_texts(data, offsets):
-                    total += score(tables, laid)
+                    total += score_paths(flat, laid)
                 words = kernels.Words(data, offsets, folded=True)
                 of, own = words.row_of_word(), words.hashes
-                at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-                known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-                there = counts[at[known]] if len(keys) else np.zeros(0, np.int64)
-                logs = np.bincount(of[known], np.log10((there + 1) / share), minlength=n).astype(np.float64)
+                distinct, which = np.unique(own, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+                there = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+                known = there[which]
+                log = np.zeros(len(distinct))
+                log[there] = np.log10((counts[at[there]] + 1) / share)
+                logs = np.bincount(of[known], log[which[known]], minlength=n).astype(np.float64)
                 # words not among the frequent ones: distinct by row, with their counts there
                 others = np.flatnonzero(~known)
                 order = others[np.lexsort((own[others], of[others]))]

@@ -84,6 +84,28 @@ def test_scores_equal_a_plain_version(monkeypatch):
     assert np.allclose(got, [plain_score(tables, t) for t in texts], rtol=1e-4, atol=1e-4)
 
 
+class Counted(np.ndarray):
+    """An array that adds up how many values were looked up in it, and in what was made of it."""
+
+    found = 0
+
+    def take(self, indices, *args, **kwargs):
+        Counted.found += np.size(indices)
+        return super().take(indices, *args, **kwargs)
+
+
+def test_the_four_bits_of_a_half_are_looked_up_at_once(monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 512)  # several blocks of steps
+    texts = ["Some words, some Words and some more words." * 40, "", "x", "ça où été\n\n" * 9, "a" * 2000]
+    counts = np.random.default_rng(3).integers(0, 9, (mixing.CONTEXTS, 1 << 10, 16)).astype(np.int32)
+    tables = np.stack([mixing.log_odds(c) for c in counts])
+    one, = laid(texts)
+    Counted.found = 0
+    got = mixing.score(tables.view(Counted), one)
+    assert 0 < Counted.found <= 2 * mixing.CONTEXTS * len(one.scored) + 32  # a look-up a bit and context were 32 a byte
+    assert np.allclose(got, [plain_score(tables, t) for t in texts], rtol=1e-4, atol=1e-4)
+
+
 def test_bit_chances_of_all_texts_of_a_length_sum_to_one():
     counts = np.random.default_rng(2).integers(0, 9, (mixing.CONTEXTS, 1 << 10, 16)).astype(np.int32)
     tables = np.stack([mixing.log_odds(c) for c in counts])
